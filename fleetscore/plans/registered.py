@@ -528,6 +528,10 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(plan):
-        return lambda spark, sf_dir: plan(Fleet(spark, sf_dir))
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return plan(Fleet(spark, sf_dir))
+
+        return query
 
     return {name: run(plan) for name, plan in _PLANS.items()}
