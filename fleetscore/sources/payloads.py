@@ -1,7 +1,9 @@
 """Landed JSON payloads to bronze rows.
 
-Every function takes a DataFrame with one JSON document per row in the column `payload`; rows are
-independent, so parsing spreads over files and needs no shuffle except where two payloads are joined.
+Every function takes a DataFrame with one JSON document (or a list of them) per row in the column
+`payload`; rows are independent, so parsing spreads over files and needs no shuffle except where two
+payloads are joined. Documents are parsed by an outer explode: filters on their fields then stay above
+it, where they would otherwise be moved below and parse every document a second time.
 """
 
 from __future__ import annotations
@@ -24,7 +26,27 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(raw: DataFrame, schema: str) -> DataFrame:
-    return raw.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    listed = "array<struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in _top_level(schema)) + ">>"
+    return raw.select(F.explode_outer(F.from_json("payload", listed)).alias("p")).select("p.*")
+
+
+def _top_level(schema: str) -> list[str]:
+    """The columns of a schema text, cut at the commas outside of brackets."""
+    cut, depth = [""], 0
+    for ch in schema:
+        depth += {"<": 1, ">": -1}.get(ch, 0)
+        if ch == "," and depth == 0:
+            cut.append("")
+        else:
+            cut[-1] += ch
+    return cut
+
+
+def _items(raw: DataFrame, schema: str, many: str) -> DataFrame:
+    """The items of a landed list, each with the columns beside it."""
+    page = _parsed(raw, schema)
+    beside = [c for c in page.columns if c != many]
+    return page.select(*beside, F.explode_outer(many).alias("i")).where(F.col("i").isNotNull())
 
 
 def _int(c: Column | str) -> Column:
@@ -85,12 +107,15 @@ def flatten_conversations(raw: DataFrame) -> DataFrame:
 
 
 def exploded_messages(raw: DataFrame) -> DataFrame:
-    """One row per message with its place in the conversation and its attachments parsed."""
+    """One row per message with its place in the conversation, its attachments and the first of each kind."""
     listed = _pages(raw).select(
         "space_id", "space_title", "conversation_id", F.col("conversation.title").alias("conversation_title"),
-        F.coalesce(_int("offset"), F.lit(0)).alias("offset"), F.posexplode("messages").alias("pos", "m"),
-    )
-    return listed.withColumn("atts", F.from_json("m.attachments", schemas.ATTACHMENTS))
+        F.coalesce(_int("offset"), F.lit(0)).alias("offset"), F.posexplode_outer("messages").alias("pos", "m"),
+    ).where(F.col("m").isNotNull())
+    parsed = listed.withColumn("atts", F.from_json("m.attachments", schemas.ATTACHMENTS))
+    return parsed.withColumns({
+        "first_query": _first(_has_query), "first_text": _first(_has_text), "first_ask": _first(_has_suggestions),
+    })
 
 
 def _message_id() -> Column:
@@ -119,7 +144,7 @@ def _filled_json(c: Column) -> Column:
     return F.when(~c.isin("", "[]", "{}", "null"), c)
 
 
-def message_core(m: DataFrame) -> list[Column]:
+def message_core() -> list[Column]:
     created, updated = _long("m.created_timestamp"), _long("m.last_updated_timestamp")
     both = (F.coalesce(created, F.lit(0)) != 0) & (F.coalesce(updated, F.lit(0)) != 0)
     return [
@@ -130,8 +155,8 @@ def message_core(m: DataFrame) -> list[Column]:
     ]
 
 
-def first_query_columns(m: DataFrame) -> list[Column]:
-    a = _first(_has_query)
+def first_query_columns() -> list[Column]:
+    a = F.col("first_query")
     q = a.query
     return [
         q.query.alias("sql_generated"), q.title.alias("sql_title"), q.description.alias("sql_description"),
@@ -141,21 +166,21 @@ def first_query_columns(m: DataFrame) -> list[Column]:
     ]
 
 
-def statement_ids_column(m: DataFrame) -> list[Column]:
+def statement_ids_column() -> list[Column]:
     named = F.filter(F.transform("atts", lambda a: a.query.statement_id), lambda s: F.coalesce(s != "", F.lit(False)))
     return [F.when(F.size(named) > 0, F.to_json(named)).alias("sql_statement_ids")]
 
 
-def query_parameters_column(m: DataFrame) -> list[Column]:
-    return [_filled_json(_first(_has_query).query.parameters).alias("sql_parameters")]
+def query_parameters_column() -> list[Column]:
+    return [_filled_json(F.col("first_query.query.parameters")).alias("sql_parameters")]
 
 
-def query_result_columns(m: DataFrame) -> list[Column]:
-    meta = _first(_has_query).query.query_result_metadata
+def query_result_columns() -> list[Column]:
+    meta = F.col("first_query.query.query_result_metadata")
     return [_long(meta.row_count).alias("row_count"), meta.is_truncated.try_cast("boolean").alias("is_truncated")]
 
 
-def legacy_result_columns(m: DataFrame) -> list[Column]:
+def legacy_result_columns() -> list[Column]:
     r = F.col("m.query_result")
     return [
         r.statement_id.alias("legacy_statement_id"), _long(r.row_count).alias("legacy_row_count"),
@@ -163,36 +188,36 @@ def legacy_result_columns(m: DataFrame) -> list[Column]:
     ]
 
 
-def first_text_columns(m: DataFrame) -> list[Column]:
-    a = _first(_has_text)
+def first_text_columns() -> list[Column]:
+    a = F.col("first_text")
     return [
         a.text.content.alias("text_response"), a.text.purpose.alias("text_purpose"),
         F.coalesce(blank_to_null(a.attachment_id), a.text.id).alias("text_attachment_id"),
     ]
 
 
-def suggestions_column(m: DataFrame) -> list[Column]:
-    return [_filled_json(_first(_has_suggestions).suggested_questions.questions).alias("suggested_questions")]
+def suggestions_column() -> list[Column]:
+    return [_filled_json(F.col("first_ask.suggested_questions.questions")).alias("suggested_questions")]
 
 
-def error_feedback_columns(m: DataFrame) -> list[Column]:
+def error_feedback_columns() -> list[Column]:
     return [
         F.col("m.error.type").alias("error_type"), F.col("m.error.error").alias("error_message"),
         F.col("m.feedback.rating").alias("feedback_rating"),
     ]
 
 
-def attachment_columns(m: DataFrame) -> list[Column]:
-    has = lambda test: F.coalesce(F.exists("atts", test), F.lit(False))
+def attachment_columns() -> list[Column]:
+    has = lambda first: F.col(first).isNotNull()
     return [
         F.coalesce(F.size("atts"), F.lit(0)).alias("attachment_count"),
-        has(_has_query).alias("has_query_attachment"), has(_has_text).alias("has_text_attachment"),
-        has(_has_suggestions).alias("has_suggested_questions"),
+        has("first_query").alias("has_query_attachment"), has("first_text").alias("has_text_attachment"),
+        has("first_ask").alias("has_suggested_questions"),
         F.when(F.size("atts") > 0, F.col("m.attachments")).alias("raw_attachments_json"),
     ]
 
 
-def position_columns(m: DataFrame) -> list[Column]:
+def position_columns() -> list[Column]:
     place = F.col("offset") + F.col("pos") + 1
     return [place.alias("message_position"), (place == 1).alias("is_first_message")]
 
@@ -207,7 +232,7 @@ _GROUPS = [
 def message_columns(raw: DataFrame, *groups) -> DataFrame:
     """message_id and the columns of the given groups, e.g. message_columns(raw, first_text_columns)."""
     m = exploded_messages(raw)
-    return m.select(_message_id(), *[c for g in groups for c in g(m)])
+    return m.select(_message_id(), *[c for g in groups for c in g()])
 
 
 def flatten_messages(raw: DataFrame, harvested_at=None) -> DataFrame:
@@ -215,7 +240,7 @@ def flatten_messages(raw: DataFrame, harvested_at=None) -> DataFrame:
     m = exploded_messages(raw)
     flat = m.select(
         "space_id", "space_title", "conversation_id", "conversation_title", _message_id(),
-        *[c for g in _GROUPS for c in g(m)], instant_of(harvested_at).alias("harvested_at"),
+        *[c for g in _GROUPS for c in g()], instant_of(harvested_at).alias("harvested_at"),
     )
     return flat.select(*_MESSAGE_COLUMNS)
 
@@ -261,30 +286,27 @@ def with_empty_conversations(conversations: DataFrame, rollup: DataFrame, harves
 
 # --- curation and benchmark ---------------------------------------------------------------------
 def flatten_eval_runs(raw: DataFrame) -> DataFrame:
-    r = _parsed(raw, schemas.EVAL_RUNS_PAYLOAD).select("space_id", F.explode("eval_runs").alias("r"))
-    return r.select(
-        "space_id", "r.eval_run_id", "r.eval_run_status", _int("r.num_questions").alias("num_questions"),
-        _int("r.num_correct").alias("num_correct"), _int("r.num_needs_review").alias("num_needs_review"),
-        _int("r.num_done").alias("num_done"), _long("r.created_timestamp").alias("created_timestamp"),
-        "r.run_by_user",
+    return _items(raw, schemas.EVAL_RUNS_PAYLOAD, "eval_runs").select(
+        "space_id", "i.eval_run_id", "i.eval_run_status", _int("i.num_questions").alias("num_questions"),
+        _int("i.num_correct").alias("num_correct"), _int("i.num_needs_review").alias("num_needs_review"),
+        _int("i.num_done").alias("num_done"), _long("i.created_timestamp").alias("created_timestamp"),
+        "i.run_by_user",
     )
 
 
 def flatten_instructions(raw: DataFrame) -> DataFrame:
     """Instructions; use_as_tool is written True or False, and stays null where it is not sent."""
-    i = _parsed(raw, schemas.INSTRUCTIONS_PAYLOAD).select("space_id", F.explode("instructions").alias("i"))
     flag = F.col("i.use_as_tool")
-    return i.select(
+    return _items(raw, schemas.INSTRUCTIONS_PAYLOAD, "instructions").select(
         "space_id", "i.instruction_id", "i.instruction_type", "i.title", "i.content", "i.usage_guidance",
         "i.instruction_status", F.when(flag.isin("true", "false"), F.initcap(flag)).otherwise(flag).alias("use_as_tool"),
     )
 
 
 def flatten_curated_questions(raw: DataFrame) -> DataFrame:
-    q = _parsed(raw, schemas.CURATED_PAYLOAD).select("space_id", F.explode("curated_questions").alias("q"))
-    return q.select(
-        "space_id", "q.curated_question_id", "q.question_type", "q.question_text", "q.answer_text", "q.eval_note",
-        F.coalesce(F.lower("q.is_deprecated") == "true", F.lit(False)).alias("is_deprecated"),
+    return _items(raw, schemas.CURATED_PAYLOAD, "curated_questions").select(
+        "space_id", "i.curated_question_id", "i.question_type", "i.question_text", "i.answer_text", "i.eval_note",
+        F.coalesce(F.lower("i.is_deprecated") == "true", F.lit(False)).alias("is_deprecated"),
     )
 
 
@@ -295,9 +317,7 @@ def latest_run_for_results(runs: DataFrame) -> DataFrame:
 
 def flatten_eval_results(listed: DataFrame, detail: DataFrame) -> DataFrame:
     """Listed results with the assessment and responses of their detail; a missing response stays null."""
-    items = _parsed(listed, schemas.RESULT_LIST_PAYLOAD).select(
-        "space_id", "eval_run_id", F.explode("eval_results").alias("i")
-    ).select("space_id", "eval_run_id", "i.*")
+    items = _items(listed, schemas.RESULT_LIST_PAYLOAD, "eval_results").select("space_id", "eval_run_id", "i.*")
     full = _parsed(detail, schemas.RESULT_DETAIL_PAYLOAD)
     return items.join(full, ["space_id", "eval_run_id", "result_id"], "left").select(
         "space_id", "eval_run_id", "benchmark_question_id", "question", "assessment",
