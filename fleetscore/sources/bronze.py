@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscore.operators.quality import key_violations
-from fleetscore.operators.upsert import latest_per_key, upsert
+from fleetscore.operators.ranking import top_k
+from fleetscore.operators.upsert import latest_per_key
 
 _MAX_LISTED_PARTITIONS = 5000
 
@@ -58,15 +59,15 @@ def merge_into(source: DataFrame, name: str, keys: list[str], order_by: str = "h
 def merge_partitions(
     source: DataFrame, path: str, keys: list[str], partition: str = "created_date", order_by: str = "harvested_at"
 ) -> None:
-    """Upsert into a Parquet table by rewriting only the partitions that source touches.
+    """Merge into a Parquet table by rewriting only the partitions that source touches.
 
-    For tables without MERGE. A key must keep its partition, as a message keeps its day of creation.
+    For tables without MERGE. The newest version of a row stays, also when an older one comes later;
+    among equals source wins. A key must keep its partition, as a message keeps its day of creation.
     The new files are staged and put in place when the job commits, so the old ones can be read in it.
     """
     spark = source.sparkSession
-    path_exists = _exists(spark, path)
     newest = latest_per_key(source, keys, order_by)
-    if path_exists:
+    if _exists(spark, path):
         # Days, not rows: a batch touches few of them, and the list prunes the scan of the target.
         days = [r[0] for r in source.select(partition).distinct().limit(_MAX_LISTED_PARTITIONS + 1).collect()]
         stored = spark.read.schema(source.schema).parquet(path)
@@ -74,7 +75,9 @@ def merge_partitions(
             known = [d for d in days if d is not None]
             touched = F.col(partition).isin(known) if known else F.lit(False)
             stored = stored.where(touched | F.col(partition).isNull() if None in days else touched)
-        newest = upsert(stored, newest, keys, order_by)
+        both = stored.withColumn("_fresh", F.lit(0)).unionByName(newest.withColumn("_fresh", F.lit(1)))
+        order = [F.col(order_by).desc_nulls_last(), F.col("_fresh").desc()]
+        newest = top_k(both, keys, order, 1, "_rk").drop("_rk", "_fresh")
     replace_day(newest, path, partition)
 
 
