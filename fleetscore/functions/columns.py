@@ -39,11 +39,6 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
-def safe_cast(c: Column, kind: str) -> Column:
-    """Cast that yields null for text which does not hold such a value."""
-    return c.try_cast(kind)
-
-
 def epoch_ms_to_ts(ms: Column) -> Column:
     """UTC timestamp of epoch milliseconds; absent and zero both mean unknown."""
     return F.timestamp_millis(F.nullif(ms, F.lit(0).cast("bigint")))

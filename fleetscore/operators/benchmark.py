@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscore.functions.columns import (
     ASSESSMENT_COLOURS, ASSESSMENT_GLYPHS, epoch_ms_to_ts, lookup, percent, questions_run, run_order, run_recency,
 )
-from fleetscore.operators.ranking import ordered_rank, same_keys, top_k
+from fleetscore.operators.ranking import ordered_rank, same_keys
 
 _MAX_PIVOT_COLUMNS = 1000
 
@@ -149,12 +149,3 @@ def space_run_trend(trend: DataFrame, space_id: str) -> DataFrame:
     """The run trend of one space in run order."""
     return trend.where(F.col("space_id") == space_id).drop("space_id").orderBy("run_index")
 
-
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run of every space, whole row."""
-    newest_first = [
-        F.col("created_timestamp").desc_nulls_last(),
-        F.col("eval_run_id").try_cast("bigint").desc_nulls_last(),
-        F.col("eval_run_id").desc_nulls_last(),
-    ]
-    return top_k(runs, ["space_id"], newest_first, 1, "_rk").drop("_rk")

@@ -484,6 +484,17 @@ _CTES["parts"] = """
       string_agg(shown, ',' ORDER BY shown) FILTER (kind = 'r') AS rids
     FROM items i JOIN (SELECT space_id, CAST(greatest(ceil(count(*) / 500e0), ceil(sum(chars) / 4e6), 1) AS BIGINT)
       AS n_parts FROM items GROUP BY 1) s ON s.space_id = i.space_id GROUP BY ALL"""
+_CTES["shown"] = """
+    SELECT space_id, instruction_id AS id, 'i' AS kind, NULL AS bq, NULL AS question, NULL AS assessment, NULL AS e,
+      NULL AS a, CAST(to_json({'instruction_id': instruction_id, 'instruction_type': instruction_type, 'title': title,
+        'content': content}) AS VARCHAR) AS j FROM ins
+    UNION ALL SELECT space_id, curated_question_id, 'q', NULL, NULL, NULL, NULL, NULL,
+      CAST(to_json({'benchmark_question_id': curated_question_id, 'question_text': question_text,
+        'answer_text': answer_text}) AS VARCHAR) FROM cq WHERE question_type = 'BENCHMARK'
+    UNION ALL SELECT space_id, result_id, 'r', benchmark_question_id, question, assessment, expected_response,
+      coalesce(actual_response, ''),
+      CAST(to_json({'benchmark_question_id': benchmark_question_id, 'question': question, 'assessment': assessment,
+        'expected_sql': expected_response, 'actual_sql': actual_response}) AS VARCHAR) FROM latest_results"""
 _CTES["grades"] = """
     SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr('ABCDF', CAST(doc_id % 5 + 1 AS INTEGER), 1)
         WHEN 1 THEN substr('ABCDF', CAST(doc_id % 5 + 1 AS INTEGER), 1) ELSE '?' END AS grade,
@@ -772,6 +783,16 @@ _SQL: dict[str, str] = {
         CAST(coalesce(nr, 0) AS INTEGER) AS n_results, coalesce(iids, '') AS instruction_ids,
         coalesce(qids, '') AS question_ids, coalesce(rids, '') AS result_ids
       FROM scorecard s LEFT JOIN parts p ON p.space_id = s.space_id""",
+    "bundle_json": """
+      SELECT s.space_id, coalesce(p.part, 0) AS part, '{"schema":{},"instructions":[' || coalesce(ij, '')
+        || '],"benchmark_questions":[' || coalesce(qj, '') || '],"benchmark_results":[' || coalesce(rj, '') || ']}' AS json
+      FROM scorecard s LEFT JOIN (
+        SELECT p.space_id, p.part, string_agg(j, ',' ORDER BY i.id) FILTER (kind = 'i') AS ij,
+          string_agg(j, ',' ORDER BY i.id) FILTER (kind = 'q') AS qj,
+          string_agg(j, ',' ORDER BY bq, question, assessment, e, a, i.id) FILTER (kind = 'r') AS rj
+        FROM parts p JOIN shown i ON i.space_id = p.space_id
+          AND CAST(('0x' || substr(md5(i.id), 1, 8)) AS BIGINT) % p.n_parts = p.part GROUP BY ALL) p
+      ON p.space_id = s.space_id""",
     "valid_evidence_ids": "SELECT * FROM ids",
     "parse_model_steps": "SELECT * FROM steps",
     "grounded_steps": "SELECT * FROM grounded",

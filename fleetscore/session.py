@@ -17,13 +17,23 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# On a cluster, shuffles start with many partitions and AQE joins them to this size. Streams keep
+# spark.sql.shuffle.partitions, which fixes the number of their state stores.
+CLUSTER = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def get_session(app: str = "fleetscore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator assumes; on a cluster, master comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    base = DEFAULTS if master and master.startswith("local") else {**DEFAULTS, **CLUSTER}
+    for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -42,8 +42,11 @@ def create_or_replace(df: DataFrame, name: str, provider: str = "parquet") -> No
 
 
 def replace_day(df: DataFrame, path: str, col: str = "snapshot_date") -> None:
-    """Only the days in df are replaced; writing a day twice leaves it once."""
-    (df.repartition(col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Only the days in df are replaced; writing a day twice leaves it once.
+
+    Rebalancing gathers a small day into few files and splits a large one over many tasks.
+    """
+    (df.hint("rebalance", col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(col).parquet(path))
 
 

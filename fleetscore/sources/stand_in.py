@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscore.operators.ranking import ordered_rank
+from fleetscore.sources.bronze import scan_bronze
 
 PAGE_MESSAGES = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan_bronze(spark, sf_dir, f"{name}.parquet")
 
 
 def _space(number: Column) -> Column:
