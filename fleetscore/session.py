@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Stack traces for every column cost more than planning a query of this size.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # On a cluster, shuffles start with many partitions and AQE joins them to this size. Streams keep

@@ -14,9 +14,15 @@ from fleetscore.operators.upsert import latest_per_key
 _MAX_LISTED_PARTITIONS = 5000
 
 
-def scan_bronze(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A table by name: under a folder when `base` is a path, else in the catalog namespace `base`."""
-    return spark.read.parquet(f"{base}/{name}") if "/" in base else spark.read.table(f"{base}.{name}")
+def scan_bronze(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table by name: under a folder when `base` is a path, else in the catalog namespace `base`.
+
+    With the schema of a folder's table known, no file footer is read to find it out.
+    """
+    if "/" not in base:
+        return spark.read.table(f"{base}.{name}")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{base}/{name}")
 
 
 def create_table(spark: SparkSession, name: str, schema: str, partition_by: list[str] | None = None) -> None:
