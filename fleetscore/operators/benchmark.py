@@ -68,15 +68,15 @@ def benchmark_run_trend(runs: DataFrame, richness: DataFrame) -> DataFrame:
 def benchmark_question_matrix(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Every result with the place of its run among the space's runs that have results.
 
-    Runs at the same time share a place, so places are given to distinct (space, time) pairs; only
-    these few rows are ranked, not the results.
+    Runs at the same time share a place, so places are given to distinct (space, time) pairs. The runs
+    get theirs first, and the results, which are many, meet the runs in one join.
     """
-    times = runs.select("space_id", "eval_run_id", "created_timestamp")
-    timed = results.join(times, ["space_id", "eval_run_id"], "left")
-    seen = results.select("space_id", "eval_run_id").distinct().join(times, ["space_id", "eval_run_id"], "left")
+    run = ["space_id", "eval_run_id"]
+    seen = results.select(*run).distinct().join(runs.select(*run, "created_timestamp"), run, "left")
     moments = seen.select("space_id", "created_timestamp").distinct()
     places = ordered_rank(moments, ["space_id"], [F.col("created_timestamp").asc_nulls_first()], "run_index")
-    return same_keys(timed, places, ["space_id", "created_timestamp"]).select(
+    placed = same_keys(seen, places, ["space_id", "created_timestamp"])
+    return same_keys(results, placed, run).select(
         "space_id", "eval_run_id", "run_index", epoch_ms_to_ts(F.col("created_timestamp")).alias("run_ts"),
         "result_id", "benchmark_question_id", F.substring("question", 1, 300).alias("question"), "assessment",
     )

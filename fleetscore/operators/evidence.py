@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetscore.functions.columns import BENCHMARK, SQL_INSTRUCTION, TEXT_INSTRUCTION, blank_to_null, tally
 from fleetscore.operators.ranking import top_k
+from fleetscore.session import with_known_size
 
 METRICS = [
     "benchmark_questions_defined", "num_runs", "coverage_pct", "benchmark_quality_pct", "sql_instructions",
@@ -69,7 +70,7 @@ def evidence_bundle(
     )
     hashed = F.conv(F.substring(F.md5(F.coalesce("_id", F.lit(""))), 1, 8), 16, 10).cast("bigint")
     parts = (
-        items.join(sizes, "space_id")
+        items.join(with_known_size(sizes, "part-sizes"), "space_id")
         .groupBy("space_id", "n_parts", (hashed % F.col("n_parts")).alias("part"))
         .agg(*[
             F.sort_array(F.collect_list(one)).alias(many)

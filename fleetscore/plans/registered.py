@@ -14,7 +14,7 @@ from fleetscore.operators import (
 )
 from fleetscore.operators import factors as activity
 from fleetscore.schemas import PRIMARY_KEYS
-from fleetscore.session import scratch_path
+from fleetscore.session import scratch_path, with_known_size
 from fleetscore.sources import payloads, stand_in
 from fleetscore.sources.bronze import replace_day
 from fleetscore.streaming import streams
@@ -70,10 +70,8 @@ class Fleet:
     @cached_property
     def scorecard(self) -> DataFrame:
         """The gold table, kept as the daily run keeps it: one row per space."""
-        path = scratch_path(self.spark, "scorecard")
         plan = scorecard.space_scorecard(self["space_meta"], self.factors, self.richness, self.benchmark, AS_OF)
-        plan.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return with_known_size(plan, "scorecard")
 
     @cached_property
     def trend(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder, for tables and stream state of one run."""
     return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def with_known_size(df: DataFrame, purpose: str) -> DataFrame:
+    """df written once and read back: joins then go by its real size, and broadcast it only if that is small.
+
+    Meant for a small table next to a wide one, which an estimate would have shuffled.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
