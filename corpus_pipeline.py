@@ -28,10 +28,15 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows equal in doc_id and text are one document. A document without an id stays.
+    """
     groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100), bands=51, rows=5)
     gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    t1, t2 = text_key(F.col("text"))
+    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_t1", t1).withColumn("_t2", t2)
+    return rest.dropDuplicates(["doc_id", "_t1", "_t2"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
