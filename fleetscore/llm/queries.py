@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscore.llm import curriculum, decontaminate, langid, line_spread, neardup
+from fleetscore.llm import curriculum, decontaminate, langid, line_spread, neardup, perplexity, topk, warc, wordpiece
+from fleetscore.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +44,37 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return topk.nearest(vectors, topk.sampled_queries(vectors))
+
+
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    arcs = pages.mapInArrow(warc.pages_to_arc, "path string, content binary")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.to_warc(arcs), path)
+    return warc.resolved(warc.read_warc(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_language_id": language_id,
         "op3_curriculum_mix": curriculum_mix,
+        "op4_token_counts": token_counts,
         "op5_line_dedup": line_dedup,
         "op6_decontamination": decontamination,
+        "op7_quality_perplexity": quality_perplexity,
+        "op8_exact_topk": exact_topk,
         "op9_near_dedup": near_dedup,
+        "op10_arc_to_warc": arc_to_warc,
     }
