@@ -11,7 +11,7 @@ distinct keys joined with the sharded tables order by order, backing off where a
 joined to the documents. Nothing is pruned: every n-gram gets its full interpolated probability.
 
 A language's threshold is a quantile of the perplexities of its trusted documents, or of all trusted documents
-where it has none. Null texts and texts without characters have no perplexity and aren't accepted. A null
+where it has none. Null texts and texts without characters have no perplexity and aren't kept. A null
 language is a group of its own. Labels: a document is trusted if any of its labels has quality 1 and none is toxic.
 Without trusted text no document has a perplexity. Rows equal in doc_id and text have equal results.
 """
@@ -34,7 +34,7 @@ _BLANK = np.uint64(32)
 
 
 def _mask(k: int) -> int:
-    return (1 << (16 * k)) - 1
+    return (1 << (16 * k)) - 1 if k < ORDER else -1
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFrame:
-    """doc_id, perplexity, threshold, accepted for every row of docs (doc_id, text, lang)."""
+    """doc_id, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
     good = trusted_ids(labels)
     scores = settle(perplexities(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi")), "perplexities")
     t1, t2 = text_key(F.coalesce("text", F.lit("")))
@@ -194,4 +194,4 @@ def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFram
     overall = own.agg(cut(F.col("perplexity"))).first()[0]
     return scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
         "doc_id", "perplexity", F.coalesce("_limit", F.lit(overall).cast("double")).alias("threshold"),
-    ).withColumn("accepted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
+    ).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscore.llm import curriculum, decontaminate, langid, line_spread, neardup, perplexity, topk, warc, wordpiece
+from fleetscore.llm import curriculum, decontaminate, langid, line_spread, neardup, perplexity, toolcalls, topk, warc, wordpiece
 from fleetscore.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,15 +35,21 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and each benchmark item that it holds."""
     hits = decontaminate.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"),
-                       F.col("hits.distance").alias("distances"))
+    return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = toolcalls.events_of_conversations(_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame([("answer", toolcalls.ANSWER_SCHEMA)], "name string, schema string")
+    return toolcalls.linked(events, schemas)
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,7 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_tool_call_linking": tool_call_linking,
         "op2_language_id": language_id,
         "op3_curriculum_mix": curriculum_mix,
         "op4_token_counts": token_counts,
