@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import WORD, text_key
+from fleetscore.llm.arrays import WORD, settle, text_key
 
 KEY = ["l1", "l2"]
 BLANKS = " \t\r\x0b\x0c"
@@ -35,15 +35,14 @@ def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     return lines.select("doc_id", "t1", "t2", "site", "pos", l1.alias("l1"), l2.alias("l2"))
 
 
-def shared_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 3, lg_k: int = 12) -> DataFrame:
-    """(l1, l2, home) of the lines on at least min_sites sites."""
-    lines = _lines(docs, site, min_words)
-    seen = lines.groupBy(*KEY).agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
-        F.min(F.struct("doc_id", "t1", "t2", "pos")).alias("home"))
+def shared_lines(lines: DataFrame, min_sites: int = 5, lg_k: int = 12) -> DataFrame:
+    """(l1, l2, home) of the lines on at least min_sites sites, from rows of _lines."""
     slack = 4 * 1.04 / 2 ** (lg_k / 2)
+    seen = settle(lines.groupBy(*KEY).agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
+        F.min(F.struct("doc_id", "t1", "t2", "pos")).alias("home")).where(F.col("sites") >= min_sites * (1 - slack)), "spread")
     sure = seen.where(F.col("sites") > min_sites * (1 + slack)).select(*KEY, "home")
-    near = seen.where(F.col("sites").between(min_sites * (1 - slack), min_sites * (1 + slack))).select(*KEY, "home")
+    near = seen.where(F.col("sites") <= min_sites * (1 + slack)).select(*KEY, "home")
     exact = lines.join(near.select(*KEY), KEY, "left_semi").select(*KEY, "site").distinct().groupBy(*KEY).agg(F.count("*").alias("n"))
     return sure.unionByName(near.join(exact.where(F.col("n") >= min_sites).select(*KEY), KEY))
 
@@ -52,11 +51,12 @@ def remove_shared_lines(docs: DataFrame, site: str = "source", min_sites: int =
     """Every row of docs with its text without shared lines, and n_lines, n_removed and emptied (all that was not
     blank is gone). Columns of docs with these names are replaced; n_chars, where present, follows the text.
     """
-    shared = shared_lines(docs, site, min_sites, min_words, lg_k)
+    lines = settle(_lines(docs, site, min_words), "lines")
+    shared = settle(shared_lines(lines, min_sites, lg_k), "shared")
     marks = (
-        _lines(docs, site, min_words).join(shared, KEY)
+        lines.join(shared, KEY)
         .where(~F.struct("doc_id", "t1", "t2", "pos").eqNullSafe(F.col("home")))
-        .groupBy("doc_id", "t1", "t2").agg(F.collect_list("pos").alias("_gone"))
+        .groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("_gone"))
         .withColumnsRenamed({"doc_id": "_id", "t1": "_r1", "t2": "_r2"}))
     t1, t2 = text_key(F.col("text"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]

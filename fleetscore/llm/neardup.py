@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from fleetscore.llm.arrays import column_bytes, mix, settle, shingles, slices, text_key, word_hasher
 
 BINS = 256
-CHUNK = 256        # members of a star, or rows of a pair of blocks, that are verified together
-BLOCK_SHINGLES = 1 << 19
+CHUNK = 256            # members of a star that are verified together
+BLOCK = 384            # rows of a block, about
+BLOCK_SHINGLES = 1 << 20
 
 
 def sequences(steps: int = 64) -> np.ndarray:
@@ -273,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = mixed.groupBy("size", "a", "b", "who").agg(F.min("key").alias("key"))  # one of the bands with the same members
     held = settle(held.join(once.select("key"), "key").join(nodes.select("node", "n"), "node"), "held")
     width = held.groupBy("key").agg(
-        F.greatest(F.ceil(F.count("*") * 2 / CHUNK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("width"))
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("width"))
     block = F.pmod(F.xxhash64("node"), "width").cast("int")
     pairs = (
         held.join(width, "key").withColumn("block", block)

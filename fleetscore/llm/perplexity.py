@@ -136,7 +136,7 @@ def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
         frequent = known[at] == unique if len(known) else np.zeros(len(unique), bool)
         log = np.where(frequent, logs[at], 0.0) if len(known) else np.zeros(len(unique))
-        sums = np.bincount(row, log[place], len(counts))
+        sums = np.bincount(row, log[place], len(counts)).astype(float)
         rest = np.flatnonzero(~frequent[place])
         pairs, n = np.unique(np.stack([row[rest], place[rest]], 1), axis=0, return_counts=True) if len(rest) else (np.zeros((0, 2), np.int64), [])
         ids = [batch.column(c) for c in ("doc_id", "t1", "t2")]

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetscore.llm.arrays import settle
 from fleetscore.operators.ranking import ordered_rank, same_keys
@@ -84,7 +85,10 @@ def check_arguments(arguments: str | None, schema: str | None) -> tuple[object,
     return value, ["$: no schema"] if schema is None else problems(value, json.loads(schema))
 
 
-@F.pandas_udf("struct<json:string, problems:array<string>>")
+_SERIAL = T.StructType([T.StructField("json", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_SERIAL)
 def _serialised(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in rows:
         out = []
