@@ -60,6 +60,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         probes = left.select("query_id", "query", F.posexplode("query").alias("segment", "own")).select(
             "query_id", "query", "segment", "own", F.explode(_masks(radius)).alias("mask")).select(
             "query_id", "query", F.col("segment").alias("_segment"), F.col("own").bitwiseXOR(F.col("mask")).alias("_value"))
+        probes = settle(probes, "probes")  # a plan can't tell how many there are, and would broadcast them
         distance = sum(apart[1:], apart[0])
         found = settle(index.join(
             probes, (F.col("segment") == F.col("_segment")) & (F.col("value") == F.col("_value")) & (distance <= covered) & ~earlier)
