@@ -112,3 +112,8 @@ def grade_score(grade: Column) -> Column:
 def impact_rank(impact: Column) -> Column:
     """high, medium, low, then anything else, null included."""
     return F.coalesce(lookup(impact, IMPACT_ORDER), F.lit(3))
+
+
+def clipped(name: str, chars: int | None) -> Column:
+    """A text column whole, or its first `chars` characters."""
+    return F.col(name) if chars is None else F.substring(name, 1, chars).alias(name)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.functions.columns import (
+    clipped,
     ASSESSMENT_COLOURS, ASSESSMENT_GLYPHS, epoch_ms_to_ts, lookup, percent, questions_run, run_order, run_recency,
 )
 from fleetscore.operators.ranking import ordered_rank, same_keys
@@ -65,11 +66,12 @@ def benchmark_run_trend(runs: DataFrame, richness: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_question_matrix(results: DataFrame, runs: DataFrame) -> DataFrame:
+def benchmark_question_matrix(results: DataFrame, runs: DataFrame, chars: int | None = None) -> DataFrame:
     """Every result with the place of its run among the space's runs that have results.
 
     Runs at the same time share a place, so places are given to distinct (space, time) pairs. The runs
-    get theirs first, and the results, which are many, meet the runs in one join.
+    get theirs first, and the results, which are many, meet the runs in one join. Questions are whole, or
+    their first `chars` characters.
     """
     run = ["space_id", "eval_run_id"]
     seen = results.select(*run).distinct().join(runs.select(*run, "created_timestamp"), run, "left")
@@ -78,7 +80,7 @@ def benchmark_question_matrix(results: DataFrame, runs: DataFrame) -> DataFrame:
     placed = same_keys(seen, places, ["space_id", "created_timestamp"])
     return same_keys(results, placed, run).select(
         "space_id", "eval_run_id", "run_index", epoch_ms_to_ts(F.col("created_timestamp")).alias("run_ts"),
-        "result_id", "benchmark_question_id", F.substring("question", 1, 300).alias("question"), "assessment",
+        "result_id", "benchmark_question_id", clipped("question", chars), "assessment",
     )
 
 
@@ -102,7 +104,7 @@ def matrix_cells(matrix: DataFrame) -> DataFrame:
 def matrix_pivot(matrix: DataFrame, n_runs: int | None = None) -> DataFrame:
     """Questions by runs: columns r1..rk hold the assessments.
 
-    Without n_runs the number of columns is taken from the data. `matrix_cells` is the same content
+    Without n_runs the number of columns is taken from the data; a smaller n_runs shows the first runs only. `matrix_cells` is the same content
     in rows and has no limit; a pivot wider than a table can be is refused, not cut.
     """
     if n_runs is None:
@@ -145,7 +147,8 @@ def trend_delta(trend: DataFrame) -> DataFrame:
     )
 
 
-def space_run_trend(trend: DataFrame, space_id: str) -> DataFrame:
-    """The run trend of one space in run order."""
-    return trend.where(F.col("space_id") == space_id).drop("space_id").orderBy("run_index")
+def space_run_trend(runs: DataFrame, richness: DataFrame, space_id: str) -> DataFrame:
+    """The run trend of one space in run order; only that space's runs are read and ranked."""
+    one = F.col("space_id") == space_id
+    return benchmark_run_trend(runs.where(one), richness.where(one)).drop("space_id").orderBy("run_index")
 

@@ -12,12 +12,21 @@ from fleetscore.functions.columns import BENCHMARK, SQL_INSTRUCTION, TEXT_INSTRU
 from fleetscore.operators.ranking import top_k
 from fleetscore.session import with_known_size
 
+# Fixed names of the figures a bundle carries.
 METRICS = [
     "benchmark_questions_defined", "num_runs", "coverage_pct", "benchmark_quality_pct", "sql_instructions",
     "text_instructions", "feedback_positive_pct", "thumbs_down", "msgs",
 ]
 # The problems a model may report; everything else is left to the rules.
 MODEL_CATEGORIES = ["CONFLICTING_INSTRUCTIONS", "BAD_GROUND_TRUTH"]
+TASK = (
+    "You are given, as JSON, the tables, instructions, benchmark questions and latest results of one data assistant. "
+    "Report two kinds of problem only. CONFLICTING_INSTRUCTIONS: two instructions that cannot both be followed, such as "
+    "two meanings of one term. BAD_GROUND_TRUTH: a question whose expected SQL is itself wrong, for example a column that "
+    "does not exist or an answer to another question. Answer with JSON alone: {\"steps\": [{\"category\", \"step\", \"why\", "
+    "\"evidence\", \"impact\"}]}, where evidence names the ids it rests on and impact is high, medium or low. "
+    "If there is nothing to report, answer {\"steps\": []}."
+)
 SCHEMA_TYPE = "map<string,array<string>>"
 _STEPS_TYPE = "array<struct<steps:array<struct<category:string,step:string,why:string,evidence:string,impact:string>>>>"
 
@@ -47,11 +56,12 @@ def evidence_bundle(
 ) -> DataFrame:
     """Metrics, instructions, benchmark questions (deprecated ones too) and results of every space.
 
-    A space with more items or text than fits one prompt is spread over parts of about that size, by a
-    hash of the item id: nothing is left out, and no space becomes one giant row. Most have part 0 only.
+    A space with more items or text than fits one prompt is spread over parts of about that size; nothing is
+    left out, and no space becomes one giant row. What has to be seen together shares a part: a question and
+    its results go by the question's id, instructions under one title by that title.
     """
     items = (
-        instructions.select("space_id", F.col("instruction_id").alias("_id"), _instruction().alias("instruction"),
+        instructions.select("space_id", F.coalesce(blank_to_null(F.lower(F.trim("title"))), "instruction_id").alias("_id"), _instruction().alias("instruction"),
                             _chars("title", "content").alias("_chars"))
         .unionByName(
             curated.where(F.col("question_type") == BENCHMARK).select(
@@ -59,7 +69,7 @@ def evidence_bundle(
                 _chars("question_text", "answer_text").alias("_chars")),
             allowMissingColumns=True)
         .unionByName(
-            results.select("space_id", F.col("result_id").alias("_id"), _result().alias("result"),
+            results.select("space_id", F.coalesce("benchmark_question_id", "result_id").alias("_id"), _result().alias("result"),
                            _chars("question", "expected_response", "actual_response").alias("_chars")),
             allowMissingColumns=True)
     )
@@ -109,23 +119,25 @@ def valid_evidence_ids(instructions: DataFrame, curated: DataFrame, results: Dat
     )
 
 
-def ask_model(prompts: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
-    """The model's reply to every prompt. A call that fails gives null, and the other spaces go on.
+def ask_model(prompts: DataFrame, model: Callable[[str], str | None], task: str | None = TASK) -> DataFrame:
+    """The model's reply to every prompt, which is the task and the evidence below it.
 
-    Prompts go to `model` one by one inside Arrow batches; the calls dwarf the transfer.
+    A call that fails gives a null reply and the error's text, and the other spaces go on. Prompts go to `model`
+    one by one inside Arrow batches; the calls dwarf the transfer.
     """
+    head = "" if task is None else f"{task}\n\n"
 
-    def answer(texts: pd.Series) -> pd.Series:
+    def answer(texts: pd.Series) -> pd.DataFrame:
         def one(text):
             try:
-                return model(text)
-            except Exception:
-                return None
+                return model(head + text), None
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"
 
-        return texts.map(one)
+        return pd.DataFrame([one(t) for t in texts], columns=["reply", "error"])
 
-    reply = F.pandas_udf(answer, "string")
-    return prompts.select("space_id", "part", reply("json").alias("reply"))
+    reply = F.pandas_udf(answer, "reply string, error string").asNondeterministic()
+    return prompts.withColumn("_answer", reply("json")).select("space_id", "part", "_answer.reply", "_answer.error")
 
 
 def parse_model_steps(replies: DataFrame) -> DataFrame:

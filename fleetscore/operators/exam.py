@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscore.functions.columns import instant_of
+from fleetscore.functions.columns import TEXT_INSTRUCTION, instant_of
 from fleetscore.operators.evidence import SCHEMA_TYPE
 from fleetscore.operators.findings import deterministic_findings
 from fleetscore.schemas import EXAM_FILE
@@ -54,22 +54,23 @@ def exam_scores(scores: DataFrame) -> DataFrame:
 
 
 def inject_defects(bundles: DataFrame) -> DataFrame:
-    """Every bundle twice: once with two instructions at odds, once with a wrong expected answer."""
-    text = lambda **fields: F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
-    at_odds = F.array(
-        text(instruction_id="PLANTED_A", instruction_type="TEXT_INSTRUCTION", title="Open orders",
-             content="An order is OPEN while order_state = 'O'."),
-        text(instruction_id="PLANTED_B", instruction_type="TEXT_INSTRUCTION", title="Open orders",
-             content="An order is OPEN while shipped_on is null, whatever order_state says."),
-    )
-    wrong_sql = "SELECT AVG(missing_total) FROM orders_small WHERE no_such_flag = 'y'"
-    question = F.array(text(benchmark_question_id="PLANTED_Q", question_text="Average order value?",
-                            answer_text=wrong_sql))
-    result = F.array(text(benchmark_question_id="PLANTED_Q", question="Average order value?", assessment="BAD",
-                          expected_sql=wrong_sql, actual_sql="SELECT AVG(order_value) FROM orders_small"))
-    columns = F.create_map(
-        F.lit("orders_small"), F.array(F.lit("order_id"), F.lit("order_state"), F.lit("order_value"))
-    ).cast(SCHEMA_TYPE)
+    """Every bundle twice: once with an instruction that denies another one, once with a wrong expected answer.
+
+    Both defects are made of the bundle's own first instruction and question, so that they look like the rest.
+    """
+    text = lambda **fields: F.struct(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in fields.items()])
+    rule, asked = F.get("instructions", F.lit(0)), F.get("benchmark_questions", F.lit(0))
+    filled = lambda value, otherwise: F.coalesce(value, F.lit(otherwise))
+    at_odds = F.array(text(
+        instruction_id="defect_rule", instruction_type=TEXT_INSTRUCTION, title=filled(rule["title"], "General"),
+        content=F.concat(F.lit("The opposite holds from now on, never this: "), filled(rule["content"], "answer every question"))))
+    wrong_sql = F.concat(F.lit("SELECT max(column_nobody_has) FROM ("), filled(asked["answer_text"], "SELECT 1"), F.lit(") t"))
+    wording = filled(asked["question_text"], "How many are there?")
+    question = F.array(text(benchmark_question_id="defect_question", question_text=wording, answer_text=wrong_sql))
+    result = F.array(text(
+        benchmark_question_id="defect_question", question=wording, assessment="BAD", expected_sql=wrong_sql,
+        actual_sql=filled(asked["answer_text"], "SELECT 1")))
+    columns = F.create_map(F.lit("t"), F.array(F.lit("column_of_t"))).cast(SCHEMA_TYPE)
     conflict = F.col("mutation") == "conflict"
 
     def grown(name, extra, when):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.functions.columns import NEGATIVE, POSITIVE, date_of, is_error, p90, percent, tally
+from fleetscore.functions.columns import NEGATIVE, POSITIVE, clipped, date_of, is_error, p90, percent, tally
 from fleetscore.operators.ranking import same_keys
 
 
@@ -47,11 +47,11 @@ def error_messages(messages: DataFrame) -> DataFrame:
     return messages.where(is_error())
 
 
-def feedback_flags(messages: DataFrame) -> DataFrame:
-    """Messages users rated down, with the SQL that was generated for them."""
+def feedback_flags(messages: DataFrame, chars: int | None = None) -> DataFrame:
+    """Messages users rated down, with the SQL that was generated for them (its first `chars` characters, if given)."""
     return messages.where(F.col("feedback_rating") == NEGATIVE).select(
         "space_id", "message_id", F.col("user_question").alias("question"),
-        F.substring("sql_generated", 1, 2000).alias("sql_generated"), "error_type", "created_ts",
+        clipped("sql_generated", chars), "error_type", "created_ts",
     )
 
 

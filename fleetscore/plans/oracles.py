@@ -470,11 +470,11 @@ _TRIMMED = """
 _CTES["trimmed"] = _TRIMMED
 _CTES["cases"] = _CASE_SCORES
 _CTES["items"] = """
-    SELECT space_id, instruction_id AS id, 'i' AS kind, instruction_id AS shown,
+    SELECT space_id, coalesce(nullif(lower(trim(title)), ''), instruction_id) AS id, 'i' AS kind, instruction_id AS shown,
       coalesce(length(title), 0) + coalesce(length(content), 0) AS chars FROM ins
     UNION ALL SELECT space_id, curated_question_id, 'q', curated_question_id,
       length(question_text) + length(answer_text) FROM cq WHERE question_type = 'BENCHMARK'
-    UNION ALL SELECT space_id, result_id, 'r', result_id, length(question) + length(expected_response)
+    UNION ALL SELECT space_id, coalesce(benchmark_question_id, result_id), 'r', result_id, length(question) + length(expected_response)
       + coalesce(length(actual_response), 0) FROM latest_results"""
 _CTES["parts"] = """
     SELECT i.space_id, n_parts, CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % n_parts AS part,
@@ -485,13 +485,13 @@ _CTES["parts"] = """
     FROM items i JOIN (SELECT space_id, CAST(greatest(ceil(count(*) / 500e0), ceil(sum(chars) / 4e6), 1) AS BIGINT)
       AS n_parts FROM items GROUP BY 1) s ON s.space_id = i.space_id GROUP BY ALL"""
 _CTES["shown"] = """
-    SELECT space_id, instruction_id AS id, 'i' AS kind, NULL AS bq, NULL AS question, NULL AS assessment, NULL AS e,
+    SELECT space_id, coalesce(nullif(lower(trim(title)), ''), instruction_id) AS together, instruction_id AS id, 'i' AS kind, NULL AS bq, NULL AS question, NULL AS assessment, NULL AS e,
       NULL AS a, CAST(to_json({'instruction_id': instruction_id, 'instruction_type': instruction_type, 'title': title,
         'content': content}) AS VARCHAR) AS j FROM ins
-    UNION ALL SELECT space_id, curated_question_id, 'q', NULL, NULL, NULL, NULL, NULL,
+    UNION ALL SELECT space_id, curated_question_id, curated_question_id, 'q', NULL, NULL, NULL, NULL, NULL,
       CAST(to_json({'benchmark_question_id': curated_question_id, 'question_text': question_text,
         'answer_text': answer_text}) AS VARCHAR) FROM cq WHERE question_type = 'BENCHMARK'
-    UNION ALL SELECT space_id, result_id, 'r', benchmark_question_id, question, assessment, expected_response,
+    UNION ALL SELECT space_id, coalesce(benchmark_question_id, result_id), result_id, 'r', benchmark_question_id, question, assessment, expected_response,
       coalesce(actual_response, ''),
       CAST(to_json({'benchmark_question_id': benchmark_question_id, 'question': question, 'assessment': assessment,
         'expected_sql': expected_response, 'actual_sql': actual_response}) AS VARCHAR) FROM latest_results"""
@@ -791,7 +791,7 @@ _SQL: dict[str, str] = {
           string_agg(j, ',' ORDER BY i.id) FILTER (kind = 'q') AS qj,
           string_agg(j, ',' ORDER BY bq, question, assessment, e, a, i.id) FILTER (kind = 'r') AS rj
         FROM parts p JOIN shown i ON i.space_id = p.space_id
-          AND CAST(('0x' || substr(md5(i.id), 1, 8)) AS BIGINT) % p.n_parts = p.part GROUP BY ALL) p
+          AND CAST(('0x' || substr(md5(i.together), 1, 8)) AS BIGINT) % p.n_parts = p.part GROUP BY ALL) p
       ON p.space_id = s.space_id""",
     "valid_evidence_ids": "SELECT * FROM ids",
     "parse_model_steps": "SELECT * FROM steps",
@@ -812,16 +812,12 @@ _SQL: dict[str, str] = {
     "inject_defects": """
       SELECT space_id, mutation, CASE mutation WHEN 'conflict' THEN 'CONFLICTING_INSTRUCTIONS' ELSE 'BAD_GROUND_TRUTH' END
           AS expected,
-        CAST(n_instructions + CASE mutation WHEN 'conflict' THEN 2 ELSE 0 END AS INTEGER) AS n_instructions,
+        CAST(n_instructions + CASE mutation WHEN 'conflict' THEN 1 ELSE 0 END AS INTEGER) AS n_instructions,
         CAST(defined + CASE mutation WHEN 'conflict' THEN 0 ELSE 1 END AS INTEGER) AS n_questions,
         CASE mutation WHEN 'conflict' THEN 0 ELSE 1 END AS n_results,
-        CASE mutation WHEN 'conflict' THEN lastq ELSE 'PLANTED_Q' END AS last_question,
-        CASE mutation WHEN 'conflict' THEN '' ELSE 'orders_small' END AS tables
+        CASE mutation WHEN 'conflict' THEN lastq ELSE 'defect_question' END AS last_question,
+        CASE mutation WHEN 'conflict' THEN '' ELSE 't' END AS tables
       FROM trimmed, (VALUES ('conflict'), ('bad_truth')) AS m(mutation)""",
-    "mutation_recall": """
-      SELECT 2 * count(*) AS cases, count(*) + count(*) FILTER (sql_instructions > 20) AS caught,
-        round((count(*) + count(*) FILTER (sql_instructions > 20)) / CAST(2 * count(*) AS DOUBLE), 3) AS mutation_recall
-      FROM trimmed""",
     # specified figures
     "harvest_freshness": f"""
       SELECT space_id, max(harvested_at) AS last_harvest,

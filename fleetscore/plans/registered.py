@@ -193,7 +193,7 @@ def _owners(f: Fleet) -> DataFrame:
 
 
 def _eval_results(f: Fleet) -> DataFrame:
-    return payloads.flatten_eval_results(*stand_in.result_payloads(f["eval_results"]))
+    return payloads.flatten_eval_results(*stand_in.result_payloads(f["eval_results"]), chars=6000)
 
 
 # --- scope and merges ---------------------------------------------------------------------------
@@ -376,16 +376,6 @@ def _injected(f: Fleet) -> DataFrame:
     )
 
 
-def _mutation_recall(f: Fleet) -> DataFrame:
-    """A stand-in judge: it sees two texts under one planted title, and wrong answers if there is SQL to compare."""
-    mutated = exam.inject_defects(_trimmed(f))
-    b = F.col("bundle")
-    odds = F.size(F.filter(b.instructions, lambda i: i.title == "Open orders")) == 2
-    wrong = F.exists(b.benchmark_results, lambda r: r.assessment == "BAD") & (b.metrics.sql_instructions > 20)
-    category = F.when(odds, exam.CONFLICT).when(wrong, exam.BAD_TRUTH).alias("category")
-    return exam.mutation_recall(mutated, mutated.select("space_id", "mutation", category))
-
-
 _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     # sources
     "scan_bronze": _scan,
@@ -441,10 +431,10 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "done_eff": lambda f: f.runs.select("eval_run_id", "num_done", "num_questions", questions_run().alias("done_eff")),
     "space_scorecard": lambda f: scorecard.space_scorecard(
         f["space_meta"], f.factors, f.richness, f.benchmark, AS_OF),
-    "feedback_flags": lambda f: activity.feedback_flags(f.messages),
+    "feedback_flags": lambda f: activity.feedback_flags(f.messages, chars=2000),
     "benchmark_runs_monthly": lambda f: benchmark.benchmark_runs_monthly(f.runs),
     "benchmark_run_trend": lambda f: f.trend,
-    "benchmark_question_matrix": lambda f: benchmark.benchmark_question_matrix(f["eval_results"], f.runs),
+    "benchmark_question_matrix": lambda f: benchmark.benchmark_question_matrix(f["eval_results"], f.runs, chars=300),
     "fleet_rollup": lambda f: scorecard.fleet_rollup(f.scorecard, AS_OF),
     # trends and detail
     "trend_conversations": lambda f: trends.trend_conversations(f["conversations"]),
@@ -457,8 +447,8 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "recent_errors": lambda f: trends.recent_errors(f.messages),
     "feedback_samples": lambda f: trends.feedback_samples(f.messages),
     "score_history": lambda f: trends.score_history(_union(f.scores(d) for d in SNAPSHOT_DAYS)),
-    "flagged_by_space": lambda f: trends.flagged_by_space(activity.feedback_flags(f.messages), "sp11"),
-    "space_run_trend": lambda f: benchmark.space_run_trend(f.trend, "sp11"),
+    "flagged_by_space": lambda f: trends.flagged_by_space(activity.feedback_flags(f.messages, chars=2000), "sp11"),
+    "space_run_trend": lambda f: benchmark.space_run_trend(f.runs, f.richness, "sp11"),
     "run_series": lambda f: benchmark.run_series(f.trend),
     "trend_delta": lambda f: benchmark.trend_delta(f.trend),
     "stream_daily_trend": _stream_daily,
@@ -491,9 +481,9 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "band_listing": lambda f: serving.band_listing(f.banded),
     "space_detail": lambda f: serving.space_detail(f.scorecard, "sp11"),
     "matrix_cells": lambda f: benchmark.matrix_cells(
-        benchmark.benchmark_question_matrix(f["eval_results"], f.runs)),
+        benchmark.benchmark_question_matrix(f["eval_results"], f.runs, chars=300)),
     "matrix_pivot": lambda f: benchmark.matrix_pivot(
-        benchmark.benchmark_question_matrix(f.latest_results, f.runs)),
+        benchmark.benchmark_question_matrix(f.latest_results, f.runs, chars=300)),
     "improvement_listing": lambda f: serving.improvement_listing(f.improvements),
     # diagnosis
     "deterministic_findings": lambda f: f.rules,
@@ -509,7 +499,6 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "exam_scores": lambda f: exam.exam_scores(_case_scores(f)),
     "trimmed_bundle": _trimmed_counts,
     "inject_defects": _injected,
-    "mutation_recall": _mutation_recall,
     # specified figures
     "harvest_freshness": lambda f: activity.harvest_freshness(f.messages, AS_OF),
     "config_freshness": lambda f: richness.config_freshness(f["space_meta"], AS_OF),

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from fleetscore import schemas
 from fleetscore.functions.columns import (
+    clipped,
     COMPLETED, FAILED, blank_to_null, epoch_ms_to_ts, first_filled, instant_of, owner_from_path, run_recency, tally,
 )
+from fleetscore.operators.upsert import latest_per_key
 
 _MESSAGE_COLUMNS = [c.split()[0] for c in schemas.BRONZE["message_details"].split(", ")]
 _CONVERSATION_COLUMNS = [c.split()[0] for c in schemas.BRONZE["conversations"].split(", ")]
@@ -246,7 +248,13 @@ def flatten_messages(raw: DataFrame, harvested_at=None) -> DataFrame:
 
 
 def conversation_rollup(messages: DataFrame) -> DataFrame:
-    """Counts, time span and flags of every conversation, from its messages."""
+    """Counts, time span and flags of every conversation, from its messages.
+
+    A page may be landed more than once, as a harvest looks back; of each message the newest version counts.
+    """
+    used = ["space_id", "conversation_id", "message_id", "status", "created_ts", "has_query_attachment", "error_type",
+            "error_message", "feedback_rating", "harvested_at"]
+    messages = latest_per_key(messages.select(*used), ["space_id", "conversation_id", "message_id"])
     failed = F.col("error_type").isNotNull() | F.col("error_message").isNotNull()
     return (
         messages.groupBy("space_id", "conversation_id")
@@ -274,9 +282,10 @@ def conversation_rollup(messages: DataFrame) -> DataFrame:
 
 
 def with_empty_conversations(conversations: DataFrame, rollup: DataFrame, harvested_at=None) -> DataFrame:
-    """Every conversation with its rollup; one without messages has zeros, falses and no times."""
+    """Every conversation once, as last updated, with its rollup; one without messages has zeros, falses, no times."""
+    once = latest_per_key(conversations, ["space_id", "conversation_id"], "last_updated_ts")
     return (
-        conversations.join(rollup, ["space_id", "conversation_id"], "left")
+        once.join(rollup, ["space_id", "conversation_id"], "left")
         .na.fill(0, ["message_count", "completed_count", "failed_count"])
         .na.fill(False, ["has_sql_output", "has_errors", "has_feedback"])
         .withColumn("harvested_at", instant_of(harvested_at))
@@ -315,12 +324,15 @@ def latest_run_for_results(runs: DataFrame) -> DataFrame:
     return runs.groupBy("space_id").agg(F.max_by("eval_run_id", run_recency()).alias("eval_run_id"))
 
 
-def flatten_eval_results(listed: DataFrame, detail: DataFrame) -> DataFrame:
-    """Listed results with the assessment and responses of their detail; a missing response stays null."""
+def flatten_eval_results(listed: DataFrame, detail: DataFrame, chars: int | None = None) -> DataFrame:
+    """Listed results with the assessment and responses of their detail; a missing response stays null.
+
+    Responses are whole, or their first `chars` characters.
+    """
     items = _items(listed, schemas.RESULT_LIST_PAYLOAD, "eval_results").select("space_id", "eval_run_id", "i.*")
     full = _parsed(detail, schemas.RESULT_DETAIL_PAYLOAD)
     return items.join(full, ["space_id", "eval_run_id", "result_id"], "left").select(
         "space_id", "eval_run_id", "benchmark_question_id", "question", "assessment",
-        F.substring("expected_response", 1, 6000).alias("expected_response"),
-        F.substring("actual_response", 1, 6000).alias("actual_response"), "result_id",
+        clipped("expected_response", chars),
+        clipped("actual_response", chars), "result_id",
     )

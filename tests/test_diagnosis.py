@@ -1,25 +1,42 @@
-import os
+import json
 
 from pyspark.sql import functions as F
 
 from fleetscore.operators import evidence, exam, findings, serving
 
-CASES = os.path.join(os.path.dirname(__file__), "exam_cases.json")
-
-
-def test_rules_on_the_exam(spark, rows):
-    cases = exam.read_cases(spark, CASES)
+FIGURES = {
+    "benchmark_questions_defined": 7, "num_runs": 2, "coverage_pct": 100.0, "benchmark_quality_pct": 80.0, "sql_instructions": 1,
+    "text_instructions": 1, "feedback_positive_pct": 50.0, "thumbs_down": 4, "msgs": 31}
+# Cases at the edges of the rules: what differs from FIGURES, what must be found, what must not.
+EDGES = {
+    "at_all_limits": ({}, [], ["LOW_ACCURACY", "NEGATIVE_FEEDBACK", "LOW_COVERAGE", "NO_BENCHMARK"]),
+    "just_inaccurate": ({"benchmark_quality_pct": 79.9}, ["LOW_ACCURACY"], ["LOW_COVERAGE"]),
+    "inaccurate_but_partial": ({"benchmark_quality_pct": 12.0, "coverage_pct": 99.9}, ["LOW_COVERAGE"], ["LOW_ACCURACY"]),
+    "just_disliked": ({"feedback_positive_pct": 49.9}, ["NEGATIVE_FEEDBACK"], []),
+    "disliked_by_nobody": ({"feedback_positive_pct": 0.0, "thumbs_down": 0}, [], ["NEGATIVE_FEEDBACK"]),
+    "nothing_measured": (dict.fromkeys(FIGURES), ["NO_BENCHMARK", "EMPTY_INSTRUCTIONS"], ["LOW_ACCURACY", "LOW_COVERAGE", "NEGATIVE_FEEDBACK"]),
+    "never_run": ({"num_runs": 0, "sql_instructions": 0}, ["NO_BENCHMARK", "NO_SQL_EXAMPLES"], ["EMPTY_INSTRUCTIONS"]),
+    "only_examples": ({"text_instructions": 0}, ["EMPTY_INSTRUCTIONS"], ["NO_SQL_EXAMPLES"]),
+    "beyond_rules": ({}, ["BAD_GROUND_TRUTH"], ["CONFLICTING_INSTRUCTIONS"]),
+}
+
+
+def test_rules_on_the_exam(spark, rows, tmp_path):
+    path = tmp_path / "cases.json"
+    path.write_text(json.dumps({"cases": [
+        {"case_id": name, "evidence": {"title": name, "metrics": FIGURES | changed},
+         "expected": {"must_flag": must, "must_not_flag": must_not}} for name, (changed, must, must_not) in EDGES.items()]}))
+    cases = exam.read_cases(spark, str(path))
     found = exam.rule_findings_of_cases(cases)
-    flagged = {}
+    flagged = {name: set() for name in EDGES}
     for r in rows(found, "case_id", "category"):
-        flagged.setdefault(r["case_id"], set()).add(r["category"])
-    assert flagged == {
-        "no_benchmark": {"NO_BENCHMARK"}, "empty_instructions": {"EMPTY_INSTRUCTIONS", "LOW_ACCURACY"},
-        "conflicting_instructions": {"LOW_ACCURACY"}, "negative_feedback": {"NEGATIVE_FEEDBACK"}}
+        flagged[r["case_id"]].add(r["category"])
+    for name, (_, must, must_not) in EDGES.items():
+        assert set(must) - {"BAD_GROUND_TRUTH"} <= flagged[name] and not flagged[name] & set(must_not), name
     scores = exam.case_scores(cases, found)
-    assert {r["case_id"]: r["ok"] for r in rows(scores, "case_id", "ok")}["bad_ground_truth"] is False
+    assert {r["case_id"] for r in rows(scores, "case_id", "ok") if not r["ok"]} == {"beyond_rules"}
     total = rows(exam.exam_scores(scores))[0]
-    assert (total["tp"], total["fn"], total["fp"], total["recall"], total["precision"]) == (3, 2, 0, 0.6, 1.0)
+    assert (total["tp"], total["fn"], total["fp"], total["precision"]) == (8, 1, 0, 1.0)
 
 
 def test_exam_of_nothing(spark, rows):
@@ -118,12 +135,30 @@ def test_model_is_asked_and_may_fail(spark, rows):
     prompts = spark.createDataFrame([("a", 0, "fine"), ("b", 0, "boom")], "space_id string, part bigint, json string")
 
     def model(text):
-        if text == "boom":
+        if text.endswith("boom"):
             raise RuntimeError("no answer")
         return text.upper()
 
-    assert rows(evidence.ask_model(prompts, model), "space_id", "reply") == [
-        {"space_id": "a", "reply": "FINE"}, {"space_id": "b", "reply": None}]
+    assert rows(evidence.ask_model(prompts, model, None), "space_id", "reply", "error") == [
+        {"space_id": "a", "reply": "FINE", "error": None}, {"space_id": "b", "reply": None, "error": "RuntimeError: no answer"}]
+    asked = evidence.ask_model(prompts.where("space_id = 'a'"), lambda text: text).first()["reply"]
+    assert asked == f"{evidence.TASK}\n\nfine"
+
+
+def test_a_question_its_results_and_rules_of_one_title_share_a_part(spark, make):
+    cards = scorecard(spark, {"space_id": "big", "title": "Big"})
+    ins = make("instructions", *[
+        {"space_id": "big", "instruction_id": f"i{k}", "title": f" Term {k % 300}" if k < 300 else f"term {k % 300}"} for k in range(600)])
+    curated = make("curated_questions", *[
+        {"space_id": "big", "curated_question_id": f"q{k}", "question_type": "BENCHMARK"} for k in range(600)])
+    results = make("eval_results", *[
+        {"space_id": "big", "result_id": f"r{k}", "benchmark_question_id": f"q{k}"} for k in range(600)])
+    parts = evidence.evidence_bundle(cards, ins, curated, results).collect()
+    assert len(parts) > 1
+    for p in parts:
+        assert {q.benchmark_question_id for q in p.benchmark_questions} == {r.benchmark_question_id for r in p.benchmark_results}
+        ids = {i.instruction_id for i in p.instructions}
+        assert all(f"i{(int(i[1:]) + 300) % 600}" in ids for i in ids)
 
 
 def test_mutations(spark, make, rows):
@@ -141,7 +176,7 @@ def test_mutations(spark, make, rows):
     mutated = exam.inject_defects(small)
     sizes = {r["mutation"]: (len(r["bundle"]["instructions"]), len(r["bundle"]["benchmark_questions"]),
                              len(r["bundle"]["benchmark_results"])) for r in mutated.collect()}
-    assert sizes == {"conflict": (14, 4, 0), "bad_truth": (12, 5, 1)}
+    assert sizes == {"conflict": (13, 4, 0), "bad_truth": (12, 5, 1)}
     found = spark.createDataFrame([("a", "conflict", "CONFLICTING_INSTRUCTIONS"), ("a", "bad_truth", "LOW_ACCURACY")],
                                   "space_id string, mutation string, category string")
     assert rows(exam.mutation_recall(mutated, found)) == [{"cases": 2, "caught": 1, "mutation_recall": 0.5}]

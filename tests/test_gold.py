@@ -101,7 +101,9 @@ def test_matrix(make, rows):
     results = make("eval_results", *[
         {"space_id": "s", "eval_run_id": r, "question": q, "assessment": a, "result_id": i}
         for r, q, a, i in [("1", "x", "GOOD", "a"), ("2", "x", "BAD", "b"), ("3", long, None, "c"), ("9", "x", "GOOD", "d")]])
-    matrix = benchmark.benchmark_question_matrix(results, runs)
+    matrix = benchmark.benchmark_question_matrix(results, runs, chars=300)
+    whole = benchmark.benchmark_question_matrix(results, runs)
+    assert max(len(r["question"]) for r in rows(whole, "question")) == 400
     assert {r["result_id"]: r["run_index"] for r in rows(matrix, "result_id", "run_index")} == {
         "d": 1, "a": 2, "b": 2, "c": 3}
     cells = {(r["question"][:1], r["run_index"]): r for r in rows(benchmark.matrix_cells(matrix))}

@@ -75,6 +75,17 @@ def test_pages_and_rollup(spark, rows):
     assert (got["silent"]["message_count"], got["silent"]["has_errors"], got["silent"]["first_message_ts"]) == (0, False, None)
 
 
+def test_pages_landed_twice_count_once(spark, rows):
+    t = 1_700_000_000_000
+    now = page({"message_id": "1", "status": "COMPLETED", "created_timestamp": t}, {"message_id": "2", "status": "FAILED", "created_timestamp": t + 1})
+    before = page({"message_id": "1", "status": "EXECUTING", "created_timestamp": t})
+    old, new = (payloads.flatten_messages(land(spark, p, *more), day) for p, more, day in ((before, (), "2024-01-01"), (now, (now,), "2024-02-01")))
+    rollup = payloads.conversation_rollup(old.unionByName(new))
+    assert [(r["message_count"], r["completed_count"], r["failed_count"]) for r in rows(rollup)] == [(2, 1, 1)]
+    raw = land(spark, now, now, before)
+    assert payloads.with_empty_conversations(payloads.flatten_conversations(raw), rollup, "2024-02-01").count() == 1
+
+
 def test_documents_are_parsed_once(spark):
     plan = payloads.flatten_messages(land(spark, page()))._jdf.queryExecution().executedPlan().toString()
     parses = [line for line in plan.splitlines() if "from_json(" in line]
@@ -115,7 +126,9 @@ def test_curation_and_results(spark, rows):
     listed = land(spark, {"space_id": "s", "eval_run_id": "1", "eval_results": [{"result_id": "a"}, {"result_id": "b"}]})
     detail = land(spark, {"space_id": "s", "eval_run_id": "1", "result_id": "a", "assessment": "GOOD",
                           "expected_response": "x" * 7000})
-    a, b = rows(payloads.flatten_eval_results(listed, detail), "result_id", "assessment", "expected_response", "actual_response")
+    whole = payloads.flatten_eval_results(listed, detail)
+    assert max(len(r["expected_response"] or "") for r in rows(whole, "expected_response")) == 7000
+    a, b = rows(payloads.flatten_eval_results(listed, detail, chars=6000), "result_id", "assessment", "expected_response", "actual_response")
     assert (len(a["expected_response"]), a["actual_response"]) == (6000, None)
     assert (b["assessment"], b["expected_response"]) == (None, None)
 

@@ -14,6 +14,17 @@ def at(h, day=10):
     return dt.datetime(2024, 1, day, h, tzinfo=dt.timezone.utc)
 
 
+def test_rows_without_a_full_key_stay(make, rows):
+    target = make("message_details", {"space_id": "a", "conversation_id": "c", "message_id": "1"}, {"space_id": "a", "conversation_id": "c"})
+    source = make("message_details", {"space_id": "a", "conversation_id": "c"}, {"space_id": "a", "conversation_id": "c"},
+                  {"space_id": "a", "conversation_id": "c", "message_id": "1"})
+    keys = ["space_id", "conversation_id", "message_id"]
+    merged = upsert.upsert(target, source, keys)
+    assert sorted(r["message_id"] or "" for r in rows(merged, "message_id")) == ["", "", "", "1"]
+    assert rows(upsert.incomplete_keys(merged, keys)) == [
+        {"n_rows": 4, "no_space_id": 0, "no_conversation_id": 0, "no_message_id": 3}]
+
+
 def test_upsert(make, rows):
     target = make("spaces", {"space_id": "a", "title": "old", "harvested_at": at(1)}, {"space_id": "b", "title": "keep"})
     source = make("spaces", {"space_id": "a", "title": "mid", "harvested_at": at(2)},
