@@ -33,6 +33,8 @@ from fleetscore.llm.arrays import settle
 from fleetscore.operators.ranking import ordered_rank, same_keys
 
 ORDER = ["turn", "part"]
+ROW = ["conv_id", *ORDER, "kind", "call_id", "_row"]  # an event without its texts, which are put back at the end
+TEXTS = ["role", "name", "arguments", "content"]
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool}
 
 
@@ -141,10 +143,10 @@ def linked(events: DataFrame, schemas: DataFrame) -> DataFrame:
     status: `message`, `linked` (call and result found each other), `unanswered`, `orphan` or `cyclic`.
     """
     order = [F.col(c).asc_nulls_first() for c in ORDER]
-    rest = [F.xxhash64("role", "name", "arguments", "content")]
-    own = events.select("conv_id", *ORDER, "kind", "role", "call_id", "name", "arguments", "content", "after")
+    whole = events.withColumn("_row", F.xxhash64(*TEXTS))
+    own = whole.select(*ROW, "after")
     tools = own.where("kind in ('call', 'result')")
-    tools = settle(ordered_rank(tools, ["conv_id", "call_id", "kind"], [*order, *rest], "nth"), "tools")
+    tools = settle(ordered_rank(tools, ["conv_id", "call_id", "kind"], [*order, F.col("_row")], "nth"), "tools")
     calls, results = tools.where("kind = 'call'"), tools.where("kind = 'result'")
     keys = ["conv_id", "call_id", "nth"]
     placed = settle(_placed_calls(calls.where("call_id is not null"), results.where("call_id is not null")), "placed")
@@ -161,7 +163,8 @@ def linked(events: DataFrame, schemas: DataFrame) -> DataFrame:
         {"nth": F.lit(None).cast("int"), "status": F.lit("message"), "place": here, "level": F.lit(0)})
     columns = [*own.columns, "nth", "status", "place", "level"]
     every = tools.select(*columns).unionByName(messages.select(*columns))
-    ranked = ordered_rank(every, ["conv_id"], [F.col("place").asc_nulls_first(), F.col("level"), *order, F.col("kind"), *rest], "position")
+    ranked = ordered_rank(every, ["conv_id"], [F.col("place").asc_nulls_first(), F.col("level"), *order, F.col("kind"), F.col("_row")], "position")
+    ranked = same_keys(ranked.drop("after", "place", "level"), whole.select(*ROW, *TEXTS).dropDuplicates(ROW), ROW)
     # The catalogue's size decides how it is joined; names are unique in it.
     ranked = ranked.join(schemas.select(F.col("name").alias("_name"), "schema"), F.col("name") == F.col("_name"), "left")
     out = ranked.withColumn("_s", _serialised(F.struct("kind", "role", "call_id", "name", "arguments", "content", "schema")))
