@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.operators.ranking import top_k
 
 
-def latest_per_key(source: DataFrame, keys: list[str], order_by: str = "harvested_at") -> DataFrame:
-    """One row per key: the newest, and among equals the one whose values sort last.
+def newest_rows(source: DataFrame, keys: list[str], order: list[Column], null_is_key: bool = False) -> DataFrame:
+    """The first row of every key in the given order.
 
     Rows that lack a part of the key have no key to be equal in: all of them stay, as a keyed merge keeps them.
-    `incomplete_keys` counts them.
+    With `null_is_key`, a missing part is a value like others.
     """
+    if null_is_key:
+        return top_k(source, keys, order, 1, "_rk").drop("_rk")
     lacking = F.lit(False)
     for key in keys:
         lacking = lacking | F.col(key).isNull()
-    rest = [c for c in source.columns if c not in keys and c != order_by]
-    order = [F.col(order_by).desc_nulls_last(), F.xxhash64(*rest).desc() if rest else F.lit(0).asc()]
     # A row without a full key is a group of its own, so that such rows don't gather in one task either.
     apart = source.withColumn("_apart", F.when(lacking, F.monotonically_increasing_id()))
     return top_k(apart, [*keys, "_apart"], order, 1, "_rk").drop("_rk", "_apart")
 
 
+def latest_per_key(
+    source: DataFrame, keys: list[str], order_by: str | None = "harvested_at", null_is_key: bool = False
+) -> DataFrame:
+    """One row per key: the newest, and among equals the one whose values sort last. See newest_rows for missing keys.
+
+    `incomplete_keys` counts the rows that lack a part of the key.
+    """
+    rest = [c for c in source.columns if c not in keys and c != order_by]
+    newest = [F.col(order_by).desc_nulls_last()] if order_by else []
+    order = [*newest, F.xxhash64(*rest).desc() if rest else F.lit(0).asc()]
+    return newest_rows(source, keys, order, null_is_key)
+
+
 def incomplete_keys(source: DataFrame, keys: list[str]) -> DataFrame:
     """How many rows lack which part of the key."""
     return source.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(k).isNull()).alias(f"no_{k}") for k in keys])

@@ -580,7 +580,10 @@ _SQL: dict[str, str] = {
       WHERE message_count = 3
         OR last_updated_ts >= (SELECT max(harvested_at) - INTERVAL 60 HOURS FROM convs)""",
     "stream_ingest_messages": """
-      SELECT space_id, message_id, status, created_ts, feedback_rating, CAST(created_ts AS DATE) AS created_date FROM md""",
+      SELECT space_id, message_id, status, created_ts, feedback_rating, CAST(created_ts AS DATE) AS created_date FROM pm""",
+    "landed_bronze": """
+      SELECT space_id, conversation_id, message_id, status, created_ts, feedback_rating, sql_generated, text_response,
+        harvested_at FROM pm""",
     # sinks
     "upsert_spaces": """
       SELECT space_id, title, description, warehouse_id, parent_path, harvested_at FROM spaces WHERE v = 2""",
@@ -675,7 +678,8 @@ _SQL: dict[str, str] = {
       FROM (SELECT space_id, count(*) AS n_scored, arg_min(quality_pct, run_index) AS first_pct,
         arg_max(quality_pct, run_index) AS last_pct FROM trend WHERE quality_pct IS NOT NULL GROUP BY 1)""",
     "stream_daily_trend": f"""
-      SELECT space_id, CAST(created_ts AS DATE) AS date, count(*) AS messages, CAST(sum({_ERR}) AS BIGINT) AS errors,
+      SELECT space_id, CAST(created_ts AS DATE) AS date, count(*) AS messages, count(DISTINCT user_id) AS users,
+        CAST(sum({_ERR}) AS BIGINT) AS errors,
         count(*) FILTER (feedback_rating = 'POSITIVE') AS feedback_pos,
         count(*) FILTER (feedback_rating = 'NEGATIVE') AS feedback_neg, count(feedback_rating) AS rated
       FROM md GROUP BY ALL""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscore.functions.columns import epoch_ms_to_ts, owner_from_path, percent, questions_run, threshold_bucket
+from fleetscore.plans import landing
 from fleetscore.operators import (
     benchmark, evidence, exam, findings, incremental, quality, richness, scorecard, serving, strict, trends, upsert,
 )
@@ -16,7 +17,7 @@ from fleetscore.operators import factors as activity
 from fleetscore.schemas import PRIMARY_KEYS
 from fleetscore.session import scratch_path, with_known_size
 from fleetscore.sources import payloads, stand_in
-from fleetscore.sources.bronze import replace_day
+from fleetscore.sources.bronze import merge_partitions, read_merged, replace_day
 from fleetscore.streaming import streams
 
 AS_OF = "2024-02-01"
@@ -207,20 +208,28 @@ def _upsert_spaces(f: Fleet) -> DataFrame:
     return upsert.upsert(target, f["spaces"], PRIMARY_KEYS["spaces"])
 
 
+def _merged(f: Fleet, stored: DataFrame, fresh: DataFrame, table: str) -> DataFrame:
+    """Two merges into a new table kept by day of creation."""
+    path = scratch_path(f.spark, table)
+    for rows in (stored, fresh):
+        merge_partitions(rows.withColumn("created_date", F.to_date("created_ts")), path, PRIMARY_KEYS[table])
+    return read_merged(f.spark, path).drop("created_date")
+
+
 def _upsert_conversations(f: Fleet) -> DataFrame:
     stored = _conversation_state(f.messages.where(F.col("created_ts") < F.lit("2024-01-16").cast("timestamp")))
     fresh = _conversation_state(f.messages).where(F.col("last_updated_ts") >= F.lit("2024-01-15").cast("timestamp"))
-    return upsert.upsert(stored, fresh, PRIMARY_KEYS["conversations"])
+    return _merged(f, stored, fresh, "conversations")
 
 
 def _upsert_messages(f: Fleet) -> DataFrame:
-    cols = ["space_id", "conversation_id", "message_id", "status", "feedback_rating", "harvested_at"]
+    cols = ["space_id", "conversation_id", "message_id", "status", "feedback_rating", "created_ts", "harvested_at"]
     stored = f.messages.select(*cols).where(F.col("harvested_at") < F.lit("2024-01-20").cast("timestamp"))
     # Every message comes twice, in flight and done.
     later = (F.col("harvested_at") + F.expr("INTERVAL 1 HOUR")).alias("harvested_at")
     done = f.messages.select(*cols[:-1], later)
     flying = f.messages.select(*cols).withColumn("status", F.lit("EXECUTING_QUERY"))
-    return upsert.upsert(stored, flying.unionByName(done), PRIMARY_KEYS["message_details"])
+    return _merged(f, stored, flying.unionByName(done), "message_details").drop("created_ts")
 
 
 def _day_factors(f: Fleet, day: str) -> DataFrame:
@@ -257,23 +266,44 @@ def _finish(query) -> None:
         raise failed
 
 
+def _landed_text(f: Fleet, pages: DataFrame, purpose: str) -> str:
+    """Documents as files of JSON lines."""
+    path = scratch_path(f.spark, purpose)
+    pages.select("payload").repartition(8).write.text(path)
+    return path
+
+
 def _stream_ingest(f: Fleet) -> DataFrame:
-    path = scratch_path(f.spark, "messages")
-    _finish(streams.stream_ingest_messages(f.event_stream(), path, f"{path}-state"))
-    return f.spark.read.parquet(path).select(
+    landed, path = _landed_text(f, f.message_pages, "pages"), scratch_path(f.spark, "messages")
+    stream = f.spark.readStream.text(landed).withColumnRenamed("value", "payload")
+    _finish(streams.stream_ingest_messages(
+        stream, path, f"{path}-state", lambda pages: payloads.flatten_messages(pages, AS_OF)))
+    return read_merged(f.spark, path).select(
         "space_id", "message_id", "status", "created_ts", "feedback_rating", "created_date")
 
 
 def _stream_daily(f: Fleet) -> DataFrame:
     path = scratch_path(f.spark, "daily")
-    _finish(streams.stream_daily_trend(f.event_stream(), path, f"{path}-state"))
-    return streams.newest_versions(f.spark, path, ["space_id", "date"]).drop("approx_users")
+    _finish(streams.stream_daily_trend(f.event_stream(), f"{path}-messages", path, f"{path}-state"))
+    return read_merged(f.spark, path)
 
 
 def _stream_rollup(f: Fleet) -> DataFrame:
     path = scratch_path(f.spark, "rollup")
     _finish(streams.stream_conversation_rollup(f.event_stream(), f"{path}-messages", path, f"{path}-state"))
-    return streams.newest_versions(f.spark, path, streams.CONVERSATION_KEYS)
+    return read_merged(f.spark, path).drop("bucket")
+
+
+def _landed_bronze(f: Fleet) -> DataFrame:
+    """The messages after two landings of the same documents, the first of them as they were in flight."""
+    base = scratch_path(f.spark, "bronze")
+    early = f.message_pages.withColumn("payload", F.replace("payload", F.lit('"COMPLETED"'), F.lit('"EXECUTING_QUERY"')))
+    for pages, harvested_at in ((early, "2024-01-31"), (f.message_pages, AS_OF)):
+        landing.land_conversations(f.spark, payloads.read_payloads(f.spark, _landed_text(f, pages, "landed")), base,
+                                   harvested_at)
+    return read_merged(f.spark, f"{base}/message_details").select(
+        "space_id", "conversation_id", "message_id", "status", "created_ts", "feedback_rating", "sql_generated",
+        "text_response", "harvested_at")
 
 
 # --- strict model -------------------------------------------------------------------------------
@@ -413,6 +443,7 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
         f["conversations"].withColumn("last_updated_ts", F.when(F.col("message_count") != 3, F.col("last_updated_ts"))),
         incremental.incremental_cutoff(f["conversations"], overlap="60 hours")),
     "stream_ingest_messages": _stream_ingest,
+    "landed_bronze": _landed_bronze,
     # sinks
     "upsert_spaces": _upsert_spaces,
     "upsert_conversations": _upsert_conversations,

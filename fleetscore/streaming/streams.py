@@ -1,100 +1,114 @@
-"""Streams of messages: into the message table, and into daily and per-conversation figures."""
+"""Streams of messages: into the message table, and into daily and per-conversation figures.
+
+Figures are computed from the stored messages, so nothing is dropped as late and a newer version of a message isn't
+counted beside the older one. A batch delivered again changes nothing, except that messages without a full key
+are added again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetscore.functions.columns import NEGATIVE, POSITIVE, is_error, tally
-from fleetscore.operators.ranking import top_k
+from fleetscore.operators.ranking import same_keys
 from fleetscore.schemas import PRIMARY_KEYS
-from fleetscore.sources.bronze import merge_partitions
+from fleetscore.sources.bronze import merge_partitions, publish_partitions, read_merged
 from fleetscore.sources.payloads import conversation_rollup
 
 MESSAGE_KEYS = PRIMARY_KEYS["message_details"]
 CONVERSATION_KEYS = PRIMARY_KEYS["conversations"]
 
 
-def _run(df: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def _run(df: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
-        df.writeStream.outputMode(mode).foreachBatch(each_batch)
+        df.writeStream.outputMode("append").foreachBatch(each_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _keep_version(df: DataFrame, path: str, batch_id: int) -> None:
-    """A batch's rows under its number; the same batch delivered again replaces itself."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
+def _ingested(
+    stream: DataFrame, path: str, checkpoint: str, flatten: Callable[[DataFrame], DataFrame] | None,
+    then: Callable[[DataFrame], None] | None = None,
+) -> StreamingQuery:
+    """Merge every batch into the message table at `path`, and hand its messages on."""
 
+    def merge(batch: DataFrame, _: int) -> None:
+        messages = flatten(batch) if flatten else batch
+        dated = messages.withColumn("created_date", F.to_date("created_ts")).persist()
+        if not dated.isEmpty():
+            merge_partitions(dated, path, MESSAGE_KEYS)
+            if then:
+                then(dated)
+        dated.unpersist()
 
-def newest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last row written for every key."""
-    return top_k(spark.read.parquet(path), keys, [F.col("batch_id").desc()], 1, "_rk").drop("_rk", "batch_id")
+    return _run(stream, merge, checkpoint)
 
 
-def stream_ingest_messages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest_messages(
+    stream: DataFrame, path: str, checkpoint: str, flatten: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
     """Keep a message table up to date. Newer versions of a message replace older ones, whatever the
     order they come in, so no row is dropped as a repeat or as late.
-    """
-
-    def merge(batch: DataFrame, _: int) -> None:
-        merge_partitions(batch.withColumn("created_date", F.to_date("created_ts")), path, MESSAGE_KEYS)
 
-    return _run(stream, merge, checkpoint)
+    `flatten` makes messages of a batch, as payloads.flatten_messages does of landed documents.
+    """
+    return _ingested(stream, path, checkpoint, flatten)
 
 
 def stream_daily_trend(
-    stream: DataFrame, path: str, checkpoint: str, watermark: str = "2 hours"
+    stream: DataFrame, messages_path: str, path: str, checkpoint: str,
+    flatten: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Messages, failures and ratings per space and day. State of a day goes once the watermark passed it.
-
-    Distinct users are an estimate here; daily_trends has the exact number.
-    """
-    daily = (
-        stream.withWatermark("created_ts", watermark)
-        .groupBy(F.window("created_ts", "1 day"), "space_id")
-        .agg(
-            F.count("*").alias("messages"), tally(is_error()).alias("errors"),
+    """Messages, users, failures and ratings per space and day: the days a batch touches are counted anew."""
+
+    def count(batch: DataFrame) -> None:
+        stored = _stored_since(batch.sparkSession, messages_path, batch, batch.agg(F.min("created_date")).first()[0])
+        days = batch.select("created_date").distinct()
+        daily = stored.where(F.col("created_date").isNotNull()).join(days, "created_date", "left_semi")
+        publish_partitions(daily.groupBy("space_id", F.col("created_date").alias("date")).agg(
+            F.count("*").alias("messages"), F.countDistinct("user_id").alias("users"), tally(is_error()).alias("errors"),
             tally(F.col("feedback_rating") == POSITIVE).alias("feedback_pos"),
             tally(F.col("feedback_rating") == NEGATIVE).alias("feedback_neg"),
             F.count("feedback_rating").alias("rated"),
-            F.approx_count_distinct("user_id").alias("approx_users"),
-        )
-        .select("space_id", F.col("window.start").cast("date").alias("date"), "messages", "errors", "feedback_pos",
-                "feedback_neg", "rated", "approx_users")
-    )
-    return _run(daily, lambda batch, n: _keep_version(batch, path, n), checkpoint, "update")
+        ), path, "date")
+
+    return _ingested(stream, messages_path, checkpoint, flatten, count)
 
 
 def stream_conversation_rollup(
-    stream: DataFrame, messages_path: str, rollup_path: str, checkpoint: str
+    stream: DataFrame, messages_path: str, rollup_path: str, checkpoint: str, buckets: int = 64,
+    flatten: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Ingest messages and roll up anew the conversations a batch touches, from the stored messages.
+    """Ingest messages and roll up anew the conversations a batch touches.
 
-    Counting in stream state would count a message again when a newer version of it comes.
+    The table is kept in buckets of conversations, so that a batch writes only those it touches.
     """
+    bucket = F.pmod(F.xxhash64(*CONVERSATION_KEYS), F.lit(buckets)).cast("int")
 
-    def merge(batch: DataFrame, n: int) -> None:
+    def roll(batch: DataFrame) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumn("created_date", F.to_date("created_ts")).persist()
-        merge_partitions(dated, messages_path, MESSAGE_KEYS)
-        touched = dated.select(*CONVERSATION_KEYS).distinct()
-        stored = spark.read.schema(dated.schema).parquet(messages_path)
-        since = _earliest_day(spark, dated, touched, rollup_path, n)
-        if since is not None:
-            stored = stored.where((F.col("created_date") >= since) | F.col("created_date").isNull())
-        rollup = conversation_rollup(stored.join(touched, CONVERSATION_KEYS, "left_semi"))
-        _keep_version(rollup, rollup_path, n)
-        dated.unpersist()
+        touched = batch.select(*CONVERSATION_KEYS).distinct()
+        stored = _stored_since(spark, messages_path, batch, _earliest_day(spark, batch, touched, rollup_path))
+        rollup = conversation_rollup(same_keys(stored, touched, CONVERSATION_KEYS, "left_semi"))
+        merge_partitions(rollup.withColumn("bucket", bucket), rollup_path, CONVERSATION_KEYS, "bucket", None, True)
 
-    return _run(stream, merge, checkpoint)
+    return _ingested(stream, messages_path, checkpoint, flatten, roll)
+
+
+def _stored_since(spark: SparkSession, path: str, batch: DataFrame, day) -> DataFrame:
+    """The stored messages from a day on, and those without a day."""
+    stored = read_merged(spark, path, batch.schema)
+    date = F.col("created_date")
+    return stored if day is None else stored.where((date >= day) | date.isNull())
 
 
-def _earliest_day(spark: SparkSession, batch: DataFrame, touched: DataFrame, rollup_path: str, n: int):
+def _earliest_day(spark: SparkSession, batch: DataFrame, touched: DataFrame, rollup_path: str):
     """The first day that can hold messages of the touched conversations; one value, to prune the scan."""
-    days = [batch.agg(F.min("created_date")).first()[0]]
-    if n > 0:
-        known = spark.read.parquet(rollup_path).join(touched, CONVERSATION_KEYS, "left_semi")
-        days.append(known.agg(F.min(F.to_date("first_message_ts"))).first()[0])
+    schema = conversation_rollup(batch).withColumn("bucket", F.lit(0)).schema
+    known = same_keys(read_merged(spark, rollup_path, schema), touched, CONVERSATION_KEYS, "left_semi")
+    days = [batch.agg(F.min("created_date")).first()[0], known.agg(F.min(F.to_date("first_message_ts"))).first()[0]]
     return min((d for d in days if d is not None), default=None)

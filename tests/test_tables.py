@@ -1,9 +1,11 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetscore.operators import quality, strict, upsert
-from fleetscore.plans import daily
+from fleetscore.plans import daily, landing
 from fleetscore.sources import bronze, stand_in
 from fleetscore.streaming import streams
 
@@ -36,20 +38,68 @@ def test_upsert(make, rows):
     assert [(r["space_id"], r["title"]) for r in rows(part, "space_id", "title")] == [("a", "old"), ("b", "keep"), ("c", None)]
 
 
+def _dated(make, *messages):
+    return make("message_details", *messages).withColumn("created_date", F.to_date("created_ts"))
+
+
+def _message(i, day, status, h):
+    return {"space_id": "s", "conversation_id": "c", "message_id": i, "status": status,
+            "created_ts": at(1, day) if day else None, "harvested_at": at(h)}
+
+
 def test_merge_partitions(spark, make, rows, tmp_path):
+    path, m = str(tmp_path / "t"), _message
+    merge = lambda *r: bronze.merge_partitions(_dated(make, *r), path, streams.MESSAGE_KEYS)
+    files = lambda day: {f.rsplit("/", 2)[-2] + f.rsplit("/", 1)[-1] for f in bronze.read_merged(spark, path)
+                         .where(F.col("created_date") == day).inputFiles() if f"created_date={day}" in f}
+    merge(m("1", 1, "A", 1), m("2", 2, "A", 1), m("3", None, "A", 1), m("5", 3, "A", 1))
+    before = files("2024-01-01"), files("2024-01-03")
+    for _ in range(3):
+        merge(m("2", 2, "B", 2), m("4", 2, "B", 2), m("3", None, "B", 2))
+    merge(m("2", 2, "late", 1), m("7", 4, "x", 1), m("6", 1, "y", 1))
+    got = rows(bronze.read_merged(spark, path), "message_id", "status")
+    assert [(r["message_id"], r["status"]) for r in got] == [
+        ("1", "A"), ("2", "B"), ("3", "B"), ("4", "B"), ("5", "A"), ("6", "y"), ("7", "x")]
+    assert files("2024-01-03") == before[1], "a day that is not touched keeps its files, also between touched ones"
+    assert files("2024-01-01") != before[0]
+    merge()
+    assert bronze.read_merged(spark, path).count() == 7
+    assert len(bronze._listed(spark, f"{path}/current")) == 2, "older states are gone"
+
+
+def test_merge_keeps_rows_without_id(spark, make, rows, tmp_path):
     path = str(tmp_path / "t")
-    dated = lambda *r: make("message_details", *r).withColumn("created_date", F.to_date("created_ts"))
-    keys = streams.MESSAGE_KEYS
-    m = lambda i, day, status, h: {"space_id": "s", "conversation_id": "c", "message_id": i, "status": status,
-                                   "created_ts": at(1, day) if day else None, "harvested_at": at(h)}
-    bronze.merge_partitions(dated(m("1", 1, "A", 1), m("2", 2, "A", 1), m("3", None, "A", 1)), path, keys)
-    before = {f.path for f in spark.read.format("binaryFile").load(f"{path}/created_date=2024-01-01").select("path").collect()}
-    for _ in range(2):
-        bronze.merge_partitions(dated(m("2", 2, "B", 2), m("4", 2, "B", 2), m("3", None, "B", 2)), path, keys)
-    got = rows(spark.read.parquet(path), "message_id", "status")
-    assert [(r["message_id"], r["status"]) for r in got] == [("1", "A"), ("2", "B"), ("3", "B"), ("4", "B")]
-    after = {f.path for f in spark.read.format("binaryFile").load(f"{path}/created_date=2024-01-01").select("path").collect()}
-    assert before == after, "a day that is not touched keeps its files"
+    for n in range(2):
+        bronze.merge_partitions(_dated(make, _message(None, 1, "A", n), _message(None, 1, "B", n), _message("1", 1, "C", n)),
+                                path, streams.MESSAGE_KEYS)
+    assert [r["status"] for r in rows(bronze.read_merged(spark, path), "status")] == ["A", "A", "B", "B", "C"]
+
+
+def test_lost_writer_leaves_the_old_state(spark, make, rows, tmp_path, monkeypatch):
+    path, m = str(tmp_path / "t"), _message
+    merge = lambda *r: bronze.merge_partitions(_dated(make, *r), path, streams.MESSAGE_KEYS)
+    merge(m("1", 1, "A", 1))
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(bronze, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            merge(m("1", 1, "B", 2), m("2", 1, "B", 2))
+    assert [r["status"] for r in rows(bronze.read_merged(spark, path), "status")] == ["A"]
+    merge(m("1", 1, "B", 2), m("2", 1, "B", 2))
+    assert [r["status"] for r in rows(bronze.read_merged(spark, path), "status")] == ["B", "B"]
+
+
+def test_exact_percentile_of_many_values(spark):
+    """More values in a group than a digest would keep, each of them different."""
+    from fleetscore.functions.columns import p90
+
+    n = 400_003
+    df = spark.range(n).select(((F.col("id") * 7919) % n / 37).alias("v"))
+    exact = sorted(i / 37 for i in range(n))[-(-9 * n // 10) - 1]
+    assert df.agg(p90("v").alias("p")).first()["p"] == round(exact, 1)
 
 
 def test_replace_day_and_export(spark, rows, tmp_path):
@@ -142,35 +192,58 @@ def _message_stream(spark, folder, schema):
 
 
 def test_streams_equal_batch(spark, rows, tmp_path):
-    """Batches out of order, an older version of messages after the newer one, and a batch delivered twice."""
+    """Newest files first, an older version of messages after the newer one, and a restart that has lost its checkpoint,
+    so that every batch comes again."""
     messages = stand_in.messages_from(stand_in.table(spark, SF, "events"))
     early, late = messages.where("created_ts < '2024-01-15'"), messages.where("created_ts >= '2024-01-15'")
     stale = early.withColumn("status", F.lit("EXECUTING_QUERY")).withColumn("harvested_at", F.lit(None).cast("timestamp"))
-    for n, part in enumerate((late, early, early, stale)):
+    for n, part in enumerate((late, early, stale)):
         _land_messages(spark, tmp_path, n, part)
     stream = lambda: _message_stream(spark, tmp_path, messages.schema)
-    table, rollup = str(tmp_path / "table"), str(tmp_path / "rollup")
-    streams.stream_ingest_messages(stream(), table, f"{table}-state").awaitTermination()
+    rollup, trend = str(tmp_path / "rollup"), str(tmp_path / "daily")
     cols = ["space_id", "message_id", "status", "created_ts", "feedback_rating"]
-    assert rows(spark.read.parquet(table), *cols) == rows(messages, *cols)
 
-    streams.stream_conversation_rollup(stream(), f"{rollup}-m", rollup, f"{rollup}-state").awaitTermination()
+    from fleetscore.operators.trends import daily_trends
     from fleetscore.sources.payloads import conversation_rollup
 
-    got = streams.newest_versions(spark, rollup, streams.CONVERSATION_KEYS)
-    assert rows(got) == rows(conversation_rollup(messages))
-
-
-def test_daily_stream(spark, rows, tmp_path):
-    messages = stand_in.messages_from(stand_in.table(spark, SF, "events"))
-    for n, part in enumerate((messages.where("created_ts < '2024-01-15'"), messages.where("created_ts >= '2024-01-15'"))):
-        part.coalesce(1).write.parquet(str(tmp_path / f"in-{n}"))
-    out = str(tmp_path / "daily")
-    source = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in-*")
-    streams.stream_daily_trend(source, out, f"{out}-state").awaitTermination()
-    got = streams.newest_versions(spark, out, ["space_id", "date"])
-    per_day = messages.groupBy("space_id", F.to_date("created_ts").alias("date")).agg(F.count("*").alias("messages"))
-    assert rows(got, "space_id", "date", "messages") == rows(per_day)
+    wanted = daily_trends(messages, stand_in.conversations_from(messages)).where("messages > 0")
+    for attempt in range(2):
+        streams.stream_conversation_rollup(stream(), f"{rollup}-m", rollup, f"{rollup}-state{attempt}").awaitTermination()
+        assert rows(bronze.read_merged(spark, rollup).drop("bucket")) == rows(conversation_rollup(messages))
+        assert rows(bronze.read_merged(spark, f"{rollup}-m"), *cols) == rows(messages, *cols)
+        streams.stream_daily_trend(stream(), f"{trend}-m", trend, f"{trend}-state{attempt}").awaitTermination()
+        figures = ["space_id", "date", "messages", "users", "feedback_pos", "feedback_neg"]
+        assert rows(bronze.read_merged(spark, trend), *figures) == rows(wanted, *figures)
+
+
+def test_landing(spark, rows, tmp_path):
+    """A harvest landed twice changes nothing, gold tables follow from it, and scope is that of the listed spaces."""
+    t = lambda name: stand_in.table(spark, SF, name)
+    ids = stand_in.messages_from(t("events")).select("space_id").distinct().where("space_id <> 'sp3'")
+    spaces = ids.select(F.to_json(F.struct("space_id", F.lit("t").alias("title"))).alias("payload"))
+    results, result_details = stand_in.result_payloads(stand_in.Bronze(spark, SF)["eval_results"])
+    documents = {
+        "spaces": spaces, "space_details": spaces, "space_meta": stand_in.meta_payloads(t("supplier")),
+        "instructions": stand_in.instruction_payloads(t("documents"), t("labels")),
+        "curated_questions": stand_in.curated_payloads(t("part")),
+        "eval_runs": stand_in.eval_run_payloads(t("orders"), t("lineitem")), "eval_results": results,
+        "eval_result_details": result_details, "conversations": stand_in.message_payloads(t("events")),
+    }
+    landed, base, gold = (str(tmp_path / x) for x in ("landed", "bronze", "gold"))
+    for kind, pages in documents.items():
+        pages.select("payload").write.text(f"{landed}/{kind}")
+    state = []
+    for _ in range(2):
+        tables = landing.run_landed(spark, landed, base, gold, "2024-02-01")
+        stored = landing.bronze_tables(spark, base)
+        state.append([rows(stored[n]) for n in ("message_details", "conversations")] + [rows(tables["factors"])])
+    assert state[0] == state[1] and state[0][0] and state[0][2]
+    got = {r["space_id"] for r in state[0][0]}
+    assert got == {r["space_id"] for r in rows(ids)} == {r["space_id"] for r in state[0][1]}
+    some = sorted(got)[0]
+    landing.land(spark, landed, str(tmp_path / "one"), "2024-02-01", some)
+    one = landing.bronze_tables(spark, str(tmp_path / "one"))
+    assert {r["space_id"] for n in ("spaces", "instructions", "eval_runs") for r in rows(one[n], "space_id")} <= {some}
 
 
 def test_daily_run(spark, tmp_path):
