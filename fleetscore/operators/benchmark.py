@@ -11,8 +11,6 @@ from fleetscore.functions.columns import (
 )
 from fleetscore.operators.ranking import ordered_rank, same_keys
 
-_MAX_PIVOT_COLUMNS = 1000
-
 
 def benchmark_facts(runs: DataFrame, richness: DataFrame) -> DataFrame:
     """Latest run and number of runs for every space with a richness row; its status does not matter."""
@@ -87,36 +85,34 @@ def benchmark_question_matrix(results: DataFrame, runs: DataFrame, chars: int |
 def matrix_cells(matrix: DataFrame) -> DataFrame:
     """One row per space, question and run that holds an assessment, with its sign and colour.
 
-    Where a run answered a question more than once, the result with the highest id stands.
+    Questions and runs go by their ids; the text is a label, that of the result with the highest id. Where a run
+    answered a question more than once, the assessment of that result stands.
     """
     label = F.when(F.length("question") > 60, F.concat(F.substring("question", 1, 60), F.lit("…")))
     return (
-        matrix.groupBy("space_id", "question", "run_index")
-        .agg(F.max_by("assessment", "result_id").alias("assessment"))
+        matrix.groupBy("space_id", "benchmark_question_id", "eval_run_id", "run_index")
+        .agg(F.max_by(F.struct("question", "assessment"), "result_id").alias("last"), F.count("*").alias("n_results"))
+        .select("space_id", "benchmark_question_id", "eval_run_id", "run_index", "n_results", "last.*")
         .select(
-            "space_id", "question", F.coalesce(label, "question").alias("label"), "run_index", "assessment",
+            "space_id", "benchmark_question_id", "eval_run_id", "question", F.coalesce(label, "question").alias("label"),
+            "run_index", "assessment", "n_results",
             F.coalesce(lookup(F.col("assessment"), ASSESSMENT_GLYPHS), F.lit("·")).alias("glyph"),
             F.coalesce(lookup(F.col("assessment"), ASSESSMENT_COLOURS), F.lit("none")).alias("colour"),
         )
     )
 
 
-def matrix_pivot(matrix: DataFrame, n_runs: int | None = None) -> DataFrame:
-    """Questions by runs: columns r1..rk hold the assessments.
+def matrix_pivot(matrix: DataFrame) -> DataFrame:
+    """One row per space and question with its assessments in run order, as an array `runs`.
 
-    Without n_runs the number of columns is taken from the data; a smaller n_runs shows the first runs only. `matrix_cells` is the same content
-    in rows and has no limit; a pivot wider than a table can be is refused, not cut.
+    A fleet would need as many columns as its busiest space has runs, which no table holds; the array has the runs in
+    which the question was asked, each with its place, and no run is dropped.
     """
-    if n_runs is None:
-        n_runs = matrix.agg(F.max("run_index")).first()[0] or 1
-    if n_runs > _MAX_PIVOT_COLUMNS:
-        raise ValueError(f"{n_runs} runs are too many columns; use matrix_cells")
-    names = {str(i): f"r{i}" for i in range(1, n_runs + 1)}
-    return (
-        matrix.groupBy("space_id", "question")
-        .pivot("run_index", list(range(1, n_runs + 1)))
-        .agg(F.max_by("assessment", "result_id"))
-        .withColumnsRenamed(names)
+    placed = matrix.groupBy("space_id", "benchmark_question_id", "run_index", "eval_run_id").agg(
+        F.max_by("assessment", "result_id").alias("assessment")
+    )
+    return placed.groupBy("space_id", "benchmark_question_id").agg(
+        F.sort_array(F.collect_list(F.struct("run_index", "eval_run_id", "assessment"))).alias("runs")
     )
 
 

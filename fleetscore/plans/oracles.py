@@ -768,13 +768,17 @@ _SQL: dict[str, str] = {
         sql_instructions + text_instructions + sample_questions AS richness_total FROM banded)""",
     "space_detail": "SELECT * FROM scorecard WHERE space_id = 'sp11'",
     "matrix_cells": """
-      SELECT space_id, question, CASE WHEN length(question) > 60 THEN substring(question, 1, 60) || '…' ELSE question END
-        AS label, run_index, assessment,
+      SELECT space_id, benchmark_question_id, eval_run_id, question, CASE WHEN length(question) > 60
+          THEN substring(question, 1, 60) || '…' ELSE question END AS label, run_index, assessment, n_results,
         CASE assessment WHEN 'GOOD' THEN '✓' WHEN 'BAD' THEN '✕' ELSE '~' END AS glyph,
         CASE assessment WHEN 'GOOD' THEN 'green' WHEN 'BAD' THEN 'red' ELSE 'amber' END AS colour
-      FROM (SELECT space_id, question, run_index, arg_max(assessment, result_id) AS assessment FROM matrix GROUP BY ALL)""",
+      FROM (SELECT space_id, benchmark_question_id, eval_run_id, run_index, arg_max(question, result_id) AS question,
+          arg_max(assessment, result_id) AS assessment, count(*) AS n_results FROM matrix GROUP BY ALL)""",
     "matrix_pivot": """
-      SELECT space_id, question, arg_max(assessment, result_id) AS r1 FROM latest_results GROUP BY ALL""",
+      SELECT space_id, benchmark_question_id, CAST(count(*) AS INTEGER) AS n_runs,
+        string_agg(run_index || ':' || eval_run_id || ':' || assessment, ' ' ORDER BY run_index, eval_run_id) AS runs
+      FROM (SELECT space_id, benchmark_question_id, eval_run_id, run_index, arg_max(assessment, result_id) AS assessment
+        FROM matrix GROUP BY ALL) GROUP BY ALL""",
     "improvement_listing": """
       SELECT space_id, CAST(row_number() OVER (PARTITION BY space_id ORDER BY
           CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, rank) AS INTEGER) AS pos,

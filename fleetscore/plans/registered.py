@@ -349,6 +349,13 @@ def _bucket(f: Fleet) -> DataFrame:
     return f.runs.select("eval_run_id", quality).withColumn("bucket", threshold_bucket(F.col("quality_pct")))
 
 
+def _pivot(f: Fleet) -> DataFrame:
+    pivot = benchmark.matrix_pivot(benchmark.benchmark_question_matrix(f["eval_results"], f.runs))
+    shown = F.transform("runs", lambda r: F.concat_ws(":", r.run_index, r.eval_run_id, r.assessment))
+    return pivot.select("space_id", "benchmark_question_id", F.size("runs").alias("n_runs"),
+                        F.concat_ws(" ", shown).alias("runs"))
+
+
 # --- diagnosis and its evaluation ---------------------------------------------------------------
 def _bundle(f: Fleet) -> DataFrame:
     ids = lambda many, one: F.concat_ws(",", F.transform(many, lambda x: x[one]))
@@ -513,8 +520,7 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "space_detail": lambda f: serving.space_detail(f.scorecard, "sp11"),
     "matrix_cells": lambda f: benchmark.matrix_cells(
         benchmark.benchmark_question_matrix(f["eval_results"], f.runs, chars=300)),
-    "matrix_pivot": lambda f: benchmark.matrix_pivot(
-        benchmark.benchmark_question_matrix(f.latest_results, f.runs, chars=300)),
+    "matrix_pivot": _pivot,
     "improvement_listing": lambda f: serving.improvement_listing(f.improvements),
     # diagnosis
     "deterministic_findings": lambda f: f.rules,

@@ -99,20 +99,19 @@ def test_matrix(make, rows):
                 {"space_id": "s", "eval_run_id": "4", "created_timestamp": 5})
     long = "q" * 400
     results = make("eval_results", *[
-        {"space_id": "s", "eval_run_id": r, "question": q, "assessment": a, "result_id": i}
+        {"space_id": "s", "eval_run_id": r, "benchmark_question_id": q[0], "question": q, "assessment": a, "result_id": i}
         for r, q, a, i in [("1", "x", "GOOD", "a"), ("2", "x", "BAD", "b"), ("3", long, None, "c"), ("9", "x", "GOOD", "d")]])
     matrix = benchmark.benchmark_question_matrix(results, runs, chars=300)
     whole = benchmark.benchmark_question_matrix(results, runs)
     assert max(len(r["question"]) for r in rows(whole, "question")) == 400
     assert {r["result_id"]: r["run_index"] for r in rows(matrix, "result_id", "run_index")} == {
         "d": 1, "a": 2, "b": 2, "c": 3}
-    cells = {(r["question"][:1], r["run_index"]): r for r in rows(benchmark.matrix_cells(matrix))}
-    assert cells[("x", 2)]["glyph"] == "✕" and cells[("q", 3)]["glyph"] == "·"
-    assert len(cells[("q", 3)]["question"]) == 300 and len(cells[("q", 3)]["label"]) == 61
-    wide = {r["question"][:1]: r for r in rows(benchmark.matrix_pivot(matrix))}
-    assert (wide["x"]["r1"], wide["x"]["r2"], wide["x"]["r3"]) == ("GOOD", "BAD", None)
-    with pytest.raises(ValueError):
-        benchmark.matrix_pivot(matrix, 5000)
+    cells = {(r["benchmark_question_id"], r["eval_run_id"]): r for r in rows(benchmark.matrix_cells(matrix))}
+    assert cells[("x", "2")]["glyph"] == "✕" and cells[("q", "3")]["glyph"] == "·" and cells[("x", "1")]["run_index"] == 2
+    assert len(cells[("q", "3")]["question"]) == 300 and len(cells[("q", "3")]["label"]) == 61
+    assert sum(r["n_results"] for r in cells.values()) == 4
+    pivot = {r["benchmark_question_id"]: [tuple(x) for x in r["runs"]] for r in rows(benchmark.matrix_pivot(matrix))}
+    assert pivot == {"x": [(1, "9", "GOOD"), (2, "1", "GOOD"), (2, "2", "BAD")], "q": [(3, "3", None)]}
 
 
 def test_daily_trends_keep_gaps(make, rows):

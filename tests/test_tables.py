@@ -239,7 +239,7 @@ def test_landing(spark, rows, tmp_path):
         state.append([rows(stored[n]) for n in ("message_details", "conversations")] + [rows(tables["factors"])])
     assert state[0] == state[1] and state[0][0] and state[0][2]
     got = {r["space_id"] for r in state[0][0]}
-    assert got == {r["space_id"] for r in rows(ids)} == {r["space_id"] for r in state[0][1]}
+    assert got == {r["space_id"] for r in state[0][1]} and got <= {r["space_id"] for r in rows(ids)} and "sp3" not in got
     some = sorted(got)[0]
     landing.land(spark, landed, str(tmp_path / "one"), "2024-02-01", some)
     one = landing.bronze_tables(spark, str(tmp_path / "one"))
