@@ -6,12 +6,13 @@ their embeddings have a small Hamming distance. A repetition draws its own rando
 words emitted at these are the LSH key. Windows are item-sized: the walk is the
 longest of WALKS within half the item, each item is indexed at every word pair from which it stays inside, and a document's windows start where a pair of some item occurs
 (a key holds the pair at its start, so other starts could match no key). How many repetitions reach the target
-recall follows from the edit share; an item has as many chances as it has intact starts. One in
-PER_START of an item's starts, one at least, must be met and agree on its place: some dozens of chances allow that,
-and chance matches rarely do.
+recall follows from the edit share, for one start; an item has as many chances as it has intact starts. A key
+needs whole words, so recall is that of `repetitions` or better where some words in a row are intact, and falls where
+edits touch nearly every word.
 
-Candidates are verified exactly: the least edit distance, in characters, between the item and any part of the
-document around the window (words in lower case with one blank between) must be at most `share` of the item.
+Every place that one meeting proposes is verified exactly: the least edit distance, in characters, between the item
+and any part of the document that can hold it there (words in lower case with one blank between) must be at most
+`share` of the item. A lower bound, the sum of the least distances of the item's blocks, spares most of these.
 
 The benchmark is broadcast in blocks of at most `block_bytes`, whatever its size; a document is read once.
 Null or empty texts hold no item. Null items and items of fewer than MIN_WORDS words are no passages and are
@@ -35,7 +36,7 @@ from fleetscore.llm.arrays import column_bytes, mix, slices, word_hasher
 MIN_WORDS = 5
 WALKS = (4, 8, 16, 32)  # steps of a walk; the longest within half the item is used
 SAMPLES = 3
-PER_START = 5
+BLOCK = 64  # characters of an item that are compared at once
 
 
 def repetitions(recall: float, share: float) -> int:
@@ -117,15 +118,17 @@ def build_index(items: list[tuple[object, str]], share: float, recall: float) ->
     """Sorted key arrays per repetition and walk, and what verification needs."""
     words, reps = word_hasher(), repetitions(recall, share)
     steps = _steps(reps)
-    kept, parts, pairs = [], {}, []
+    kept, parts, pairs, places = [], {}, [], []
     for item_id, text in items:
-        h, *_ = words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        h, first, end, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
         if len(h) < MIN_WORDS:
             continue
         n = len(kept)
         k = max(k for k, w in enumerate(WALKS) if w <= max(len(h) / 2, WALKS[0]))
         starts = np.arange(len(h) - WALKS[k] + 1)
-        kept.append((item_id, _plain(text.encode()), len(h), max(1, len(starts) // PER_START)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        kept.append((item_id, _plain(text.encode()), len(h)))
+        places.append(_positions(raw, first, end))
         pairs.append(pair_hashes(h)[starts])
         for rep in range(reps):
             keys = walk_keys(h, starts, WALKS[k], rep, steps)[k]
@@ -138,7 +141,8 @@ def build_index(items: list[tuple[object, str]], share: float, recall: float) ->
     every = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
     sieve = np.zeros(1 << 20, bool)
     sieve[(every >> np.uint64(44)).astype(np.int64)] = True
-    return {"items": kept, "index": index, "pairs": every, "sieve": sieve, "reps": reps, "share": share}
+    at = np.concatenate(places) if places else np.zeros(0, np.int64), np.cumsum([0, *map(len, places)])
+    return {"items": kept, "at": at, "index": index, "pairs": every, "sieve": sieve, "reps": reps, "share": share}
 
 
 def _hits(column: pa.Array, found: dict, words: Callable, steps: list) -> list[list[dict]]:
@@ -168,32 +172,138 @@ def _hits(column: pa.Array, found: dict, words: Callable, steps: list) -> list[l
             if n.any():
                 which = np.repeat(np.arange(len(starts)), n)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                candidates.append(np.stack([row[starts[which]], item[place], starts[which] - at[place], at[place]], 1))
+                candidates.append(np.stack([starts[which], item[place], at[place]], 1))
     if not candidates:
         return out
-    done: dict[tuple[int, int], list] = {}
     met = np.unique(np.concatenate(candidates), axis=0)
-    need = np.array([x[3] for x in found["items"]])[met[:, 1]]
-    slacks = np.array([math.ceil(found["share"] * x[2]) + 1 for x in found["items"]])[met[:, 1]]
-    ahead = np.arange(len(met)) + need - 1
-    other = met[np.minimum(ahead, len(met) - 1)]
-    enough = (ahead < len(met)) & (other[:, :2] == met[:, :2]).all(axis=1) & (other[:, 2] - met[:, 2] <= slacks)
-    for doc, item, begin, _ in met[enough].tolist():
-        item_id, plain, n, _ = found["items"][item]
-        slack = math.ceil(found["share"] * n) + 1
-        tried = done.setdefault((doc, item), [-10**18, False])
-        if tried[1] or begin - tried[0] <= slack // 2:
+    texts, base, at = _plain_rows(data, first, end, bounds, np.unique(row[met[:, 0]]))
+    sizes = np.array([len(x[1]) for x in found["items"]])
+    edits = np.floor(found["share"] * sizes).astype(np.int64)
+    item_at, item_base = found["at"]
+    item = met[:, 1]
+    begin = at[met[:, 0]] - item_at[item_base[item] + met[:, 2]]  # of the item in the plain text, if nothing before is edited
+    docs = row[met[:, 0]]
+    order = np.lexsort((begin, docs, item))
+    docs, item, begin, word = docs[order], item[order], begin[order], (met[:, 0] - met[:, 2])[order]
+    # places of one document and item whose begins are within `edits` are looked at together
+    head = _runs(item * len(counts) + docs, begin, edits[item])
+    last = np.append(head[1:], len(begin)) - 1
+    docs, item, low, high, word = docs[head], item[head], begin[head], begin[last], word[head]
+    if "masks" not in found:
+        found["masks"] = _masks(found["items"])
+    low, span = low - edits[item], high - low
+    codes = np.concatenate([_codes(t) for t in texts.values()])
+    likely = _near_enough(codes, item, base[docs] + low, span, sizes, edits, *found["masks"])
+    high = low + span + sizes[item] + 2 * edits[item]
+    low, high = np.maximum(low, 0), np.maximum(high, 0)
+    done = set()
+    for doc, i, a, b, w in sorted(zip(*(x[likely].tolist() for x in (docs, item, low, high, word)))):
+        if (doc, i) in done:
             continue
-        tried[0] = begin
-        # wide enough for every window that begins within the next slack / 2 words
-        a, b = max(begin - slack, bounds[doc]), min(begin + n + 2 * slack, bounds[doc + 1])
-        if a >= b:
-            continue
-        text, edits = _plain(data[first[a]: end[b - 1]].tobytes()), math.floor(found["share"] * len(plain))
-        distance = edit_distance_within(plain, text) if may_match(plain, text, edits) else len(plain)
-        if distance <= edits:
-            tried[1] = True
-            out[doc].append({"item_id": item_id, "distance": distance, "place": int(max(begin, bounds[doc]) - bounds[doc])})
+        (item_id, plain, _), most, text = found["items"][i], int(edits[i]), texts[doc][a:b]
+        distance = edit_distance_within(plain, text) if may_match(plain, text, most) else len(plain)
+        if distance <= most:
+            done.add((doc, i))
+            out[doc].append({"item_id": item_id, "distance": distance, "place": int(max(w, bounds[doc]) - bounds[doc])})
+    return out
+
+
+def _positions(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where each word begins in the plain text of all of them, in characters."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    n = chars[end] - chars[first]
+    gap = np.concatenate([[False], first[1:] > end[:-1]])
+    return np.cumsum(n) - n + np.cumsum(gap)
+
+
+def _plain_rows(data, first, end, bounds, rows) -> tuple[dict[int, str], np.ndarray, np.ndarray]:
+    """Plain texts of the rows, where each begins when they are joined, and each word's place in its row's text."""
+    texts = {r: _plain(data[first[bounds[r]]: end[bounds[r + 1] - 1]].tobytes()) for r in rows.tolist()}
+    at = np.zeros(len(first), np.int64)
+    for r in texts:
+        a, b = bounds[r], bounds[r + 1]
+        at[a:b] = _positions(data[first[a]: end[b - 1]], first[a:b] - first[a], end[a:b] - first[a])
+    base = np.zeros(len(bounds) - 1, np.int64)
+    base[rows] = np.cumsum([0, *map(len, texts.values())])[:-1]
+    return texts, base, at
+
+
+def _runs(group: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Heads of runs in sorted rows: a run is of one group, and its begins are at most `width` behind the head's."""
+    heads = np.concatenate([[True], (group[1:] != group[:-1]) | (begin[1:] - begin[:-1] > width[1:])])
+    while True:
+        head = np.maximum.accumulate(np.where(heads, np.arange(len(begin)), 0))
+        far = begin - begin[head] > width
+        first = far & ~np.concatenate([[False], far[:-1] & (head[1:] == head[:-1])])
+        if not first.any():
+            return np.flatnonzero(heads)
+        heads |= first
+
+
+def _masks(items: list) -> tuple[np.ndarray, np.ndarray]:
+    """For each BLOCK characters of each item, the bits of its places by low byte of the character; an item's first block."""
+    first = np.cumsum([0, *(-(-len(x[1]) // BLOCK) for x in items)])
+    out = np.zeros((first[-1], 256), np.uint64)
+    for n, x in enumerate(items):
+        code = _codes(x[1])
+        place = np.arange(len(code))
+        np.bitwise_or.at(out, (first[n] + place // BLOCK, code), np.uint64(1) << (place % BLOCK).astype(np.uint64))
+    return out, first
+
+
+def _codes(text: str) -> np.ndarray:
+    return (np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) & 0xFF).astype(np.int64)
+
+
+def _near_enough(codes, item, low, span, sizes, edits, masks, first, most: int = 1 << 12) -> np.ndarray:
+    """Whether the blocks of the item, each found where it may be by itself, need at most `edits` edits in sum: no
+    more than the item as a whole. Equal low bytes and what is read beyond a text only make the sum smaller."""
+    out = np.ones(len(item), bool)
+    one, eqs = np.uint64(1), masks.reshape(-1)
+    before, after = max(0, -int(low.min(initial=0))), int((low + sizes[item] + 2 * edits[item] + span).max(initial=0)) + BLOCK
+    codes = np.concatenate([np.zeros(before, np.int64), codes, np.zeros(max(0, after - len(codes)) + 2 * int(edits.max(initial=0)) + int(span.max(initial=0)), np.int64)])
+    # alike in how many characters are read, so that few are read in vain
+    order = np.argsort(2 * edits[item] + span, kind="stable")
+    for c in range(0, len(item), most):
+        left = order[c: c + most]
+        total = np.zeros(len(left), np.int64)
+        for block in range(int(-(-sizes[item[left]].max() // BLOCK))):
+            there = block * BLOCK < sizes[item[left]]
+            left, total = left[there], total[there]
+            if not len(left):
+                break
+            i = item[left]
+            length = np.minimum(sizes[i] - block * BLOCK, BLOCK)
+            at, top = (first[i] + block) * 256, (length - 1).astype(np.uint64)
+            # bits above a block's last never reach those below, so they need no mask
+            up, down = np.full(len(left), ~np.uint64(0)), np.zeros(len(left), np.uint64)
+            score, least, start = length.copy(), length.copy(), before + low[left] + block * BLOCK
+            eq, x, plus, minus = (np.empty(len(left), np.uint64) for _ in range(4))
+            for step in range(int((length + 2 * edits[i] + span[left]).max())):
+                np.take(eqs, at + codes[start + step], out=eq)
+                np.bitwise_and(eq, up, out=x)
+                x += up
+                x ^= up
+                x |= eq
+                x |= down
+                np.bitwise_and(up, x, out=minus)
+                np.bitwise_or(x, up, out=plus)
+                np.invert(plus, out=plus)
+                plus |= down
+                eq |= down
+                score += (plus >> top & one).view(np.int64)
+                score -= (minus >> top & one).view(np.int64)
+                plus <<= one
+                minus <<= one
+                np.bitwise_and(plus, eq, out=down)
+                np.bitwise_or(eq, plus, out=up)
+                np.invert(up, out=up)
+                up |= minus
+                np.minimum(least, score, out=least)
+            total = total + least
+            near = total <= edits[i]
+            out[left[~near]] = False
+            left, total = left[near], total[near]
     return out
 
 

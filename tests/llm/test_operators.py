@@ -273,6 +273,31 @@ def test_edited_passages_are_found(spark, prose):
     assert {r.doc_id: {h.item_id for h in r.hits} for r in blocks.collect()} == got
 
 
+def test_passages_with_spread_edits_are_found(spark):
+    """A typo in each second word (about 8 % of the characters), and whole words replaced up to the limit of 20 %."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(4, 8)))
+    items = [(k, " ".join(word() for _ in range((20, 45, 58)[k % 3]))) for k in range(90)]
+    docs = []
+    for k, text in items:
+        passage, left = text.split(), math.floor(0.2 * len(text))
+        for j in rng.sample(range(len(passage)), len(passage)):
+            w = passage[j]
+            if k % 2 and left >= len(w):
+                passage[j], left = "Z" * len(w), left - len(w)
+            elif not k % 2 and rng.random() < 0.5:
+                at = rng.randrange(len(w))
+                passage[j] = w[:at] + "Z" + w[at + 1:]
+        docs.append((k, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])))
+        assert decontaminate.edit_distance_within(text, docs[-1][1].lower()) <= math.floor(0.2 * len(text))
+    hits = decontaminate.benchmark_hits(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for odd in (0, 1):
+        for words in range(3):
+            got = [[h.item_id for h in r.hits] == [r.doc_id] for r in hits if r.doc_id % 2 == odd and r.doc_id % 3 == words]
+            assert sum(got) >= 0.9 * len(got), (odd, words, sum(got), len(got))
+
+
 def test_decontamination_corner_cases(spark, odd):
     items = spark.createDataFrame([(None, "one two three four five six"), (1, None), (2, ""), (3, "one")], "item_id long, text string")
     docs = odd.unionByName(spark.createDataFrame([(50, "x ONE  two\nthree four five six", None, None, None, None)], DOCS))
