@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from fleetscore.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+# Characters of scripts that set no blanks between words (Thai to Tibetan, Myanmar, Khmer, Kana, Han, full-width forms).
+UNSPACED = r"\x{0E00}-\x{107F}\x{1780}-\x{17FF}\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFFF}\x{20000}-\x{3FFFF}"
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 _PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,9 +75,24 @@ def _pieces(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def word_hasher() -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
+def _unspaced(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the UNSPACED characters of UTF-8 bytes."""
+    lead = np.flatnonzero(piece >= 0xE0)
+    lead = lead[lead + 2 < len(piece)]
+    a, b = piece[lead].astype(np.int64), piece[lead + 1]
+    code = a << 8 | b  # the first two bytes tell the blocks of 64 (three bytes) or 4096 (four bytes) characters
+    three = np.zeros(len(lead), bool)
+    for low, high in ((0xE0B8, 0xE181), (0xE19E, 0xE19F), (0xE380, 0xE383), (0xE390, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBF)):
+        three |= (code >= low) & (code <= high)
+    four = (code >= 0xF0A0) & (code <= 0xF0BF)
+    lead, size = lead[three | four], np.where(four, 4, 3)[three | four]
+    return lead, np.minimum(lead + size, len(piece))
+
+
+def word_hasher(units: bool = False) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
     """A function of bytes and offsets to (hashes, first bytes, ends, counts): the words of all rows in order,
-    and how many each row has. A word's hash is a polynomial of its bytes modulo 2**64, mixed."""
+    and how many each row has. A word's hash is a polynomial of its bytes modulo 2**64, mixed. With `units`, each
+    character of a script without blanks is a word."""
     tables = _powers(_PIECE)
 
     def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,6 +105,9 @@ def word_hasher() -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
             cut = np.zeros(b - a + 1, bool)
             cut[0] = cut[-1] = True
             cut[inner[np.searchsorted(inner, a): np.searchsorted(inner, b, "right")] - a] = True
+            if units:
+                for edges in _unspaced(piece):
+                    cut[edges] = True
             first = word & cut[:-1]
             first[1:] |= word[1:] & ~word[:-1]
             last = word & cut[1:]

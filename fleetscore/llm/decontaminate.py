@@ -15,8 +15,9 @@ and any part of the document that can hold it there (words in lower case with on
 `share` of the item. A lower bound, the sum of the least distances of the item's blocks, spares most of these.
 
 The benchmark is broadcast in blocks of at most `block_bytes`, whatever its size; a document is read once.
-Null or empty texts hold no item. Null items and items of fewer than MIN_WORDS words are no passages and are
-never found. Repeated items are all reported. A null item_id is reported as null.
+In scripts without blanks each character counts as a word, but isn't set apart for the edit distance. Items of fewer
+than MIN_WORDS words have no walk; each pair of their words is a key, so exact copies are always found. Null or
+empty texts hold no item. Null items and items of one word are no passages and are never found. Repeated items are all reported. A null item_id is reported as null.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from fleetscore.llm.arrays import column_bytes, mix, slices, word_hasher
 MIN_WORDS = 5
 WALKS = (4, 8, 16, 32)  # steps of a walk; the longest within half the item is used
 SAMPLES = 3
+PAIRS = (-1, -1)  # place in the index of the word pairs of short items
 BLOCK = 64  # characters of an item that are compared at once
 
 
@@ -116,21 +118,24 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def build_index(items: list[tuple[object, str]], share: float, recall: float) -> dict:
     """Sorted key arrays per repetition and walk, and what verification needs."""
-    words, reps = word_hasher(), repetitions(recall, share)
+    words, reps = word_hasher(units=True), repetitions(recall, share)
     steps = _steps(reps)
     kept, parts, pairs, places = [], {}, [], []
     for item_id, text in items:
         h, first, end, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
-        if len(h) < MIN_WORDS:
+        if len(h) < 2:
             continue
         n = len(kept)
+        short = len(h) < MIN_WORDS
         k = max(k for k, w in enumerate(WALKS) if w <= max(len(h) / 2, WALKS[0]))
-        starts = np.arange(len(h) - WALKS[k] + 1)
+        starts = np.arange(len(h) - 1 if short else len(h) - WALKS[k] + 1)
         raw = np.frombuffer(text.encode(), np.uint8)
         kept.append((item_id, _plain(text.encode()), len(h)))
         places.append(_positions(raw, first, end))
         pairs.append(pair_hashes(h)[starts])
-        for rep in range(reps):
+        if short:
+            parts.setdefault(PAIRS, []).append((pair_hashes(h), np.full(len(starts), n), starts))
+        for rep in range(0 if short else reps):
             keys = walk_keys(h, starts, WALKS[k], rep, steps)[k]
             parts.setdefault((rep, k), []).append((keys, np.full(len(starts), n), starts))
     index = {}
@@ -160,10 +165,10 @@ def _hits(column: pa.Array, found: dict, words: Callable, steps: list) -> list[l
         place = np.minimum(np.searchsorted(found["pairs"], pairs[starts]), len(found["pairs"]) - 1)
         starts = starts[found["pairs"][place] == pairs[starts]]
     candidates = []
-    longest = max((WALKS[k] for _, k in found["index"]), default=0)
-    for rep in range(found["reps"] if len(starts) else 0):
-        keys = walk_keys(h, starts, longest, rep, steps)
-        for k in range(len(WALKS)):
+    longest = max((WALKS[k] for _, k in found["index"] if k >= 0), default=0)
+    for rep in range(-1, found["reps"]) if len(starts) else ():
+        keys = walk_keys(h, starts, longest, rep, steps) if rep >= 0 else {-1: pairs[starts]}
+        for k in keys:
             if (rep, k) not in found["index"]:
                 continue
             known, item, at = found["index"][rep, k]
@@ -313,7 +318,7 @@ def _finder(spark, index: dict) -> Callable[[Column], Column]:
 
     @F.arrow_udf(kind)
     def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found, words = pickle.loads(shared.value), word_hasher()
+        found, words = pickle.loads(shared.value), word_hasher(units=True)
         steps = _steps(found["reps"])
         arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("place", pa.int32())]))
         for column in columns:

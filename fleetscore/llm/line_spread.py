@@ -8,7 +8,7 @@ shared line stays in one place, its first: the smallest (doc_id, text hash, plac
 functions.
 
 A null site counts as a site of its own. Null texts stay null; empty lines and lines of fewer than `min_words`
-words are never shared lines. Rows equal in doc_id and text are treated alike. In a null doc_id's text lines are
+words are never shared lines; in a script without blanks each character counts as a word. Rows equal in doc_id and text are treated alike. In a null doc_id's text lines are
 removed like in others; nulls come first in the order that picks a line's place to stay.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import WORD, settle, text_key
+from fleetscore.llm.arrays import UNIT, settle, text_key
 
 KEY = ["l1", "l2"]
 BLANKS = " \t\r\x0b\x0c"
@@ -30,7 +30,7 @@ def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
         "doc_id", t1.alias("t1"), t2.alias("t2"),
         F.when(F.col(site).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(site))).alias("site"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
-    ).withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.regexp_count("line", F.lit(WORD)) >= min_words)
+    ).withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.regexp_count("line", F.lit(UNIT)) >= min_words)
     l1, l2 = text_key(F.col("line"))
     return lines.select("doc_id", "t1", "t2", "site", "pos", l1.alias("l1"), l2.alias("l2"))
 

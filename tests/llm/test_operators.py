@@ -235,6 +235,14 @@ def test_near_threshold_lines_are_counted_exactly(spark):
         assert removed[str(k)] == (k if k < 50 else 1)
 
 
+def test_lines_without_blanks_are_shared_lines(spark):
+    line = "\u7248\u6743\u6240\u6709\u4e0d\u5f97\u8f6c\u8f7d"
+    docs = [(k, f"own {k} text here\n{line}\n\u7248\u6743\nx\u7248 y", "zh", f"s{k}", 0, "x") for k in range(8)]
+    got = {r.doc_id: r.text for r in line_spread.remove_shared_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[0] == docs[0][1]
+    assert all(got[k] == f"own {k} text here\n\u7248\u6743" for k in range(1, 8))
+
+
 # --- decontamination
 
 def test_edit_distance_of_substrings():
@@ -307,6 +315,21 @@ def test_decontamination_corner_cases(spark, odd):
     assert all(not r.hits for r in decontaminate.benchmark_hits(docs, empty(items)).collect())
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    rng = random.Random(8)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    thai = "".join(chr(0xE01 + rng.randrange(45)) for _ in range(50))
+    rare = "".join(chr(0x20000 + rng.randrange(3000)) for _ in range(30))
+    items = [(1, "Who wrote Faust?"), (2, han), (3, thai), (4, "\u4f60\u597d\u5417"), (5, rare), (6, "alpha beta")]
+    edited = han[:20] + "\u4e00" + han[21:40] + han[42:]
+    docs = [(1, "so: who  WROTE\nfaust? asks"), (2, "\u3042" * 30 + edited + "\u3044" * 30), (3, "x " + thai + " y"), (4, "\u6211\u8bf4\u4f60\u597d\u5417\u4e86"),
+            (5, "before" + rare + "behind"), (6, "gamma alpha beta"), (7, "alpha gamma beta who"), (8, han[:30])]
+    got = decontaminate.benchmark_hits(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in got} == {**{k: [k] for k in range(1, 7)}, 7: [], 8: []}
+    assert {r.doc_id: r.hits[0].distance for r in got if r.hits} == {1: 0, 2: 3, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
 # --- quality
 
 def test_probabilities_sum_to_one_with_backoff(spark):
