@@ -6,8 +6,11 @@ its own first), and continuation counts of the lower orders follow from the dist
 n-gram rarer than `rarest` of its language's total is left to the lower order, so a language keeps at most
 1 / rarest n-grams of each order whatever the corpus; that bounds what the driver gathers and broadcasts.
 Keys, log probabilities and back-off weights lie in sorted arrays. A text gets the language of the least
-cross-entropy per character. It is accepted if that is nearer to the language's own cross-entropy than to
-what random letters have under its model, with an allowance for short texts.
+cross-entropy per character. Limits are set by texts left out of the counts, one in LEFT_OUT of each language with
+at least ENOUGH texts (by the text's hash, so copies go together): what all but one in a hundred of them stay below,
+less an allowance for short texts. A text is accepted if it is nearer to that than to what random letters have under
+the model, drawn from the language's own common letters, so other scripts don't move the limit. A language with fewer
+texts has its cross-entropy in the counted texts instead.
 
 Null or letterless text: language `und`, score 0, not accepted. No training text: every text is `und`.
 Ties go to the language that sorts first. Labels are compared as they are; null labels aren't learned.
@@ -28,6 +31,7 @@ from fleetscore.llm.arrays import column_bytes, settle, slices
 
 ORDER = 4
 UND = "und"
+LEFT_OUT, ENOUGH = 16, 64
 _BLANK = 32
 
 
@@ -159,14 +163,21 @@ class Model:
             out[rest] = back + self.score(keys[rest], order - 1)
         return out
 
+    def allowance(self, n: np.ndarray) -> np.ndarray:
+        """How much more a text of n characters may have by chance."""
+        return 3 * self.spread / np.sqrt(np.maximum(n, 1))
+
     def limit(self, n: np.ndarray) -> np.ndarray:
         """The largest cross-entropy of an accepted text of n characters."""
-        return self.own + 0.5 * max(self.random - self.own, 0.0) + 3 * self.spread / np.sqrt(np.maximum(n, 1))
+        return self.own + 0.5 * max(self.random - self.own, 0.0) + self.allowance(n)
 
 
 def train(training: DataFrame, rarest: float = 2e-6) -> dict[str, Model]:
     """Models by language from (text, lang) rows; null texts and null languages are left out."""
-    counted = _counted(training.where("text is not null and lang is not null"))
+    training = training.where("text is not null and lang is not null")
+    many = [r.lang for r in training.groupBy("lang").count().where(F.col("count") >= ENOUGH).collect()]
+    out = F.col("lang").isin(many) & (F.pmod(F.xxhash64("text"), F.lit(LEFT_OUT)) == 0)
+    counted = _counted(training.where(~out))
     parts = [_gathered(c, k + 1, rarest) for k, c in enumerate(counted)]
     alphabet = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts[0][0].values())]))
     models = {}
@@ -188,12 +199,41 @@ def train(training: DataFrame, rarest: float = 2e-6) -> dict[str, Model]:
             model.own = float(-(n * logs).sum() / n.sum())
             model.spread = float(np.sqrt(max((n * logs**2).sum() / n.sum() - model.own**2, 0)))
         rng = np.random.default_rng(0)
-        noise = rng.choice(alphabet, (20_000, ORDER)) if len(alphabet) else np.zeros((0, ORDER), np.uint64)
+        letters, often, _ = parts[0][0][lang]
+        rank = np.argsort(-often, kind="stable")
+        letters = letters[rank[: int(np.searchsorted(np.cumsum(often[rank]), 0.99 * often.sum())) + 1]]
+        noise = rng.choice(letters, (20_000, ORDER)) if len(letters) else np.zeros((0, ORDER), np.uint64)
         packed = sum(noise[:, k] << np.uint64(16 * k) for k in range(ORDER)) if len(noise) else np.zeros(0, np.uint64)
         model.random = float(-model.score(packed).mean()) if len(noise) else 0.0
+    if models and many:
+        excess = _own_entropy(training.sparkSession, models)(F.col("text"), F.col("lang"))
+        left = training.where(out).select("lang", excess.alias("own"))
+        for r in left.groupBy("lang").agg(F.percentile_approx("own", 0.99, F.lit(1000)).alias("own")).collect():
+            if r.lang in models and r.own is not None:
+                models[r.lang].own = float(r.own)
     return models
 
 
+def _own_entropy(spark: SparkSession, models: dict[str, Model]):
+    """A function of text and language: cross-entropy under that language's model, less the allowance for its length."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps((models, _letters())))
+
+    @F.arrow_udf("double")
+    def excess(pieces: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, letters = pickle.loads(shared.value)
+        for texts, langs in pieces:
+            found = []
+            for part in slices([pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])], "text", 2 << 20):
+                keys, counts, has = _grams(part.column("text"), letters)
+                ends = np.cumsum(counts)
+                for lang, a, b, some in zip(part.column("lang").to_pylist(), ends - counts, ends, has):
+                    model = known.get(lang)
+                    found.append(float(-model.score(keys[a:b]).astype(np.float64).mean() - model.allowance(b - a)) if model and some else None)
+            yield pa.array(found, pa.float64())
+
+    return excess.asNondeterministic()
+
+
 def _decide(column: pa.Array, models: dict[str, Model], letters: np.ndarray) -> pa.Array:
     keys, counts, has = _grams(column, letters)
     some = np.flatnonzero((has > 0) & (counts > 0) & bool(models))

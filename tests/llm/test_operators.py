@@ -134,6 +134,18 @@ def test_random_letters_are_rejected(spark):
     assert not any(r.d.accepted for r in spark.createDataFrame(noise, "text string").select(decide(F.col("text")).alias("d")).collect())
 
 
+def test_random_letters_are_rejected_beside_another_script(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
+    rng = random.Random(2)
+    han = [("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300)), "zh") for _ in range(100)]
+    models = langid.train(docs.select("text", "lang").unionByName(spark.createDataFrame(han, "text string, lang string")))
+    noise = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)),) for _ in range(5)]
+    decide = langid.identifier(spark, models)
+    assert not any(r.d.accepted for r in spark.createDataFrame(noise, "text string").select(decide(F.col("text")).alias("d")).collect())
+    rows = docs.select(decide(F.col("text")).alias("d")).where("d.lang_pred <> 'und'").collect()
+    assert sum(r.d.accepted for r in rows) >= 0.99 * len(rows)
+
+
 # --- mixing
 
 def water_level(sizes, weights, budget=1.5, most=2.0):
