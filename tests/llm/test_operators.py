@@ -474,3 +474,26 @@ def test_both_arc_versions_are_parsed():
         assert [(h["URL"], h["Archive-date"], b) for h, b in records] == [("http://h/a b", "20010203040506", b"ab\ncd"), ("http://h/a b", "20010203040506", b"12345")]
     with pytest.raises(ValueError):
         list(warc.arc_records(warc._arc_block(1, "f") + b"http://h 1.2.3.4 20010203040506 text/html 50\nshort\n"))
+
+
+def test_bytes_and_types_of_records_are_kept(spark):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: x\r\nContent-Length: 3\r\n\r\n"
+    blocks = {"http://latin": http + "caf\u00e9 \u00fc".encode("latin-1"), "http://png": http + bytes(range(256)), "http://lf": b"HTTP/1.0 200 OK\nA: b\n\nbody\xff",
+              "http://head": b"HTTP/1.0 204 No\r\nA: \xe9\r\n\r\n", "dns:a.b": b"20200101\nA.B. 1 IN A 1.2.3.4\n"}
+    content = warc._arc_block(1, "f.arc") + b"".join(
+        f"{url} 1.2.3.4 20010203040506 {'text/dns' if url[0] == 'd' else 'text/html'} {len(b)}\n".encode() + b + b"\n" for url, b in blocks.items())
+    path = scratch_path(spark, "warc-bytes")
+    warc.write_warc(warc.to_warc(spark.createDataFrame([("f.arc", bytearray(content))], "path string, content binary")), path)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
+    records = [x for f in files for x in warc.warc_records(f)]
+    assert {h["warc-target-uri"]: b for h, b in records if "warc-target-uri" in h} == blocks
+    assert sorted((h["warc-type"], h["content-type"]) for h, _ in records) == [
+        ("resource", "text/dns"), *[("response", "application/http;msgtype=response")] * 4, ("warcinfo", "text/plain")]
+    assert {r.url: r.payload_bytes for r in warc.read_warc(spark, path).collect()} == {
+        "http://latin": 6, "http://png": 256, "http://lf": 5, "http://head": 0, "dns:a.b": len(blocks["dns:a.b"])}
+    import gzip
+
+    import pyarrow as pa
+    plain = b"".join(gzip.decompress(f) for f in files).replace(b"body\xff", b"bodyX")
+    with pytest.raises(ValueError):
+        list(warc._read(iter([pa.RecordBatch.from_arrays([pa.array([plain])], ["content"])])))
