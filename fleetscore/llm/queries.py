@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscore.llm import curriculum, decontaminate, langid, line_spread, neardup, perplexity, toolcalls, topk, warc, wordpiece
+from fleetscore.llm import (
+    curriculum, decontaminate, langid, line_spread, merkle, neardup, perplexity, toolcalls, topk, trie, warc, wordpiece)
 from fleetscore.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,15 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, lengths = trie.with_shared_openings(trie.turns(_table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(placed, lengths)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_tool_call_linking": tool_call_linking,
@@ -84,4 +94,6 @@ def queries() -> dict[str, Query]:
         "op8_exact_topk": exact_topk,
         "op9_near_dedup": near_dedup,
         "op10_arc_to_warc": arc_to_warc,
+        "op11_merkle_manifest": merkle_manifest,
+        "op12_prefix_trie": prefix_trie,
     }
