@@ -6,9 +6,9 @@
 2. Equal sets become one node, so groups of copies are counted, never paired.
 3. Nodes that share a bucket of a band are linked to the bucket's least node only (a star), and these
    candidate edges are verified on full sets. Large stars are dealt out over chunks of members.
-4. A bucket that still holds several components may hide a link between two members that aren't its hub.
-   Its members are dealt to blocks, and each pair of blocks is verified as a whole from the sets, which yields
-   spanning links only; no rows of pairs are made.
+4. A bucket that still holds several components may hide a link between two members that aren't its hub. These are
+   verified cell by cell (see `cells`): what meets in several buckets is verified once, one component isn't held
+   against itself, and no rows of pairs are made.
 5. Components of the links by star contraction; every row gets the smallest doc_id of its component.
 
 Rows that are equal in text are one node whatever their ids. No words or no text: the empty set, linked with
@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.llm.arrays import column_bytes, mix, settle, shingles, slices, text_key, word_hasher
+from fleetscore.llm.cells import as_set, cross_links
 
 BINS = 256
-CHUNK = 256            # members of a star that are verified together
-BLOCK = 384            # rows of a block, about
-BLOCK_SHINGLES = 1 << 20
+CHUNK = 256  # members of a star that are verified together
 
 
 def sequences(steps: int = 64) -> np.ndarray:
@@ -112,10 +111,6 @@ def _set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             [batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))], ["node", "shingles"])
 
 
-def _as_set(row: pa.ListScalar) -> np.ndarray:
-    return row.values.to_numpy(zero_copy_only=False).view(np.uint64)
-
-
 def _enough(both: np.ndarray, a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return share[1] * both >= share[0] * (a + b - both)
 
@@ -126,7 +121,7 @@ def check_stars(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> It
     for batch in batches:
         left, right = [], []
         for h, c, node, row in zip(batch.column("hub"), batch.column("chunk"), batch.column("node"), batch.column("shingles")):
-            s = _as_set(row)
+            s = as_set(row)
             if (h, c) != at:
                 at, hub = (h, c), s
                 continue
@@ -158,51 +153,10 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _block_links(nodes: list[bytes], roots: list[bytes], blocks: list[int], sets: list[np.ndarray], cross: bool,
-                 share: tuple[int, int]) -> list[tuple[bytes, bytes]]:
-    if len(set(roots)) < 2:
-        return []
+def linked(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sets are linked."""
     size = np.array([len(s) for s in sets])
-    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-    group, block = np.array([names[r] for r in roots]), np.array(blocks)
-    ok = _enough(overlaps(sets), size[:, None], size[None, :], share) & (group[:, None] != group[None, :])
-    if cross:
-        ok &= block[:, None] != block[None, :]
-    links, parent = [], list(range(len(names)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in zip(*np.nonzero(np.triu(ok))):
-        a, b = top(group[i]), top(group[j])
-        if a != b:
-            parent[a] = b
-            links.append((nodes[i], nodes[j]))
-    return links
-
-
-def check_blocks(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (bucket, i, j): links that join components within the rows of each pair of blocks."""
-    at, held = None, []
-
-    def flush() -> pa.RecordBatch:
-        links = _block_links(*map(list, zip(*held)), at[1] != at[2], share) if held else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"])
-
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
-        rest = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "block")), batch.column("shingles"))
-        for key, (node, root, block, row) in zip(keys, rest):
-            if key != at:
-                if held:
-                    yield flush()
-                at, held = key, []
-            held.append((node, root, block, _as_set(row)))
-    if held:
-        yield flush()
+    return _enough(overlaps(sets), size[:, None], size[None, :], share)
 
 
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
@@ -265,24 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u binary, v binary"), "star-links")
 
-    roots = components(star_links)
-    held = members.where("size > 2").select("key", "node").join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a != b")
-    once = mixed.groupBy("size", "a", "b", "who").agg(F.min("key").alias("key"))  # one of the bands with the same members
-    held = settle(held.join(once.select("key"), "key").join(nodes.select("node", "n"), "node"), "held")
-    width = held.groupBy("key").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("width"))
-    block = F.pmod(F.xxhash64("node"), "width").cast("int")
-    pairs = (
-        held.join(width, "key").withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-        .select(F.col("key").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "node", "root", "block")
-        .join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node"))
-    more_links = settle(pairs.mapInArrow(partial(check_blocks, share=share), "u binary, v binary"), "more-links")
+    roots = settle(components(star_links), "roots")
+    more_links = cross_links(members.select("key", "node"), roots, nodes.select("node", "n"), sets, partial(linked, share=share), "bands")
 
     # A component of star links is one node from here on.
     over = more_links.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(

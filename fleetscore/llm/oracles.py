@@ -115,5 +115,40 @@ FROM kept k JOIN sums s ON s.over = k.k LEFT JOIN nodes p ON p.d = k.d - 1 AND p
 """
 
 
+def _classes(n: int, last: str = "") -> str:
+    """Near-duplicates by joining shingles; equal sets are one node, components by spreading the least node."""
+    return rf"""
+WITH RECURSIVE words AS (
+    SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+    FROM (SELECT row_number() OVER () AS rowid, * FROM documents)
+), sets AS (
+    SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, least(len(w), 1)) + 1),
+        lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) AS s
+    FROM words
+), nodes AS (
+    SELECT s, min(r) AS node, min(doc_id) AS least_id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), tokens AS (SELECT node, n, unnest(s) AS t FROM nodes),
+links AS (
+    SELECT a.node AS u, b.node AS v FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT node, node AS other FROM nodes
+    UNION
+    SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.other
+), classes AS (
+    SELECT r.node, min(o.least_id) AS component_id FROM reach r JOIN nodes o ON o.node = r.other GROUP BY r.node
+)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) > 0 THEN c.component_id ELSE d.doc_id END AS component_id{last}
+FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN classes c ON c.node = n.node
+"""
+
+
+NEAR_DEDUP = _classes(3, ", d.doc_id IS NOT DISTINCT FROM CASE WHEN len(d.s) > 0 THEN c.component_id ELSE d.doc_id END AS kept")
+JACCARD_JOIN = _classes(4)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP, "op11_merkle_manifest": MERKLE, "op12_prefix_trie": TRIE}
+    return {
+        "op5_line_dedup": LINE_DEDUP, "op9_near_dedup": NEAR_DEDUP, "op11_merkle_manifest": MERKLE, "op12_prefix_trie": TRIE,
+        "op13_ngram_jaccard_join": JACCARD_JOIN,
+    }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscore.llm import (
-    curriculum, decontaminate, langid, line_spread, merkle, neardup, perplexity, toolcalls, topk, trie, warc, wordpiece)
+    curriculum, decontaminate, langid, line_spread, merkle, neardup, perplexity, prefix_join, toolcalls, topk, trie, warc, wordpiece)
 from fleetscore.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(placed, lengths)
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_tool_call_linking": tool_call_linking,
@@ -96,4 +100,5 @@ def queries() -> dict[str, Query]:
         "op10_arc_to_warc": arc_to_warc,
         "op11_merkle_manifest": merkle_manifest,
         "op12_prefix_trie": prefix_trie,
+        "op13_ngram_jaccard_join": ngram_jaccard_join,
     }
