@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.functions.columns import BENCHMARK, SQL_INSTRUCTION, TEXT_INSTRUCTION, blank_to_null, tally
-from fleetscore.operators.ranking import top_k
+from fleetscore.operators.ranking import running, top_k
 from fleetscore.session import with_known_size
 
 # Fixed names of the figures a bundle carries.
@@ -50,46 +50,98 @@ def _chars(*names: str) -> Column:
     return sum((F.coalesce(F.length(n), F.lit(0)) for n in names), F.lit(0)).cast("bigint")
 
 
+def _items(instructions: DataFrame, curated: DataFrame, results: DataFrame) -> DataFrame:
+    """All evidence as rows: uid, space_id, kind, together (items of one kind and this name lie side by side), id, chars, words
+    (what is indexed), and the item itself in the column of its kind."""
+    title = blank_to_null(F.lower(F.trim("title")))
+    questions = curated.where(F.col("question_type") == BENCHMARK)
+    joined = lambda *c: F.concat_ws(" ", *c)
+    parts = (
+        instructions.select(
+            "space_id", F.lit(0).alias("kind"), F.coalesce(title, "instruction_id").alias("together"), F.col("instruction_id").alias("id"),
+            _chars("title", "content").alias("chars"), joined("title", "content").alias("words"), _instruction().alias("instruction")),
+        questions.select(
+            "space_id", F.lit(1).alias("kind"), F.col("curated_question_id").alias("together"), F.col("curated_question_id").alias("id"),
+            _chars("question_text", "answer_text").alias("chars"), joined("question_text", "answer_text").alias("words"),
+            _question().alias("question")),
+        results.select(
+            "space_id", F.lit(2).alias("kind"), F.coalesce("benchmark_question_id", "result_id").alias("together"), F.col("result_id").alias("id"),
+            _chars("question", "expected_response", "actual_response").alias("chars"), F.lit(None).cast("string").alias("words"),
+            _result().alias("result")),
+    )
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return with_known_size(rows.where("space_id is not null").withColumn("uid", F.monotonically_increasing_id()), "evidence-items")
+
+
+def _terms(words: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(words), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def _term_parts(items: DataFrame, placed: DataFrame, part_items: int, part_chars: int) -> DataFrame:
+    """(uid, space_id, part): items of different home parts meet once more in the parts of the terms they share.
+
+    An inverted index, from the terms of instructions and questions to the items that use them. A term is kept if its
+    items fit one part and lie in several; terms with the same items count once. Terms in alphabetical order fill parts
+    behind the home parts, and take all their items along.
+    """
+    wide = placed.groupBy("space_id").agg((F.max("home") + 1).alias("n_home")).where("n_home > 1")
+    if wide.isEmpty():
+        return placed.select("uid", "space_id", F.col("home").alias("part")).where("false")
+    postings = (
+        items.where("kind < 2").select("uid", "chars", "words").join(placed.select("uid", "space_id", "home"), "uid")
+        .join(wide, "space_id").select("uid", "space_id", "n_home", "home", "chars", F.explode(_terms(F.col("words"))).alias("term"))
+    )
+    terms = postings.groupBy("space_id", "term").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("home").alias("first"), F.max("home").alias("last"),
+        F.min("uid").alias("low"), F.max("uid").alias("high"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("who"),
+    ).where((F.col("first") < F.col("last")) & (F.col("n") <= part_items) & (F.col("chars") <= part_chars))
+    terms = terms.groupBy("space_id", "n", "chars", "low", "high", "who").agg(F.min("term").alias("term"))
+    packed = running(terms.select("space_id", "term", "n", "chars"), ["space_id"], [F.col("term").asc()], "_at",
+                     {"items_before": "n", "chars_before": "chars"})
+    packed = packed.select("space_id", "term", _part("items_before", "chars_before", part_items, part_chars).alias("place"))
+    return postings.join(packed, ["space_id", "term"]).select(
+        "uid", "space_id", (F.col("n_home") + F.col("place")).alias("part")).distinct()
+
+
+def _part(items_before: str, chars_before: str, part_items: int, part_chars: int) -> Column:
+    return F.greatest(F.floor(F.col(items_before) / part_items), F.floor(F.col(chars_before) / part_chars)).cast("bigint")
+
+
 def evidence_bundle(
     scorecard: DataFrame, instructions: DataFrame, curated: DataFrame, results: DataFrame,
     part_items: int = 500, part_chars: int = 4_000_000,
 ) -> DataFrame:
-    """Metrics, instructions, benchmark questions (deprecated ones too) and results of every space.
-
-    A space with more items or text than fits one prompt is spread over parts of about that size; nothing is
-    left out, and no space becomes one giant row. What has to be seen together shares a part: a question and
-    its results go by the question's id, instructions under one title by that title.
+    """Metrics, instructions, benchmark questions (deprecated ones too) and results of every space, in parts.
+
+    One rule for spaces of any size; nothing is left out, and no part grows with its space:
+    - Items lie in order of instructions by title, then questions each with its results, and a part ends after
+      `part_items` items or `part_chars` characters. So every item has a home part, also where one title or one question
+      has more items than a part holds. A question is copied to each part that holds results of it.
+    - Two items that use a common term meet in some part: at home, or in a part of that term, if its items fit one part.
+      A term part has at most twice the limits. No term is in question while a space has one part.
+    - Parts are numbered from 0 by place; a number may stay unused. A space without items has one empty part.
     """
-    items = (
-        instructions.select("space_id", F.coalesce(blank_to_null(F.lower(F.trim("title"))), "instruction_id").alias("_id"), _instruction().alias("instruction"),
-                            _chars("title", "content").alias("_chars"))
-        .unionByName(
-            curated.where(F.col("question_type") == BENCHMARK).select(
-                "space_id", F.col("curated_question_id").alias("_id"), _question().alias("question"),
-                _chars("question_text", "answer_text").alias("_chars")),
-            allowMissingColumns=True)
-        .unionByName(
-            results.select("space_id", F.coalesce("benchmark_question_id", "result_id").alias("_id"), _result().alias("result"),
-                           _chars("question", "expected_response", "actual_response").alias("_chars")),
-            allowMissingColumns=True)
-    )
-    sizes = items.groupBy("space_id").agg(
-        F.greatest(
-            F.ceil(F.count("*") / F.lit(part_items)), F.ceil(F.sum("_chars") / F.lit(part_chars)), F.lit(1)
-        ).cast("bigint").alias("n_parts")
-    )
-    hashed = F.conv(F.substring(F.md5(F.coalesce("_id", F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    items = _items(instructions, curated, results)
+    narrow = items.select("uid", "space_id", "kind", "together", "id", "chars", F.when(F.col("kind") == 0, 0).otherwise(1).alias("side"))
+    order = [F.col("side").asc(), F.col("together").asc_nulls_first(), F.col("kind").asc(), F.col("id").asc_nulls_first(), F.col("uid").asc()]
+    placed = running(narrow, ["space_id"], order, "items_before", {"chars_before": "chars"}).withColumn(
+        "home", _part("items_before", "chars_before", part_items, part_chars))
+    at_home = placed.select("uid", "space_id", F.col("home").alias("part"))
+    asked = placed.where("kind = 2").select("space_id", "together", F.col("home").alias("part")).distinct()
+    copies = placed.where("kind = 1").join(asked, ["space_id", "together"]).where("part != home").select("uid", "space_id", "part")
+    places = at_home.unionByName(copies).unionByName(_term_parts(items, placed, part_items, part_chars))
     parts = (
-        items.join(with_known_size(sizes, "part-sizes"), "space_id")
-        .groupBy("space_id", "n_parts", (hashed % F.col("n_parts")).alias("part"))
+        places.join(items.drop("space_id", "words"), "uid")
+        .groupBy("space_id", "part")
         .agg(*[
             F.sort_array(F.collect_list(one)).alias(many)
             for one, many in (("instruction", "instructions"), ("question", "benchmark_questions"),
                               ("result", "benchmark_results"))
         ])
     )
+    counts = places.groupBy("space_id").agg(F.count_distinct("part").alias("n_parts"))
     kept = scorecard.select("space_id", "title", F.struct(*METRICS).alias("metrics"))
-    filled = kept.join(parts, "space_id", "left").na.fill(0, ["part"]).na.fill(1, ["n_parts"])
+    filled = kept.join(counts, "space_id", "left").join(parts, "space_id", "left").na.fill(0, ["part"]).na.fill(1, ["n_parts"])
     empty = {
         name: F.coalesce(name, F.array().cast(filled.schema[name].dataType))
         for name in ("instructions", "benchmark_questions", "benchmark_results")

@@ -57,6 +57,37 @@ def ordered_rank(df: DataFrame, group: list[str], order: list[Column], out: str)
     )
 
 
+def running(df: DataFrame, group: list[str], order: list[Column], place: str, sums: dict[str, str]) -> DataFrame:
+    """df with `place`, the number of rows of its group before a row, and for each `out: column` of `sums` their sum.
+
+    As `ordered_rank`: sorted over tasks, what a row has before it is what its own task holds of the group, plus the
+    group's totals of the tasks before.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = (
+        df.sort(*[F.col(g).asc_nulls_first() for g in group], *order)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .checkpoint()
+        .withColumn("_task", F.shiftright("_place", _BITS))
+    )
+    keys = [*group, "_task"]
+    totals = placed.groupBy(*keys).agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()]
+    )
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        *[F.sum(f"_t_{out}").over(earlier).alias(f"_b_{out}") for out in sums],
+    )
+    inside = Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({f"_i_{out}": F.sum(c).over(inside) for out, c in sums.items()})
+    zero = F.lit(0)
+    return same_keys(own, before, keys).withColumns({
+        place: F.col("_before") + F.col("_place") - F.col("_first"),
+        **{out: F.coalesce(f"_b_{out}", zero) + F.coalesce(f"_i_{out}", zero) for out in sums},
+    }).select(*df.columns, place, *sums)
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "rk") -> DataFrame:
     """The k first rows of every group with their place; k is the size of the report."""
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

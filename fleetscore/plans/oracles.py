@@ -469,32 +469,52 @@ _TRIMMED = """
             WHERE question_type = 'BENCHMARK') WHERE rk <= 4 GROUP BY 1) q ON q.space_id = m.space_id"""
 _CTES["trimmed"] = _TRIMMED
 _CTES["cases"] = _CASE_SCORES
+# Evidence in parts. A home part ends by count or text; a term that fits a part and is used in several brings its users together.
 _CTES["items"] = """
-    SELECT space_id, coalesce(nullif(lower(trim(title)), ''), instruction_id) AS id, 'i' AS kind, instruction_id AS shown,
-      coalesce(length(title), 0) + coalesce(length(content), 0) AS chars FROM ins
-    UNION ALL SELECT space_id, curated_question_id, 'q', curated_question_id,
-      length(question_text) + length(answer_text) FROM cq WHERE question_type = 'BENCHMARK'
-    UNION ALL SELECT space_id, coalesce(benchmark_question_id, result_id), 'r', result_id, length(question) + length(expected_response)
-      + coalesce(length(actual_response), 0) FROM latest_results"""
+    SELECT *, row_number() OVER (ORDER BY space_id, kind, together, id) AS uid FROM (
+      SELECT space_id, 0 AS kind, coalesce(nullif(lower(trim(title)), ''), instruction_id) AS together, instruction_id AS id,
+        coalesce(length(title), 0) + coalesce(length(content), 0) AS chars, concat_ws(' ', title, content) AS words,
+        instruction_id AS i_id, NULL AS q_id, NULL AS r_id, NULL AS question, NULL AS assessment, NULL AS e, NULL AS a,
+        CAST(to_json({'instruction_id': instruction_id, 'instruction_type': instruction_type, 'title': title, 'content': content}) AS VARCHAR) AS j
+      FROM ins
+      UNION ALL SELECT space_id, 1, curated_question_id, curated_question_id, length(question_text) + length(answer_text),
+        question_text || ' ' || answer_text, NULL, curated_question_id, NULL, NULL, NULL, NULL, NULL,
+        CAST(to_json({'benchmark_question_id': curated_question_id, 'question_text': question_text, 'answer_text': answer_text}) AS VARCHAR)
+      FROM cq WHERE question_type = 'BENCHMARK'
+      UNION ALL SELECT space_id, 2, coalesce(benchmark_question_id, result_id), result_id,
+        length(question) + length(expected_response) + coalesce(length(actual_response), 0), NULL, NULL, benchmark_question_id, result_id,
+        question, assessment, expected_response, coalesce(actual_response, ''),
+        CAST(to_json({'benchmark_question_id': benchmark_question_id, 'question': question, 'assessment': assessment,
+          'expected_sql': expected_response, 'actual_sql': actual_response}) AS VARCHAR)
+      FROM latest_results)"""
+_CTES["homes"] = """
+    SELECT *, greatest((row_number() OVER w - 1) // @ITEMS@, (sum(chars) OVER w - chars) // 4000000) AS home FROM items
+    WINDOW w AS (PARTITION BY space_id ORDER BY kind > 0, together NULLS FIRST, kind, id ROWS UNBOUNDED PRECEDING)"""
+_CTES["uses"] = """
+    SELECT space_id, uid, home, chars, unnest(list_distinct(regexp_extract_all(lower(words), '[\\p{L}\\p{N}_]+'))) AS term
+    FROM homes WHERE kind < 2"""
+_CTES["term_sets"] = """
+    SELECT space_id, users, min(term) AS term, any_value(n) AS n, any_value(chars) AS chars FROM (
+      SELECT space_id, term, list(uid ORDER BY uid) AS users, count(*) AS n, sum(chars) AS chars FROM uses
+      GROUP BY ALL HAVING min(home) < max(home) AND count(*) <= @ITEMS@ AND sum(chars) <= 4000000) GROUP BY space_id, users"""
+_CTES["places"] = """
+    SELECT space_id, uid, home AS part FROM homes
+    UNION SELECT q.space_id, q.uid, r.home FROM homes q JOIN homes r ON r.space_id = q.space_id AND r.together = q.together
+      WHERE q.kind = 1 AND r.kind = 2
+    UNION SELECT t.space_id, unnest(users), n_home + place FROM (
+        SELECT *, greatest((sum(n) OVER w - n) // @ITEMS@, (sum(chars) OVER w - chars) // 4000000) AS place FROM term_sets
+        WINDOW w AS (PARTITION BY space_id ORDER BY term ROWS UNBOUNDED PRECEDING)) t
+      JOIN (SELECT space_id, max(home) + 1 AS n_home FROM homes GROUP BY 1) h ON h.space_id = t.space_id"""
 _CTES["parts"] = """
-    SELECT i.space_id, n_parts, CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % n_parts AS part,
-      count(*) FILTER (kind = 'i') AS ni, count(*) FILTER (kind = 'q') AS nq, count(*) FILTER (kind = 'r') AS nr,
-      string_agg(shown, ',' ORDER BY shown) FILTER (kind = 'i') AS iids,
-      string_agg(shown, ',' ORDER BY shown) FILTER (kind = 'q') AS qids,
-      string_agg(shown, ',' ORDER BY shown) FILTER (kind = 'r') AS rids
-    FROM items i JOIN (SELECT space_id, CAST(greatest(ceil(count(*) / 500e0), ceil(sum(chars) / 4e6), 1) AS BIGINT)
-      AS n_parts FROM items GROUP BY 1) s ON s.space_id = i.space_id GROUP BY ALL"""
-_CTES["shown"] = """
-    SELECT space_id, coalesce(nullif(lower(trim(title)), ''), instruction_id) AS together, instruction_id AS id, 'i' AS kind, NULL AS bq, NULL AS question, NULL AS assessment, NULL AS e,
-      NULL AS a, CAST(to_json({'instruction_id': instruction_id, 'instruction_type': instruction_type, 'title': title,
-        'content': content}) AS VARCHAR) AS j FROM ins
-    UNION ALL SELECT space_id, curated_question_id, curated_question_id, 'q', NULL, NULL, NULL, NULL, NULL,
-      CAST(to_json({'benchmark_question_id': curated_question_id, 'question_text': question_text,
-        'answer_text': answer_text}) AS VARCHAR) FROM cq WHERE question_type = 'BENCHMARK'
-    UNION ALL SELECT space_id, coalesce(benchmark_question_id, result_id), result_id, 'r', benchmark_question_id, question, assessment, expected_response,
-      coalesce(actual_response, ''),
-      CAST(to_json({'benchmark_question_id': benchmark_question_id, 'question': question, 'assessment': assessment,
-        'expected_sql': expected_response, 'actual_sql': actual_response}) AS VARCHAR) FROM latest_results"""
+    SELECT p.space_id, n_parts, CAST(part AS BIGINT) AS part, count(i_id) AS ni, count(q_id) FILTER (kind = 1) AS nq, count(r_id) AS nr,
+      string_agg(i_id, ',' ORDER BY i_id) AS iids, string_agg(q_id, ',' ORDER BY q_id) FILTER (kind = 1) AS qids,
+      string_agg(r_id, ',' ORDER BY r_id) AS rids,
+      string_agg(j, ',' ORDER BY id) FILTER (kind = 0) AS ij, string_agg(j, ',' ORDER BY id) FILTER (kind = 1) AS qj,
+      string_agg(j, ',' ORDER BY q_id, question, assessment, e, a, id) FILTER (kind = 2) AS rj
+    FROM places p JOIN items i ON i.uid = p.uid
+    JOIN (SELECT space_id, count(DISTINCT part) AS n_parts FROM places GROUP BY 1) c ON c.space_id = p.space_id GROUP BY ALL"""
+for _name in ("homes", "term_sets", "places"):
+    _CTES[_name] = _CTES[_name].replace("@ITEMS@", "500")
 _CTES["grades"] = """
     SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr('ABCDF', CAST(doc_id % 5 + 1 AS INTEGER), 1)
         WHEN 1 THEN substr('ABCDF', CAST(doc_id % 5 + 1 AS INTEGER), 1) ELSE '?' END AS grade,
@@ -794,13 +814,7 @@ _SQL: dict[str, str] = {
     "bundle_json": """
       SELECT s.space_id, coalesce(p.part, 0) AS part, '{"schema":{},"instructions":[' || coalesce(ij, '')
         || '],"benchmark_questions":[' || coalesce(qj, '') || '],"benchmark_results":[' || coalesce(rj, '') || ']}' AS json
-      FROM scorecard s LEFT JOIN (
-        SELECT p.space_id, p.part, string_agg(j, ',' ORDER BY i.id) FILTER (kind = 'i') AS ij,
-          string_agg(j, ',' ORDER BY i.id) FILTER (kind = 'q') AS qj,
-          string_agg(j, ',' ORDER BY bq, question, assessment, e, a, i.id) FILTER (kind = 'r') AS rj
-        FROM parts p JOIN shown i ON i.space_id = p.space_id
-          AND CAST(('0x' || substr(md5(i.together), 1, 8)) AS BIGINT) % p.n_parts = p.part GROUP BY ALL) p
-      ON p.space_id = s.space_id""",
+      FROM scorecard s LEFT JOIN parts p ON p.space_id = s.space_id""",
     "valid_evidence_ids": "SELECT * FROM ids",
     "parse_model_steps": "SELECT * FROM steps",
     "grounded_steps": "SELECT * FROM grounded",

@@ -231,3 +231,46 @@ def test_coerce(spark, rows):
         {"benchmark_ran": True, "msgs": 3, "score": None, "title": "a"},
         {"benchmark_ran": False, "msgs": 0, "score": 12.5, "title": "b"},
         {"benchmark_ran": False, "msgs": 0, "score": None, "title": "c"}], key=repr)
+
+
+def _met(parts, pairs):
+    """How many of the pairs of instruction ids share a part."""
+    inside = [{i.instruction_id for i in p.instructions} for p in parts]
+    return sum(any(a in ids and b in ids for ids in inside) for a, b in pairs)
+
+
+def test_untitled_instructions_on_one_term_meet(spark, make):
+    cards = scorecard(spark, {"space_id": "big", "title": "Big"})
+    ins = make("instructions", *[
+        {"space_id": "big", "instruction_id": f"i{k:04d}", "content": f"An item{k % 600} record has always code {k}"} for k in range(1200)])
+    parts = evidence.evidence_bundle(cards, ins, make("curated_questions"), make("eval_results")).collect()
+    assert _met(parts, [(f"i{k:04d}", f"i{k + 600:04d}") for k in range(600)]) == 600
+    assert max(len(p.instructions) for p in parts) <= 1000
+    assert {i.instruction_id for p in parts for i in p.instructions} == {f"i{k:04d}" for k in range(1200)}
+    assert {p.n_parts for p in parts} == {len(parts)}
+
+
+def test_the_rule_of_parts_is_the_same_at_every_size(spark, make):
+    cards = scorecard(spark, {"space_id": "a", "title": "A"})
+    ins = make("instructions", *[
+        {"space_id": "a", "instruction_id": f"i{k:02d}", "title": f"T{k}", "content": f"term{k % 7} of {'rare' if k in (3, 22) else 'all'}"} for k in range(30)])
+    pairs = [(f"i{a:02d}", f"i{b:02d}") for a in range(30) for b in range(a) if a % 7 == b % 7] + [("i03", "i22")]
+    for size in (100, 30, 29, 12, 5):
+        parts = evidence.evidence_bundle(cards, ins, make("curated_questions"), make("eval_results"), part_items=size).collect()
+        assert max(len(p.instructions) for p in parts) <= 2 * size
+        assert _met(parts, pairs) == len(pairs)
+        assert (len(parts) == 1) == (size >= 30)
+
+
+def test_one_title_and_one_question_without_bound(spark, make):
+    cards = scorecard(spark, {"space_id": "a", "title": "A"})
+    ins = make("instructions", *[{"space_id": "a", "instruction_id": f"i{k}", "title": "Definition", "content": f"c{k}"} for k in range(1200)])
+    curated = make("curated_questions", {"space_id": "a", "curated_question_id": "q", "question_type": "BENCHMARK", "question_text": "c7 of c8"})
+    results = make("eval_results", *[{"space_id": "a", "result_id": f"r{k}", "benchmark_question_id": "q", "question": "c7 of c8"} for k in range(1100)])
+    parts = evidence.evidence_bundle(cards, ins, curated, results).collect()
+    assert sum(len(p.benchmark_results) for p in parts) == 1100
+    assert all(len(p.instructions) + len(p.benchmark_results) <= 1000 for p in parts) and len(parts) >= 5
+    assert all(len(p.benchmark_questions) == 1 for p in parts if p.benchmark_results)
+    about = [p for p in parts if p.benchmark_questions and {"i7", "i8"} <= {i.instruction_id for i in p.instructions}]
+    assert about or _met(parts, [("i7", "i8")]) == 1
+    assert any(p.benchmark_questions and "i7" in {i.instruction_id for i in p.instructions} for p in parts)
