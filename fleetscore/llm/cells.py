@@ -4,11 +4,13 @@ Groups (keys with the nodes that share them) overlap: the near copies of one tex
 belongs to a cell, whatever the key: to a part of the family of nodes that meet the same least node. A key names the
 pairs of cells that meet in it, each pair of cells is verified once as a whole from the sets, and only pairs that can
 join two components: a component with many nodes in a family has cells of its own, which aren't held against
-each other. A key whose nodes are of many families is cut to cells of its own instead.
+each other. A cell's sets are of one band of sizes, and a link spans neighbouring bands at most. A key whose nodes are of
+many families is cut to cells of its own instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,11 +78,11 @@ def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.nda
 
 
 def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame,
-                linked: Callable[[list[np.ndarray]], np.ndarray], purpose: str) -> DataFrame:
+                linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str) -> DataFrame:
     """Links (u, v) that join components of nodes under one key.
 
     members: distinct (key, node); roots: (node, root) of linked nodes, others are their own; sizes: (node, n);
-    sets: (node, shingles).
+    sets: (node, shingles). Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
     """
     held = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(
@@ -89,33 +91,35 @@ def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: Da
     once = mixed.groupBy("size", "a", "b", "who").agg(F.min(F.struct("key", "least")).alias("x")).select("size", "x.*")
     held = settle(held.join(once, "key"), f"{purpose}-held")
 
+    wide = math.log(share[1] / share[0]) * (1 + 1e-9) or 1e-9
     family = held.groupBy("node").agg(F.min("least").alias("family"), F.min("root").alias("root")).join(sizes, "node")
-    family = settle(family.select("node", "family", "root", "n"), f"{purpose}-families")
+    family = settle(family.select(
+        "node", "family", "root", "n", F.floor(F.log("n") / wide).alias("band")), f"{purpose}-families")
     many = family.groupBy("family", "root").agg(F.count("*").alias("c")).where(F.col("c") >= CELL).select(
         "family", "root", F.col("root").alias("pure"))
-    parted = family.join(many, ["family", "root"], "left")
+    parted = family.join(many, ["family", "root"], "left").withColumn("part", F.xxhash64("pure"))
     width = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("width")
-    widths = parted.groupBy("family", F.xxhash64("pure").alias("part")).agg(width)
-    place = parted.withColumn("part", F.xxhash64("pure")).join(widths, ["family", "part"]).select(
-        "node", F.xxhash64("family", "part", F.pmod(F.xxhash64("node"), "width")).alias("cell"), "pure")
-    placed = settle(held.join(place, "node").join(sizes, "node"), f"{purpose}-placed")
+    widths = parted.groupBy("family", "part", "band").agg(width)
+    place = parted.join(widths, ["family", "part", "band"]).select(
+        "node", "n", "band", F.xxhash64("family", "part", "band", F.pmod(F.xxhash64("node"), "width")).alias("cell"))
+    placed = settle(held.join(place, "node"), f"{purpose}-placed")
 
     # Keys of many families: cells of their own.
     spread = placed.groupBy("key").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("m"), width)
     spread = spread.select("key", "width", (F.col("cells") > 8 + 4 * F.ceil(F.col("m") / CELL)).alias("alone"))
+    own = F.xxhash64("key", "band", F.pmod(F.xxhash64("node"), "width"), F.lit(1))
     at = settle(placed.join(spread, "key").select(
-        "key", "node", "root",
-        F.when(F.col("alone"), F.xxhash64("key", F.pmod(F.xxhash64("node"), "width"), F.lit(1))).otherwise(F.col("cell")).alias("cell"),
-        F.when(~F.col("alone"), F.col("pure")).alias("pure")), f"{purpose}-cells")
-    met = at.select("key", "cell", "pure").distinct()
+        "key", "node", "root", "band", F.when(F.col("alone"), own).otherwise(F.col("cell")).alias("cell")), f"{purpose}-cells")
+    met = at.groupBy("key", "cell", "band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
     alike = met.groupBy("key").agg(
-        F.count("*").alias("c"), F.min("cell").alias("low"), F.sum(F.col("cell").cast("decimal(38,0)")).alias("sum"))
+        F.count("*").alias("c"), F.min("cell").alias("low"), F.sum(F.xxhash64("cell", "r1", "r2").cast("decimal(38,0)")).alias("sum"))
     alike = alike.groupBy("c", "low", "sum").agg(F.min("key").alias("key")).select("key")
     met = met.join(alike, "key")
+    side = lambda c: met.select("key", F.col("cell").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("band", "r1", "r2")])
+    one_root = "a_r1 = a_r2 and b_r1 = b_r2 and a_r1 = b_r1"
     pairs = settle(
-        met.select("key", F.col("cell").alias("a"), F.col("pure").alias("pa"))
-        .join(met.select("key", F.col("cell").alias("b"), F.col("pure").alias("pb")), "key")
-        .where("a <= b and (pa is null or pb is null or pa != pb)").select("a", "b").distinct(), f"{purpose}-pairs")
+        side("a").join(side("b"), "key").where(f"a <= b and abs(a_band - b_band) <= 1 and not ({one_root})").select("a", "b").distinct(),
+        f"{purpose}-pairs")
     inside = at.select("cell", "node", "root").distinct()
     rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).join(inside, "cell").join(sets, "node")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "node")

@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u binary, v binary"), "star-links")
 
     roots = settle(components(star_links), "roots")
-    more_links = cross_links(members.select("key", "node"), roots, nodes.select("node", "n"), sets, partial(linked, share=share), "bands")
+    more_links = cross_links(members.select("key", "node"), roots, nodes.select("node", "n"), sets, partial(linked, share=share), share, "bands")
 
     # A component of star links is one node from here on.
     over = more_links.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(

@@ -163,7 +163,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = settle(shared(nodes), "join-members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "at.d", "at.t1", "at.t2")
-    one = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["d", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    one = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["d", "t1", "t2"])
+    one = one.select("d", "t1", "t2", "node", "text").dropDuplicates(["d", "t1", "t2"]).select("node", "text")
     sets = settle(one.mapInArrow(partial(set_rows, n=shingle), "node long, shingles array<long>"), "join-sets")
     first = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first")
     demoted = settle(members.where(F.col("size") >= FREQUENT).select(
@@ -182,7 +183,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest.select("node", "first"))
     members = settle(shared(first), "join-members")
 
-    stars = members.where("node != hub").select("hub", "node").distinct()
+    # Sets of too different sizes can't be linked.
+    size = settle(nodes.select("node", "n"), "join-sizes")
+    stars = members.where("node != hub").select("hub", "node").distinct().join(size, "node").join(
+        size.withColumnsRenamed({"node": "hub", "n": "n_hub"}), "hub").where(
+        share[1] * F.least("n", "n_hub") >= share[0] * F.greatest("n", "n_hub")).select("hub", "node")
     width = stars.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("width"))
     stars = stars.join(width, "hub").select("hub", F.pmod(F.xxhash64("node"), "width").alias("chunk"), "node")
     centres = stars.select("hub", "chunk").distinct().withColumn("node", F.col("hub"))
@@ -191,7 +196,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-stars")
     roots = settle(components(star_links, "join-components"), "join-roots")
-    more = cross_links(members.select("key", "node"), roots, nodes.select("node", "n"), sets, partial(linked, share=share), "join")
+    more = cross_links(members.select("key", "node"), roots, size, sets, partial(linked, share=share), share, "join")
 
     over = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(
         roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left").select(

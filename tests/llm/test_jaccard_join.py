@@ -87,7 +87,7 @@ def test_cells_join_components_of_one_key(spark):
     for size in (384, 5):
         cells.CELL, before = size, cells.CELL
         try:
-            links = cells.cross_links(members, roots, sizes, frame, partial(neardup.linked, share=(85, 100)), "test").collect()
+            links = cells.cross_links(members, roots, sizes, frame, partial(neardup.linked, share=(85, 100)), (85, 100), "test").collect()
         finally:
             cells.CELL = before
         assert {(r.u, r.v) for r in links} >= {(k, k + 1) for k in range(1, n - 1)}
