@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetscore.operators.quality import key_violations
-from fleetscore.operators.ranking import same_keys
 from fleetscore.operators.upsert import latest_per_key, newest_rows
+from fleetscore.sources import versions
 
 
 def scan_bronze(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame:
@@ -48,12 +47,8 @@ def create_or_replace(df: DataFrame, name: str, provider: str = "parquet") -> No
 
 
 def replace_day(df: DataFrame, path: str, col: str = "snapshot_date") -> None:
-    """Only the days in df are replaced; writing a day twice leaves it once.
-
-    Rebalancing gathers a small day into few files and splits a large one over many tasks.
-    """
-    (df.hint("rebalance", col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(col).parquet(path))
+    """Only the days in df are replaced, all at once; writing a day twice leaves it once. `read_merged` reads the table."""
+    publish_partitions(df, path, col)
 
 
 def merge_into(source: DataFrame, name: str, keys: list[str], order_by: str = "harvested_at") -> None:
@@ -68,102 +63,42 @@ def merge_into(source: DataFrame, name: str, keys: list[str], order_by: str = "h
 def merge_partitions(
     source: DataFrame, path: str, keys: list[str], partition: str = "created_date",
     order_by: str | None = "harvested_at", null_is_key: bool = False,
-) -> None:
-    """Merge into a versioned Parquet table by writing anew only the partitions that source touches.
+) -> list:
+    """Merge into a versioned Parquet table by writing anew only the partitions that source touches; returns these.
 
     For tables without MERGE. The newest version of a row stays, also when an older one comes later;
     among equals, or without `order_by`, source wins. A key must keep its partition, as a message keeps its
-    day of creation. Rows that lack a part of the key are added, unless `null_is_key`. One writer at a time.
+    day of creation. Rows that lack a part of the key are added, unless `null_is_key`. Writers of other partitions
+    may commit meanwhile; a merge that meets one of its own partitions is done again (see `versions`).
     """
     newest = latest_per_key(source, keys, order_by, null_is_key).persist()
     spark = source.sparkSession
-    _, current = _published(spark, path)
-    rows = newest
-    if current:
-        day = F.col(partition)
-        first, last, undated = newest.agg(F.min(day), F.max(day), F.count_if(day.isNull())).first()
-        # The bounds prune the scan, the semi-join leaves the partitions between them that nothing touches.
-        reach = F.lit(False) if first is None else day.between(first, last)
-        stored = _read(spark, path, current, newest.schema).where(reach | day.isNull() if undated else reach)
-        stored = same_keys(stored, newest.select(partition).distinct(), [partition], "left_semi")
+    days = [r[0] for r in newest.select(partition).distinct().collect()]  # one value per partition, as in a listing
+    folders = [versions.folder_of(partition, day) for day in days]
+
+    def merged(state: versions.State) -> DataFrame:
+        if not any(f in state.partitions for f in folders):
+            return newest
+        stored = versions.read(spark, path, state, newest.schema, folders)
         both = stored.withColumn("_fresh", F.lit(0)).unionByName(newest.withColumn("_fresh", F.lit(1)))
         by_age = [F.col(order_by).desc_nulls_last()] if order_by else []
-        rows = newest_rows(both, keys, [*by_age, F.col("_fresh").desc()], null_is_key).drop("_fresh")
-    publish_partitions(rows, path, partition)
-    newest.unpersist()
-
-
-def publish_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Put the partitions in df in the place of the stored ones, all at once.
-
-    They are written beside the stored ones; the change is a small table that names the version of every partition,
-    and counts once it is complete. Readers see the state before or after, also when the writer is lost in between.
-    The state before the last one goes, so a read may be one change behind.
-    """
-    spark = df.sparkSession
-    number, current = _published(spark, path)
-    version = f"v{number + 1:08d}-{uuid.uuid4().hex[:12]}"
-    replace_day(df, f"{path}/rows/version={version}", partition)
-    written = [d for d in _listed(spark, f"{path}/rows/version={version}") if d.startswith(f"{partition}=")]
-    if not written:
-        return
-    _publish(spark, path, number + 1, current | dict.fromkeys(written, version))
-    if number > 1:
-        for day, old in _state(spark, path, number - 1).items():
-            if current.get(day) != old:
-                _remove(spark, f"{path}/rows/version={old}/{day}")
-        _remove(spark, _state_path(path, number - 1))
-
-
-def read_merged(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """The published rows of a versioned table; with a schema, a table nobody has written yet is empty."""
-    return _read(spark, path, _published(spark, path)[1], schema)
-
+        return newest_rows(both, keys, [*by_age, F.col("_fresh").desc()], null_is_key).drop("_fresh")
 
-def _read(spark: SparkSession, path: str, current: dict[str, str], schema: StructType | None) -> DataFrame:
-    if schema is not None and not current:
-        return spark.createDataFrame([], schema)
-    folders = [f"{path}/rows/version={version}/{day}" for day, version in sorted(current.items())]
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    rows = reader.option("basePath", f"{path}/rows").parquet(*folders).drop("version")
-    return rows if schema is None else rows.select(*schema.names)
-
-
-def _state_path(path: str, number: int) -> str:
-    return f"{path}/current/{number:08d}"
-
-
-def _state(spark: SparkSession, path: str, number: int) -> dict[str, str]:
-    """Which version holds a partition: one entry per partition, as in the listing of any partitioned table."""
-    return dict(map(tuple, spark.read.schema("day string, version string").parquet(_state_path(path, number)).collect()))
-
-
-def _published(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
-    for name in reversed(_listed(spark, f"{path}/current")):
-        if "_SUCCESS" in _listed(spark, f"{path}/current/{name}"):
-            return int(name), _state(spark, path, int(name))
-    return 0, {}
-
-
-def _publish(spark: SparkSession, path: str, number: int, current: dict[str, str]) -> None:
-    """Overwrites what a lost writer may have left under this number without completing it."""
-    state = spark.createDataFrame(sorted(current.items()), "day string, version string").coalesce(1)
-    state.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(_state_path(path, number))
-
-
-def _folder(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+    if days:
+        versions.publish(spark, path, partition, merged)
+    newest.unpersist()
+    return days
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    fs, folder = _folder(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+def publish_partitions(df: DataFrame, path: str, partition: str, days: list | None = None) -> None:
+    """Put the partitions in df in the place of the stored ones, all at once; of `days`, those without rows go."""
+    versions.publish(df.sparkSession, path, partition, lambda _: df, days)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, folder = _folder(spark, path)
-    fs.delete(folder, True)
+def read_merged(spark: SparkSession, path: str, schema: StructType | None = None, partition: str | None = None, days=None) -> DataFrame:
+    """The published rows of a versioned table, or of some days of it; with a schema, a table nobody has written yet is empty."""
+    folders = None if days is None else [versions.folder_of(partition, day) for day in days]
+    return versions.read(spark, path, versions.published(spark, path), schema, folders)
 
 
 def export_snapshot(df: DataFrame, path: str, pk: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetscore.functions.columns import NEGATIVE, POSITIVE, is_error, tally
 from fleetscore.operators.ranking import same_keys
 from fleetscore.schemas import PRIMARY_KEYS
+from fleetscore.sources import versions
 from fleetscore.sources.bronze import merge_partitions, publish_partitions, read_merged
 from fleetscore.sources.payloads import conversation_rollup
 
@@ -32,17 +33,17 @@ def _run(df: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint
 
 def _ingested(
     stream: DataFrame, path: str, checkpoint: str, flatten: Callable[[DataFrame], DataFrame] | None,
-    then: Callable[[DataFrame], None] | None = None,
+    then: Callable[[DataFrame, list], None] | None = None,
 ) -> StreamingQuery:
-    """Merge every batch into the message table at `path`, and hand its messages on."""
+    """Merge every batch into the message table at `path`, and hand its messages and days on."""
 
     def merge(batch: DataFrame, _: int) -> None:
         messages = flatten(batch) if flatten else batch
         dated = messages.withColumn("created_date", F.to_date("created_ts")).persist()
         if not dated.isEmpty():
-            merge_partitions(dated, path, MESSAGE_KEYS)
+            days = merge_partitions(dated, path, MESSAGE_KEYS)
             if then:
-                then(dated)
+                then(dated, days)
         dated.unpersist()
 
     return _run(stream, merge, checkpoint)
@@ -65,16 +66,15 @@ def stream_daily_trend(
 ) -> StreamingQuery:
     """Messages, users, failures and ratings per space and day: the days a batch touches are counted anew."""
 
-    def count(batch: DataFrame) -> None:
-        stored = _stored_since(batch.sparkSession, messages_path, batch, batch.agg(F.min("created_date")).first()[0])
-        days = batch.select("created_date").distinct()
-        daily = stored.where(F.col("created_date").isNotNull()).join(days, "created_date", "left_semi")
-        publish_partitions(daily.groupBy("space_id", F.col("created_date").alias("date")).agg(
+    def count(batch: DataFrame, days: list) -> None:
+        dated = [day for day in days if day is not None]
+        stored = read_merged(batch.sparkSession, messages_path, batch.schema, "created_date", dated)
+        publish_partitions(stored.groupBy("space_id", F.col("created_date").alias("date")).agg(
             F.count("*").alias("messages"), F.countDistinct("user_id").alias("users"), tally(is_error()).alias("errors"),
             tally(F.col("feedback_rating") == POSITIVE).alias("feedback_pos"),
             tally(F.col("feedback_rating") == NEGATIVE).alias("feedback_neg"),
             F.count("feedback_rating").alias("rated"),
-        ), path, "date")
+        ), path, "date", dated)
 
     return _ingested(stream, messages_path, checkpoint, flatten, count)
 
@@ -89,7 +89,7 @@ def stream_conversation_rollup(
     """
     bucket = F.pmod(F.xxhash64(*CONVERSATION_KEYS), F.lit(buckets)).cast("int")
 
-    def roll(batch: DataFrame) -> None:
+    def roll(batch: DataFrame, _: list) -> None:
         spark = batch.sparkSession
         touched = batch.select(*CONVERSATION_KEYS).distinct()
         stored = _stored_since(spark, messages_path, batch, _earliest_day(spark, batch, touched, rollup_path))
@@ -100,10 +100,12 @@ def stream_conversation_rollup(
 
 
 def _stored_since(spark: SparkSession, path: str, batch: DataFrame, day) -> DataFrame:
-    """The stored messages from a day on, and those without a day."""
-    stored = read_merged(spark, path, batch.schema)
-    date = F.col("created_date")
-    return stored if day is None else stored.where((date >= day) | date.isNull())
+    """The stored messages from a day on, and those without a day; older folders aren't listed."""
+    state = versions.published(spark, path)
+    first = None if day is None else versions.folder_of("created_date", day)
+    undated = versions.folder_of("created_date", None)
+    folders = [f for f in state.partitions if first is None or f == undated or f >= first]
+    return versions.read(spark, path, state, batch.schema, folders)
 
 
 def _earliest_day(spark: SparkSession, batch: DataFrame, touched: DataFrame, rollup_path: str):

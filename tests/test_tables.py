@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetscore.operators import quality, strict, upsert
 from fleetscore.plans import daily, landing
-from fleetscore.sources import bronze, stand_in
+from fleetscore.sources import bronze, stand_in, versions
 from fleetscore.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -64,7 +64,9 @@ def test_merge_partitions(spark, make, rows, tmp_path):
     assert files("2024-01-01") != before[0]
     merge()
     assert bronze.read_merged(spark, path).count() == 7
-    assert len(bronze._listed(spark, f"{path}/current")) == 2, "older states are gone"
+    assert versions.vacuum(spark, path) == 0, "young folders stay"
+    assert versions.vacuum(spark, path, hours=-1) > 0 and len(versions.listed(spark, f"{path}/log")) == 2
+    assert rows(bronze.read_merged(spark, path), "message_id", "status") == got
 
 
 def test_merge_keeps_rows_without_id(spark, make, rows, tmp_path):
@@ -84,12 +86,48 @@ def test_lost_writer_leaves_the_old_state(spark, make, rows, tmp_path, monkeypat
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(bronze, "_publish", lost)
+        patch.setattr(versions, "commit", lost)
         with pytest.raises(RuntimeError):
             merge(m("1", 1, "B", 2), m("2", 1, "B", 2))
     assert [r["status"] for r in rows(bronze.read_merged(spark, path), "status")] == ["A"]
     merge(m("1", 1, "B", 2), m("2", 1, "B", 2))
     assert [r["status"] for r in rows(bronze.read_merged(spark, path), "status")] == ["B", "B"]
+    assert versions.vacuum(spark, path, hours=-1, keep=1) == 2, "the lost writer's day and the replaced one"
+
+
+def test_writers_of_different_days_both_land(spark, make, rows, tmp_path, monkeypatch):
+    path, m = str(tmp_path / "t"), _message
+    merge = lambda *r: bronze.merge_partitions(_dated(make, *r), path, streams.MESSAGE_KEYS)
+    merge(m("1", 1, "A", 1), m("2", 2, "A", 1))
+    inner, attempts, write = [], [], versions.write_days
+
+    def meanwhile(df, folder, col):
+        """While the first writer writes, another one commits."""
+        write(df, folder, col)
+        attempts.append(1)
+        if inner:
+            inner.pop()()
+
+    monkeypatch.setattr(versions, "write_days", meanwhile)
+    inner.append(lambda: merge(m("2", 2, "B", 2)))
+    merge(m("1", 1, "B", 2))
+    assert len(attempts) == 2, "another day is no conflict"
+    inner.append(lambda: merge(m("3", 1, "C", 3)))
+    merge(m("1", 1, "D", 4))
+    assert len(attempts) == 5, "the same day is: the merge is done again"
+    got = rows(bronze.read_merged(spark, path), "message_id", "status")
+    assert [(r["message_id"], r["status"]) for r in got] == [("1", "D"), ("2", "B"), ("3", "C")]
+    monkeypatch.setattr(versions, "commit", lambda *_: False)
+    with pytest.raises(versions.Conflict):
+        merge(m("1", 1, "E", 5))
+
+
+def test_log_entries_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert versions._put(spark, path, versions.State(1, {"d=1": "a"}))
+    assert not versions._put(spark, path, versions.State(1, {"d=1": "b"}))
+    assert versions.published(spark, path) == versions.State(1, {"d=1": "a"})
+    assert versions.listed(spark, f"{path}/log") == [".0000000001.crc", "0000000001"] or versions.listed(spark, f"{path}/log") == ["0000000001"]
 
 
 def test_exact_percentile_of_many_values(spark):
@@ -108,7 +146,7 @@ def test_replace_day_and_export(spark, rows, tmp_path):
     bronze.replace_day(df, path)
     bronze.replace_day(df.where("n = 2").withColumn("n", F.lit(9)), path)
     bronze.replace_day(df.where("n = 2").withColumn("n", F.lit(9)), path)
-    assert [r["n"] for r in rows(spark.read.parquet(path), "n")] == [1, 9]
+    assert [r["n"] for r in rows(bronze.read_merged(spark, path), "n")] == [1, 9]
     twice = df.union(df.where("n = 1")).withColumnRenamed("n", "k")
     assert rows(bronze.export_snapshot(twice, str(tmp_path / "out"), ["k"])) == [{"k": 1, "n": 2}]
 
