@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetscore.operators import benchmark, evidence, findings, richness, scorecard
+from fleetscore.operators import benchmark, evidence, findings, partials, richness, scorecard
 from fleetscore.operators import factors as activity
 from fleetscore.operators.trends import daily_trends
 from fleetscore.sources.bronze import replace_day
 
 
-def gold_plans(bronze: dict[str, DataFrame], as_of=None, kept: Callable[[str, DataFrame], DataFrame] | None = None):
-    """The gold tables by name. `kept` may store a table that several others read, and give it back."""
+def gold_plans(
+    bronze: dict[str, DataFrame], as_of=None, kept: Callable[[str, DataFrame], DataFrame] | None = None,
+    states: dict[str, DataFrame] | None = None,
+):
+    """The gold tables by name. `kept` may store a table that several others read, and give it back.
+
+    With day `states`, figures of messages come from these, and messages aren't read.
+    """
     keep = kept or (lambda _, df: df)
     messages, runs = bronze["message_details"], bronze["eval_runs"]
-    gold = {"factors": keep("factors", activity.factors(messages, as_of))}
+    gold = {"factors": keep("factors", partials.factors_of(states, as_of) if states else activity.factors(messages, as_of))}
     gold["richness_facts"] = keep(
         "richness_facts",
         richness.richness_facts(bronze["instructions"], bronze["curated_questions"], bronze["space_meta"]),
@@ -28,7 +34,8 @@ def gold_plans(bronze: dict[str, DataFrame], as_of=None, kept: Callable[[str, Da
             bronze["space_meta"], gold["factors"], gold["richness_facts"], gold["benchmark_facts"], as_of
         ),
     )
-    gold["feedback_flags"] = keep("feedback_flags", activity.feedback_flags(messages))
+    gold["feedback_flags"] = keep(
+        "feedback_flags", states["flags"].drop(partials.DAY) if states else activity.feedback_flags(messages))
     gold["benchmark_runs_monthly"] = keep("benchmark_runs_monthly", benchmark.benchmark_runs_monthly(runs))
     gold["benchmark_run_trend"] = keep(
         "benchmark_run_trend", benchmark.benchmark_run_trend(runs, gold["richness_facts"])
@@ -36,7 +43,8 @@ def gold_plans(bronze: dict[str, DataFrame], as_of=None, kept: Callable[[str, Da
     gold["benchmark_question_matrix"] = keep(
         "benchmark_question_matrix", benchmark.benchmark_question_matrix(bronze["eval_results"], runs)
     )
-    gold["daily_trends"] = keep("daily_trends", daily_trends(messages, bronze["conversations"]))
+    gold["daily_trends"] = keep(
+        "daily_trends", partials.daily_trends_of(states) if states else daily_trends(messages, bronze["conversations"]))
     gold["fleet_rollup"] = keep("fleet_rollup", scorecard.fleet_rollup(gold["space_scorecard"], as_of))
     return gold
 
@@ -60,9 +68,9 @@ def diagnose(
 
 def run_daily(
     spark: SparkSession, bronze: dict[str, DataFrame], base: str, as_of=None,
-    model: Callable[[str], str | None] | None = None,
+    model: Callable[[str], str | None] | None = None, states: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Write all gold tables under `base`; scorecards and rollups are also kept by day."""
+    """Write all gold tables under `base`; scorecards and rollups are also kept by day (`read_merged` reads these two)."""
 
     def stored(name: str, df: DataFrame) -> DataFrame:
         path = f"{base}/{name}"
@@ -70,7 +78,7 @@ def run_daily(
         # Read back, tables have a known size, so small ones are broadcast and large ones are not.
         return spark.read.parquet(path)
 
-    gold = gold_plans(bronze, as_of, stored)
+    gold = gold_plans(bronze, as_of, stored, states)
     gold["space_improvements"] = stored(
         "space_improvements", diagnose(bronze, gold["space_scorecard"], model, as_of)
     )

@@ -871,6 +871,14 @@ _SQL: dict[str, str] = {
     "fleet_trend": " UNION ALL ".join(
         f"SELECT DATE '{day}' AS snapshot_date, {_FLEET} FROM scorecard_{day.replace('-', '')}" for day in _DAYS),
 }
+_SQL["factors_from_states"] = _SQL["factors"]
+_SQL["daily_trends_from_states"] = _SQL["daily_trends"]
+_WEEK = _weekly(f"""count(*) AS msgs, count(DISTINCT user_id) AS users, round(100e0 * sum({_ERR}) / count(*), 1) AS error_pct,
+      round(quantile_disc(response_time_sec, 0.9), 1) AS p90_s, count(*) FILTER (feedback_rating = 'POSITIVE') AS pos,
+      count(*) FILTER (feedback_rating = 'NEGATIVE') AS neg, count(feedback_rating) AS rated""")
+_SQL["weekly_trends_from_states"] = f"""
+      SELECT coalesce(m.wk, c.wk) AS wk, coalesce(m.space_id, c.space_id) AS space_id, m.* EXCLUDE (wk, space_id), c.n AS conversations
+      FROM ({_WEEK}) m FULL JOIN ({_weekly("count(*) AS n", "convs")}) c ON c.wk = m.wk AND c.space_id = m.space_id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetscore.functions.columns import epoch_ms_to_ts, owner_from_path, percent, questions_run, threshold_bucket
 from fleetscore.plans import landing
 from fleetscore.operators import (
-    benchmark, evidence, exam, findings, incremental, quality, richness, scorecard, serving, strict, trends, upsert,
+    benchmark, evidence, exam, findings, incremental, partials, quality, richness, scorecard, serving, strict, trends, upsert,
 )
 from fleetscore.operators import factors as activity
 from fleetscore.schemas import PRIMARY_KEYS
@@ -237,6 +237,21 @@ def _day_factors(f: Fleet, day: str) -> DataFrame:
     return activity.factors(seen, day).withColumn("snapshot_date", F.lit(day).cast("date"))
 
 
+def _states(f: Fleet) -> dict[str, DataFrame]:
+    """Day states after two landings: all days but as in flight, then the late half as it is, of which only the days are done anew."""
+    bronze, states = scratch_path(f.spark, "state-bronze"), scratch_path(f.spark, "states")
+    late = F.col("created_ts") >= F.lit("2024-01-16").cast("timestamp")
+    messages, conversations = f.messages, f["conversations"]
+    first = messages.withColumn("status", F.when(late, "EXECUTING_QUERY").otherwise(F.col("status"))).withColumn(
+        "harvested_at", F.lit("2023-01-01").cast("timestamp"))
+    dated = lambda df: df.withColumn("created_date", F.to_date("created_ts"))
+    for rows, convos in ((first, conversations), (messages.where(late), conversations.where("false"))):
+        days = {"message_details": merge_partitions(dated(rows), f"{bronze}/message_details", PRIMARY_KEYS["message_details"]),
+                "conversations": merge_partitions(dated(convos), f"{bronze}/conversations", PRIMARY_KEYS["conversations"])}
+        landing.refresh_states(f.spark, bronze, states, days)
+    return landing.day_states(f.spark, states)
+
+
 def _replace_day(f: Fleet) -> DataFrame:
     path = scratch_path(f.spark, "days")
     days = [_day_factors(f, day) for day in SNAPSHOT_DAYS]
@@ -481,6 +496,9 @@ _PLANS: dict[str, Callable[[Fleet], DataFrame]] = {
     "trend_quality": lambda f: trends.trend_quality(f.messages),
     "trend_depth": lambda f: trends.trend_depth(f["conversations"]),
     "daily_trends": lambda f: trends.daily_trends(f.messages, f["conversations"]),
+    "factors_from_states": lambda f: partials.factors_of(_states(f), AS_OF),
+    "daily_trends_from_states": lambda f: partials.daily_trends_of(_states(f)),
+    "weekly_trends_from_states": lambda f: partials.weekly_of(_states(f)),
     "top_questions": lambda f: trends.top_questions(f.messages),
     "recent_errors": lambda f: trends.recent_errors(f.messages),
     "feedback_samples": lambda f: trends.feedback_samples(f.messages),

@@ -51,6 +51,11 @@ def _items(raw: DataFrame, schema: str, many: str) -> DataFrame:
     return page.select(*beside, F.explode_outer(many).alias("i")).where(F.col("i").isNotNull())
 
 
+def spaces_of(raw: DataFrame) -> DataFrame:
+    """The spaces that documents are about, also those whose list is empty."""
+    return _parsed(raw, "space_id string").where("space_id is not null").distinct()
+
+
 def _int(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).try_cast("int")
 

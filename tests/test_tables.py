@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscore.operators import quality, strict, upsert
 from fleetscore.plans import daily, landing
-from fleetscore.sources import bronze, stand_in, versions
+from fleetscore.sources import bronze, ledger, stand_in, versions
 from fleetscore.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -254,6 +255,10 @@ def test_streams_equal_batch(spark, rows, tmp_path):
         assert rows(bronze.read_merged(spark, trend), *figures) == rows(wanted, *figures)
 
 
+def some_space(names):
+    return sorted(names)[0]
+
+
 def test_landing(spark, rows, tmp_path):
     """A harvest landed twice changes nothing, gold tables follow from it, and scope is that of the listed spaces."""
     t = lambda name: stand_in.table(spark, SF, name)
@@ -278,7 +283,40 @@ def test_landing(spark, rows, tmp_path):
     assert state[0] == state[1] and state[0][0] and state[0][2]
     got = {r["space_id"] for r in state[0][0]}
     assert got == {r["space_id"] for r in state[0][1]} and got <= {r["space_id"] for r in rows(ids)} and "sp3" not in got
-    some = sorted(got)[0]
+    # What came second read nothing; a day that comes later is read alone and touches itself alone.
+    assert ledger.new_files(spark, f"{landed}/conversations", "conversations", f"{base}/ledger").count() == 0
+    before = {n: versions.published(spark, f"{gold}/states/{n}").partitions for n in ("sums", "users", "latency")}
+    page = {"space_id": some_space(got), "conversation": {"id": "new-c"}, "messages": [{
+        "message_id": "new-m", "status": "FAILED", "created_timestamp": 1704240000000, "user_id": 77}]}
+    (tmp_path / "landed" / "conversations" / "later.txt").write_text(json.dumps(page) + "\n{broken\n")
+    fresh = ledger.new_files(spark, f"{landed}/conversations", "conversations", f"{base}/ledger")
+    assert [p.rsplit("/", 1)[-1] for p in ledger.read_files(spark, fresh).select("payload").inputFiles()] == ["later.txt"]
+    tables = landing.run_landed(spark, landed, base, gold, "2024-02-01")
+    for n, old in before.items():
+        now = versions.published(spark, f"{gold}/states/{n}").partitions
+        assert {d for d in now if now[d] != old.get(d)} <= {"created_date=2024-01-03"}, n
+    stored = landing.bronze_tables(spark, base)
+    assert stored["message_details"].count() == len(state[0][0]) + 1
+    from fleetscore.operators import factors, trends
+
+    assert rows(tables["factors"]) == rows(factors.factors(stored["message_details"], "2024-02-01"))
+    assert rows(tables["daily_trends"]) == rows(trends.daily_trends(stored["message_details"], stored["conversations"]))
+    assert rows(tables["feedback_flags"]) == rows(factors.feedback_flags(stored["message_details"]))
+    # The broken line is set aside until its file is repaired.
+    dead = lambda: rows(ledger.open_quarantine(spark, f"{base}/quarantine", f"{base}/ledger"), "kind", "payload")
+    assert dead() == [{"kind": "conversations", "payload": "{broken"}]
+    page["conversation"]["id"], page["messages"][0]["message_id"] = "repaired-c", "repaired-m"
+    (tmp_path / "landed" / "conversations" / "later.txt").write_text(json.dumps(page) + "\n")
+    landing.land(spark, landed, base, "2024-02-01")
+    assert dead() == [] and landing.bronze_tables(spark, base)["message_details"].count() == len(state[0][0]) + 2
+    # Spaces that a harvest doesn't list stay, and so does what is stored of them; a space listed empty has nothing.
+    (tmp_path / "landed" / "instructions" / "empty.txt").write_text(json.dumps({"space_id": some_space(got), "instructions": []}) + "\n")
+    spaces_before = stored["spaces"].count()
+    landing.land(spark, landed, base, "2024-02-01")
+    after = landing.bronze_tables(spark, base)
+    assert after["spaces"].count() == spaces_before
+    assert rows(after["instructions"]) == rows(stored["instructions"].where(F.col("space_id") != some_space(got)))
+    some = some_space(got)
     landing.land(spark, landed, str(tmp_path / "one"), "2024-02-01", some)
     one = landing.bronze_tables(spark, str(tmp_path / "one"))
     assert {r["space_id"] for n in ("spaces", "instructions", "eval_runs") for r in rows(one[n], "space_id")} <= {some}
@@ -291,7 +329,7 @@ def test_daily_run(spark, tmp_path):
     for _ in range(2):
         gold = daily.run_daily(spark, tables, base, "2024-02-01", asked)
     assert gold["space_scorecard"].count() == 25
-    assert spark.read.parquet(f"{base}/scorecard_history").count() == 25
+    assert bronze.read_merged(spark, f"{base}/scorecard_history").count() == 25
     assert gold["space_improvements"].where("source = 'agent'").count() > 0
     from fleetscore.schemas import PRIMARY_KEYS
 
