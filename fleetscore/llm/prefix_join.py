@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import mix, settle, slices, text_key, word_hasher
+from fleetscore.llm.arrays import forget, mix, settle, slices, text_key, word_hasher
 from fleetscore.llm.cells import as_set, cross_links
 from fleetscore.llm.neardup import _sets, components, overlaps
 
-FREQUENT, HEAD = 8, 3
+FREQUENT, HEAD = 8, 2
 ORDERS = (0xA5A5_5A5A_1234_5678, 0x0F1E_2D3C_4B5A_6978)  # seeds of the second and third order
 CHUNK = 256
 
@@ -77,7 +77,7 @@ def sign(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int]) -> I
 def set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = word_hasher()
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_sets(batch, n, words))], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("touched"), _lists(_sets(batch, n, words))], ["node", "touched", "shingles"])
 
 
 def heads(batches: Iterator[pa.RecordBatch], share: tuple[int, int], times: int | None) -> Iterator[pa.RecordBatch]:
@@ -147,14 +147,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t1, t2 = text_key(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    signed = settle(texts.mapInArrow(
+    raw = settle(texts.mapInArrow(
         partial(sign, n=shingle, share=share),
         f"doc_id {kind}, t1 long, t2 long, n_shingles long, print binary, first array<long>"), "join-signed")
     # One row stands for a set; rows equal in it are equal in text.
-    nodes = settle(signed.where("print is not null").groupBy("print").agg(
+    nodes = settle(raw.where("print is not null").groupBy("print").agg(
         F.min(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), "t1", "t2")).alias("at"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"),
         F.first("first").alias("first")).withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
+    signed = settle(raw.drop("first", "t1", "t2"), "join-rows")
+    forget(raw)
+
     def shared(first: DataFrame) -> DataFrame:
         """(key, node, size, hub) for tokens in the prefixes of several nodes."""
         entries = first.select("node", F.explode("first").alias("key"))
@@ -162,25 +165,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return entries.join(groups, "key")
 
     members = settle(shared(nodes), "join-members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "at.d", "at.t1", "at.t2")
+    touched = members.groupBy("node").agg((F.max("size") >= FREQUENT).alias("touched"))
+    wanted = settle(touched.join(nodes, "node").select("node", "touched", "at.d", "at.t1", "at.t2"), "join-wanted")
     one = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["d", "t1", "t2"])
-    one = one.select("d", "t1", "t2", "node", "text").dropDuplicates(["d", "t1", "t2"]).select("node", "text")
-    sets = settle(one.mapInArrow(partial(set_rows, n=shingle), "node long, shingles array<long>"), "join-sets")
-    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first")
+    one = one.select("d", "t1", "t2", "node", "touched", "text").dropDuplicates(["d", "t1", "t2"]).select("node", "touched", "text")
+    sets = settle(one.mapInArrow(partial(set_rows, n=shingle), "node long, touched boolean, shingles array<long>"), "join-sets")
+    first = nodes.join(wanted.where("not touched"), "node", "left_semi").select("node", "first")
     demoted = settle(members.where(F.col("size") >= FREQUENT).select(
         "key", F.struct(F.col("key").alias("token"), F.col("size").alias("count")).alias("x")).distinct(), "join-demoted")
 
+    forget(members)
+
     def anew(which: DataFrame, times: int | None) -> DataFrame:
-        tokens = sets.join(which, "node", "left_semi").mapInArrow(partial(heads, share=share, times=times), "node long, key long")
+        tokens = which.mapInArrow(partial(heads, share=share, times=times), "node long, key long")
         known = tokens.join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
-        return settle(sets.join(known, "node").mapInArrow(
+        return settle(sets.where("touched").join(known, "node").mapInArrow(
             partial(prefixes_anew, share=share, times=times), "node long, first array<long>, whole boolean"), "join-prefixes")
 
-    touched = settle(members.where(F.col("size") >= FREQUENT).select("node").distinct(), "join-touched")
-    head = anew(touched, HEAD)
-    rest = anew(head.where("not whole").select("node"), None)
-    first = first.join(touched, "node", "left_anti").unionByName(head.where("whole").select("node", "first")).unionByName(
-        rest.select("node", "first"))
+    ours = sets.where("touched").select("node", "shingles")
+    head = anew(ours, HEAD)
+    rest = anew(ours.join(head.where("not whole").select("node"), "node", "left_semi"), None)
+    first = first.unionByName(head.where("whole").select("node", "first")).unionByName(rest.select("node", "first"))
     members = settle(shared(first), "join-members")
 
     # Sets of too different sizes can't be linked.
@@ -196,7 +201,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-stars")
     roots = settle(components(star_links, "join-components"), "join-roots")
-    more = cross_links(members.select("key", "node"), roots, size, sets, partial(linked, share=share), share, "join")
+    more = cross_links(members.select("key", "node"), roots, size, sets.select("node", "shingles"), partial(linked, share=share), share, "join")
 
     over = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(
         roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left").select(
