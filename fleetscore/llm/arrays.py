@@ -52,6 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def narrow(points: np.ndarray) -> np.ndarray:
+    """Code points as 16-bit codes: those above 65535 share the 8,448 codes from 0xD800, which no letter or blank has."""
+    points = points.astype(np.uint64)
+    return np.where(points > 0xFFFF, np.uint64(0xD800) + points % np.uint64(8447), points)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_BASE, inverse))

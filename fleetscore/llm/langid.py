@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import column_bytes, settle, slices
+from fleetscore.llm.arrays import column_bytes, narrow, settle, slices
 
 ORDER = 4
 UND = "und"
@@ -40,7 +40,7 @@ def _letters() -> np.ndarray:
     out = np.full(1 << 16, _BLANK, np.uint64)
     for c in range(1 << 16):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            out[c] = ord(chr(c).lower()[0]) & 0xFFFF
+            out[c] = narrow(np.array([ord(chr(c).lower()[0])]))[0]
     return out
 
 
@@ -50,9 +50,10 @@ def _grams(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarra
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     codes = letters[np.minimum(points, 0xFFFF)]
+    codes[points > 0xFFFF] = _BLANK
     for c in np.unique(points[points > 0xFFFF]):
         if chr(c).isalpha():
-            codes[points == c] = ord(chr(c).lower()[0]) & 0xFFFF
+            codes[points == c] = narrow(np.array([ord(chr(c).lower()[0])]))[0]
     letter = codes != _BLANK
     after = np.zeros(len(codes), bool)
     after[1:] = letter[:-1]

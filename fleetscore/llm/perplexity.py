@@ -4,13 +4,14 @@ The model counts character 4-grams (case, digits and marks count as they are, wh
 into 64 bits. Each task counts its own first; the sums, the continuation counts of the lower orders, the three
 discounts of each order and the contexts' totals are grouped and joined as tables sharded by n-gram.
 
-A text's perplexity needs the probabilities of its n-grams. Those that make up more than `rarest` of all trusted
-n-grams, at most 1 / rarest by definition, are broadcast, which keeps the keys that are everywhere out of the
-joins. All the others are looked up by joins: a document's remaining n-grams are counted per document, their
-distinct keys joined with the sharded tables order by order, backing off where an order lacks one, and the sums
-joined to the documents. Nothing is pruned: every n-gram gets its full interpolated probability.
-
-A language's threshold is a quantile of the perplexities of its trusted documents, or of all trusted documents
+A text's perplexity needs the probabilities of its n-grams. The n-grams and contexts that make up more than `rarest` of
+their order, at most 1 / rarest by definition, are broadcast, and so is a bitmap of fixed size with a bit for each n-gram
+and context of the model. A task finds what is in the broadcast tables, and backs off where the bitmap says for sure that an
+n-gram or context was never seen. What may be in the model but isn't broadcast is looked up by joins: such n-grams are counted
+per document, their distinct keys joined with the sharded tables order by order, backing off where an order lacks one, and the
+sums joined to the documents. Nothing is pruned: every n-gram gets its full interpolated probability.
+
+A language's threshold is the exact quantile of the perplexities of its trusted documents, or of all trusted documents
 where it has none. Null texts and texts without characters have no perplexity and aren't kept. A null
 language is a group of its own. Labels: a document is trusted if any of its labels has quality 1 and none is toxic.
 Without trusted text no document has a perplexity. Rows equal in doc_id and text have equal results.
@@ -21,15 +22,20 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import column_bytes, settle, slices, text_key
+from fleetscore.llm.arrays import column_bytes, mix, narrow, settle, slices, text_key
+from fleetscore.llm.running import running
 
 ORDER = 4
+BITS = 27  # a bitmap of 2 ** BITS bits tells which n-grams a model may have
+_PAGE = 1 << 15  # bits of a page of it
 _BLANK = np.uint64(32)
 
 
@@ -42,7 +48,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = column_bytes(column)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    codes = ((points & 0xFFFF) ^ (points >> 16)).astype(np.uint64)
+    codes = narrow(points)
     solid = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
     after = np.zeros(len(codes), bool)
     after[1:] = solid[:-1]
@@ -93,7 +99,7 @@ def _order(counts: DataFrame, lower: DataFrame | None, k: int, base: float) -> t
     else:
         rows = rows.join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix")
     p = (F.col("n") - discount) / F.col("total") + F.col("gamma") * F.col("below")
-    return settle(rows.select("key", "n", p.alias("p")), f"grams{k}"), contexts.select(F.col("context").alias("key"), "gamma")
+    return settle(rows.select("key", "n", p.alias("p")), f"grams{k}"), contexts.select(F.col("context").alias("key"), "gamma", "total")
 
 
 class Tables:
@@ -104,7 +110,9 @@ class Tables:
                          .groupBy("key").agg(F.sum("n").alias("n")), "counts")]
         for k in range(ORDER - 1, 0, -1):
             counts.append(counts[-1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count("*").alias("n")))
-        self.base = 1 / (counts[-1].count() + 1)  # a character that was never seen shares the alphabet's rest
+        alphabet = counts[-1].count()
+        self.known = alphabet > 0
+        self.base = 1 / (alphabet + 1)  # a character that was never seen shares the alphabet's rest
         self.grams: list[DataFrame] = []
         self.contexts: list[DataFrame] = []
         for k in range(1, ORDER + 1):
@@ -126,51 +134,120 @@ class Tables:
         return out.select("key", F.coalesce("p", F.col("back") * self.base).alias("p"))
 
 
+def bits_of(keys: np.ndarray, kind: int) -> np.ndarray:
+    """Places in a bitmap: one bit for a key of a kind (n-gram or context of an order, document)."""
+    return mix(keys ^ mix(np.full(1, kind + 1, np.uint64))) >> np.uint64(64 - BITS)
+
+
+def _pages(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        bits = np.unique(bits_of(batch.column("key").to_numpy().view(np.uint64), kind))
+        page = (bits // np.uint64(_PAGE)).astype(np.int64)
+        for p in np.unique(page):
+            mask = held.setdefault(int(p), np.zeros(_PAGE, bool))
+            mask[(bits[page == p] % np.uint64(_PAGE)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([
+        pa.array(list(held), pa.int64()), pa.array([np.packbits(m).tobytes() for m in held.values()], pa.binary())], ["page", "bits"])
+
+
+def bitmap(tables: list[tuple[int, DataFrame]]) -> np.ndarray:
+    """The bits of all (kind, keys); the driver gathers 2 ** BITS bits at most."""
+    parts = None
+    for kind, keys in tables:
+        part = keys.select("key").mapInArrow(partial(_pages, kind=kind), "page long, bits binary")
+        parts = part if parts is None else parts.unionByName(part)
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in parts.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
+        out[r.page * _PAGE // 8: (r.page + 1) * _PAGE // 8] = np.frombuffer(r.bits, np.uint8)[: _PAGE // 8]
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
+    at = bits_of(keys, kind)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, values = table
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, values[at]
+
+
+def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """log p of the keys that broadcast tables and bitmap settle, and which those are."""
+    out, settled = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    rest, back = np.arange(len(keys)), np.zeros(len(keys))
+    for k in range(ORDER, 0, -1):
+        own = keys[rest] & np.uint64(_mask(k) & 0xFFFFFFFFFFFFFFFF)
+        seen, log = _found(heads["grams", k], own)
+        out[rest[seen]] = back[rest[seen]] + log[seen]
+        settled[rest[seen]] = True
+        unseen = ~seen & ~maybe(bits, own, k)
+        context = own >> np.uint64(16)
+        known, weight = _found(heads["contexts", k], context)
+        on = unseen & (known | ~maybe(bits, context, ORDER + k))
+        back[rest[on]] += np.where(known[on], weight[on], 0.0)
+        rest = rest[on]
+    out[rest] = back[rest] + np.log(base)
+    settled[rest] = True
+    return out, settled
+
+
 def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t1, t2, text) to a row per document (chars, sum of the frequent n-grams' log p) and a row per rare n-gram."""
-    known, logs = pickle.loads(shared.value)
+    """Rows with a text to a row per document (n-grams, log p of those settled here) and a row per document and other n-gram."""
+    heads, bits, base = pickle.loads(shared.value)
     for batch in slices(batches, "text", 2 << 20):
         keys, counts = grams(batch.column("text"))
         row = np.repeat(np.arange(len(counts)), counts)
         unique, place = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-        frequent = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-        log = np.where(frequent, logs[at], 0.0) if len(known) else np.zeros(len(unique))
+        log, settled = resolve(unique, heads, bits, base)
         sums = np.bincount(row, log[place], len(counts)).astype(float)
-        rest = np.flatnonzero(~frequent[place])
+        rest = np.flatnonzero(~settled[place])
         pairs, n = np.unique(np.stack([row[rest], place[rest]], 1), axis=0, return_counts=True) if len(rest) else (np.zeros((0, 2), np.int64), [])
-        ids = [batch.column(c) for c in ("doc_id", "t1", "t2")]
-        none = pa.nulls(len(counts), pa.int64())
-        yield pa.RecordBatch.from_arrays([*ids, none, pa.array(counts, pa.int64()), pa.array(sums)], ["doc_id", "t1", "t2", "key", "n", "logs"])
+        beside = [c for c in batch.schema.names if c not in ("text", "row")]
+        names = ["row", *beside, "key", "n", "logs"]
         yield pa.RecordBatch.from_arrays(
-            [*[c.take(pa.array(pairs[:, 0])) for c in ids], pa.array(unique[pairs[:, 1]].view(np.int64)), pa.array(n, pa.int64()),
-             pa.nulls(len(pairs), pa.float64())], ["doc_id", "t1", "t2", "key", "n", "logs"])
+            [batch.column("row"), *[batch.column(c) for c in beside], pa.nulls(len(counts), pa.int64()), pa.array(counts, pa.int64()), pa.array(sums)], names)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row").take(pa.array(pairs[:, 0])), *[pa.nulls(len(pairs), batch.column(c).type) for c in beside],
+             pa.array(unique[pairs[:, 1]].view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(pairs), pa.float64())], names)
+
+
+def _head(table: DataFrame, value: str, weight: str, rarest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and log values of the rows with more than `rarest` of all weight."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    rows = table.where(F.col(weight) > rarest * total).select("key", F.log(value).alias("log")).toArrow()
+    keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logs[order]
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, rarest: float = 2e-6) -> DataFrame:
-    """(doc_id, t1, t2, n_chars, perplexity) per row of docs (doc_id, text); t1 and t2 stand for the text."""
+    """docs' columns but the text, and t1, t2 (they stand for the text), n_grams, perplexity, per row of docs."""
     model = Tables(trusted)
-    top = model.grams[-1]
-    total = top.agg(F.sum("n")).first()[0] or 0
-    head = top.where(F.col("n") > rarest * total).select("key", F.log("p").alias("logs")).toArrow()
-    known, logs = head.column("key").to_numpy().view(np.uint64), head.column("logs").to_numpy()
-    order = np.argsort(known)
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((known[order], logs[order])))
+    heads, kinds = {}, []
+    for k in range(1, ORDER + 1):
+        heads["grams", k] = _head(model.grams[k - 1], "p", "n", rarest)
+        heads["contexts", k] = _head(model.contexts[k - 1], "gamma", "total", rarest)
+        kinds += [(k, model.grams[k - 1]), (ORDER + k, model.contexts[k - 1])]
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((heads, bitmap(kinds), model.base)))
     t1, t2 = text_key(F.coalesce("text", F.lit("")))
-    scored = settle(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        lambda batches: _scorer(shared, batches), "doc_id long, t1 long, t2 long, key long, n long, logs double"), "scored")
-    whole = scored.where("logs is not null")
-    rare = scored.where("logs is null").select("doc_id", "t1", "t2", "key", "n")
-    looked = rare.join(model.probabilities(rare), "key")
-    same = ["doc_id", "t1", "t2"]
-    # Repeated rows send their rare n-grams once each: the mean per row is what one of them needs.
-    tail = looked.groupBy(*same).agg(F.sum(F.col("n") * F.log("p")).alias("_tail"))
-    copies = whole.groupBy(*same).agg(F.count("*").alias("_copies"))
-    extra = tail.join(copies, [tail[c].eqNullSafe(copies[c]) for c in same]).select(
-        *[tail[c].alias("_" + c) for c in same], (F.col("_tail") / F.col("_copies")).alias("_tail"))
-    both = whole.join(extra, [F.col(c).eqNullSafe(F.col("_" + c)) for c in same], "left")
+    rows = docs.withColumns({"t1": t1, "t2": t2, "text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
+    beside = [c for c in rows.columns if c not in ("text", "row")]
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in beside)
+    scored = settle(rows.select("row", *beside, "text").mapInArrow(
+        lambda batches: _scorer(shared, batches), f"row long, {kind}, key long, n long, logs double"), "scored")
+    shared.unpersist()
+    whole = scored.where("logs is not null").drop("key")
+    rare = scored.where("logs is null").select("row", "key", "n")
+    tail = rare.join(model.probabilities(rare), "key").groupBy("row").agg(F.sum(F.col("n") * F.log("p")).alias("_tail"))
     mean = (F.col("logs") + F.coalesce("_tail", F.lit(0.0))) / F.col("n")
-    return both.select(*same, F.col("n").alias("n_grams"), F.when((F.col("n") > 0) & F.lit(total > 0), F.exp(-mean)).alias("perplexity"))
+    return whole.join(tail, "row", "left").select(
+        *beside, F.col("n").alias("n_grams"),
+        F.when((F.col("n") > 0) & F.lit(model.known), F.exp(-mean)).alias("perplexity"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -178,20 +255,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         F.max("quality").alias("q"), F.max("toxic").alias("t")).where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("doc_id")
 
 
-def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFrame:
-    """doc_id, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
-    good = trusted_ids(labels)
-    scores = settle(perplexities(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi")), "perplexities")
-    t1, t2 = text_key(F.coalesce("text", F.lit("")))
-    langs = docs.select(F.col("doc_id").alias("_doc_id"), t1.alias("_t1"), t2.alias("_t2"), "lang").groupBy("_doc_id", "_t1", "_t2").agg(F.min("lang").alias("lang"))
-    scored = settle(scores.join(langs, [F.col(c).eqNullSafe(F.col("_" + c)) for c in ("doc_id", "t1", "t2")]).select("doc_id", "lang", "perplexity"), "scores")
-    own = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
+def _members(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    bits = pickle.loads(shared.value)
+    for batch in batches:
+        yield batch.filter(pa.array(maybe(bits, batch.column("key").to_numpy().view(np.uint64), 0)))
+
 
-    def cut(rows: Column) -> Column:
-        return F.percentile_approx(rows, share, 10_000)
+def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """Texts of the documents whose id is in good; a bitmap of fixed size keeps most others out of the join."""
+    key = F.xxhash64("doc_id").alias("key")
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(bitmap([(0, good.select(key))])))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    near = docs.where("doc_id is not null and text is not null").select("doc_id", "text", key).mapInArrow(
+        lambda batches: _members(batches, shared), f"doc_id {kind}, text string, key long")
+    return near.select("doc_id", "text").join(good, "doc_id", "left_semi")
 
-    limits = own.groupBy("lang").agg(cut(F.col("perplexity")).alias("_limit")).withColumnRenamed("lang", "_lang")
-    overall = own.agg(cut(F.col("perplexity"))).first()[0]
-    return scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
-        "doc_id", "perplexity", F.coalesce("_limit", F.lit(overall).cast("double")).alias("threshold"),
+
+def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFrame:
+    """doc_id, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
+    good = settle(trusted_ids(labels), "trusted")
+    trusted = settle(trusted_texts(docs, good).select("text"), "trusted-texts")
+    scored = settle(perplexities(docs.select("doc_id", "lang", "text"), trusted).select("doc_id", "lang", "perplexity"), "scores")
+    own = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select(
+        F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")).alias("_lang"), "perplexity")
+
+    def limits(rows: DataFrame) -> DataFrame:
+        """The least perplexity that `share` of a language's trusted documents don't exceed."""
+        counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+        return running(rows, ["_lang"], [F.col("perplexity").asc()], "_at", {}, "trusted-order").join(counts, "_lang").where(
+            F.col("_at") == F.ceil(F.lit(share) * F.col("_n")) - 1).select("_lang", F.col("perplexity").alias("_limit"))
+
+    overall = limits(own.withColumn("_lang", F.lit("")))
+    overall = overall.select("_limit").first()
+    return scored.withColumn("_lang", F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))).join(limits(own), "_lang", "left").select(
+        "doc_id", "perplexity", F.coalesce("_limit", F.lit(overall[0] if overall else None).cast("double")).alias("threshold"),
     ).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +61,55 @@ def substring_distance(item, text):
             now.append(min(row[j - 1] + (x != y), row[j] + 1, now[-1] + 1))
         row = now
     return min(row)
+
+
+def characters(text):
+    """The characters of a text as the quality model counts them: white space is one blank, none in front, three blanks before."""
+    out = []
+    for c in text or "":
+        blank = c in " \t\n\x0b\x0c\r"
+        if not blank or (out and out[-1] != " "):
+            out.append(" " if blank else c)
+    return "   " + "".join(out)
+
+
+def kneser_ney(texts, order=4):
+    """A function of context and character: interpolated modified Kneser-Ney probability, by plain recursion."""
+    counts = {order: {}}
+    for text in texts:
+        line = characters(text)
+        for i in range(order - 1, len(line)):
+            g = line[i - order + 1: i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    steps, contexts = {}, {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == x for v in c.values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+        steps[k] = [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+        contexts[k] = {}
+        for g, v in c.items():
+            contexts[k].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        held = contexts[k].get(g[:-1])
+        if held is None:
+            return p(g[1:])
+        off = lambda v: steps[k][min(v, 3) - 1]
+        own = counts[k].get(g, 0)
+        return ((own - off(own)) / sum(held) if own else 0) + sum(map(off, held)) / sum(held) * p(g[1:])
+
+    return p
+
+
+def perplexity(p, text, order=4):
+    line = characters(text)
+    logs = [math.log(p(line[i - order + 1: i + 1])) for i in range(order - 1, len(line))]
+    return math.exp(-sum(logs) / len(logs)) if logs else None

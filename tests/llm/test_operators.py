@@ -125,6 +125,13 @@ def test_language_model_is_a_distribution(spark):
         assert 0.5 < p <= 1.0001  # the rest belongs to characters that were never seen
 
 
+def test_letters_beyond_16_bits(spark):
+    docs = spark.createDataFrame([(k, "\U00020020\U00020021 " * 9, "zh") for k in range(5)] + [
+        (9, "plain words of letters", "en"), (10, "\U0001f600\U0001f601", "en"), (11, "\U00020020\U00020020", None)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert by[11] == "zh" and by[10] == "und"
+
+
 def test_random_letters_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = langid.train(docs.select("text", "lang"))
@@ -364,6 +371,29 @@ def test_joined_and_broadcast_ngrams_give_the_same_perplexity(spark, odd):
     assert by[0][9, next(t for d, t in by[0] if d == 9)] > by[0][1, next(t for d, t in by[0] if d == 1)]
 
 
+def test_perplexity_is_that_of_plain_kneser_ney(spark, prose):
+    rng = random.Random(4)
+    texts = [prose(rng.randint(1, 80)) for _ in range(12)] + ["  One\n\ttwo  ", "\U00020020\U0001f600 x", "xx" * 400]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + ["zq \U00020021 ## never seen", prose(200)[::-1]])], "doc_id long, text string")
+    p = brute.kneser_ney(texts[:9] + texts[-3:])
+    trusted = docs.where("doc_id < 9 or doc_id between 12 and 14")
+    for rarest in (0, 3e-3, 1):
+        for r in perplexity.perplexities(docs, trusted, rarest).collect():
+            text = docs.where(F.col("doc_id") == r.doc_id).first().text
+            assert math.isclose(r.perplexity, brute.perplexity(p, text), rel_tol=1e-9), (rarest, r.doc_id)
+
+
+def test_threshold_is_the_exact_quantile(spark, prose):
+    rng = random.Random(6)
+    rows = [(k, prose(rng.randint(3, 60)), "en" if k % 3 else None) for k in range(90)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, share=0.9).collect()
+    for lang in ("en", None):
+        own = sorted(r.perplexity for r in got if r.doc_id < 60 and ("en" if r.doc_id % 3 else None) == lang)
+        limit = own[math.ceil(0.9 * len(own)) - 1]
+        assert {r.threshold for r in got if ("en" if r.doc_id % 3 else None) == lang} == {limit}
+
+
 def test_quality_corner_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (6, 1, 0), (7, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = perplexity.quality(odd, labels).collect()
