@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import forget, mix, settle, slices, text_key, word_hasher
+from fleetscore.llm.arrays import bucketed, forget, mix, settle, slices, text_key, word_hasher
 from fleetscore.llm.cells import as_set, cross_links
 from fleetscore.llm.neardup import _sets, components, overlaps
 
@@ -169,7 +169,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle(touched.join(nodes, "node").select("node", "touched", "at.d", "at.t1", "at.t2"), "join-wanted")
     one = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["d", "t1", "t2"])
     one = one.select("d", "t1", "t2", "node", "touched", "text").dropDuplicates(["d", "t1", "t2"]).select("node", "touched", "text")
-    sets = settle(one.mapInArrow(partial(set_rows, n=shingle), "node long, touched boolean, shingles array<long>"), "join-sets")
+    # Joined by node several times: shuffled once.
+    sets = bucketed(one.mapInArrow(partial(set_rows, n=shingle), "node long, touched boolean, shingles array<long>"), "node", "join-sets")
     first = nodes.join(wanted.where("not touched"), "node", "left_semi").select("node", "first")
     demoted = settle(members.where(F.col("size") >= FREQUENT).select(
         "key", F.struct(F.col("key").alias("token"), F.col("size").alias("count")).alias("x")).distinct(), "join-demoted")
