@@ -149,7 +149,7 @@ def word_hasher(units: bool = False) -> Callable[[np.ndarray, np.ndarray], tuple
     return words
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `most` bytes of text (a longer text comes alone)."""
     for batch in batches:
         size = np.cumsum(np.diff(column_bytes(batch.column(text))[1]))

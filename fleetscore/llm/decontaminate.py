@@ -16,8 +16,9 @@ and any part of the document that can hold it there (words in lower case with on
 
 The benchmark is broadcast in blocks of at most `block_bytes`, whatever its size; a document is read once.
 In scripts without blanks each character counts as a word, but isn't set apart for the edit distance. Items of fewer
-than MIN_WORDS words have no walk; each pair of their words is a key, so exact copies are always found. Null or
-empty texts hold no item. Null items and items of one word are no passages and are never found. Repeated items are all reported. A null item_id is reported as null.
+than MIN_WORDS words have no walk; each pair of their words is a key, or the word where it is only one, so exact copies are always
+found. Null or empty texts hold no item, null items and items without words are never found. Repeated items are all reported. A null
+item_id is reported as null; item ids are numbers (long), another kind ends the job.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MIN_WORDS = 5
 WALKS = (4, 8, 16, 32)  # steps of a walk; the longest within half the item is used
 SAMPLES = 3
 PAIRS = (-1, -1)  # place in the index of the word pairs of short items
+WORDS = (-2, -1)  # and of items that are one word
 BLOCK = 64  # characters of an item that are compared at once
 
 
@@ -123,9 +125,14 @@ def build_index(items: list[tuple[object, str]], share: float, recall: float) ->
     kept, parts, pairs, places = [], {}, [], []
     for item_id, text in items:
         h, first, end, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
-        if len(h) < 2:
+        if not len(h):
             continue
         n = len(kept)
+        if len(h) == 1:
+            kept.append((item_id, _plain(text.encode()), 1))
+            places.append(np.zeros(1, np.int64))
+            parts.setdefault(WORDS, []).append((h, np.full(1, n), np.zeros(1, np.int64)))
+            continue
         short = len(h) < MIN_WORDS
         k = max(k for k, w in enumerate(WALKS) if w <= max(len(h) / 2, WALKS[0]))
         starts = np.arange(len(h) - 1 if short else len(h) - WALKS[k] + 1)
@@ -178,7 +185,14 @@ def _hits(column: pa.Array, found: dict, words: Callable, steps: list) -> list[l
                 which = np.repeat(np.arange(len(starts)), n)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 candidates.append(np.stack([starts[which], item[place], at[place]], 1))
-    if not candidates:
+    if WORDS in found["index"]:
+        known, item, at = found["index"][WORDS]
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        n = hi - lo
+        which = np.repeat(np.arange(len(h)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        candidates.append(np.stack([which, item[place], at[place]], 1))
+    if not sum(map(len, candidates)):
         return out
     met = np.unique(np.concatenate(candidates), axis=0)
     texts, base, at = _plain_rows(data, first, end, bounds, np.unique(row[met[:, 0]]))

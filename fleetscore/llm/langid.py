@@ -224,7 +224,7 @@ def _own_entropy(spark: SparkSession, models: dict[str, Model]):
         known, letters = pickle.loads(shared.value)
         for texts, langs in pieces:
             found = []
-            for part in slices([pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])], "text", 2 << 20):
+            for part in slices([pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])], "text", 1 << 19):
                 keys, counts, has = _grams(part.column("text"), letters)
                 ends = np.cumsum(counts)
                 for lang, a, b, some in zip(part.column("lang").to_pylist(), ends - counts, ends, has):
@@ -267,7 +267,7 @@ def identifier(spark: SparkSession, models: dict[str, Model]):
     def decide(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, letters = pickle.loads(shared.value)
         for column in columns:
-            parts = [_decide(x.column("text"), known, letters) for x in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", 2 << 20)]
+            parts = [_decide(x.column("text"), known, letters) for x in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", 1 << 19)]
             yield pa.concat_arrays(parts) if parts else _decide(column, known, letters)
 
     return decide.asNondeterministic()

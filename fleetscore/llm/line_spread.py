@@ -7,8 +7,8 @@ the threshold are decided by it; those within four standard errors get an exact
 shared line stays in one place, its first: the smallest (doc_id, text hash, place). All steps are DataFrame
 functions.
 
-A null site counts as a site of its own. Null texts stay null; empty lines and lines of fewer than `min_words`
-words are never shared lines; in a script without blanks each character counts as a word. Rows equal in doc_id and text are treated alike. In a null doc_id's text lines are
+A null site counts as a site of its own. Null texts stay null; empty lines are never shared lines, and neither are lines of
+fewer than `min_words` words, if a caller asks for more than one; in a script without blanks each character counts as a word. Rows equal in doc_id and text are treated alike. In a null doc_id's text lines are
 removed like in others; nulls come first in the order that picks a line's place to stay.
 """
 
@@ -47,7 +47,7 @@ def shared_lines(lines: DataFrame, min_sites: int = 5, lg_k: int = 12) -> DataFr
     return sure.unionByName(near.join(exact.where(F.col("n") >= min_sites).select(*KEY), KEY))
 
 
-def remove_shared_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 3, lg_k: int = 12) -> DataFrame:
+def remove_shared_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 1, lg_k: int = 12) -> DataFrame:
     """Every row of docs with its text without shared lines, and n_lines, n_removed and emptied (all that was not
     blank is gone). Columns of docs with these names are replaced; n_chars, where present, follows the text.
     """

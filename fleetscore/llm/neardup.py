@@ -184,7 +184,21 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     share: tuple[int, int] = (85, 100), bands: int = 36, rows: int = 7) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, n_shingles, component_id, kept for every row of docs; see `classes`."""
+    return classes(docs, id_col, text_col, shingle, share, bands, rows).drop("t1", "t2", "component")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2) of the rows of `classes` that aren't the one of their component that stays: the least, without id last."""
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t1", "t2")
+    linked = found.where("component is not null")
+    best = linked.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("size")).where("size > 1").select("component", "best")
+    return linked.join(best, "component").where(~row.eqNullSafe(F.col("best"))).select("doc_id", "t1", "t2").distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+            share: tuple[int, int] = (85, 100), bands: int = 36, rows: int = 7) -> DataFrame:
+    """doc_id, t1, t2 (they stand for the text), n_shingles, component (null for empty sets), component_id, kept per row of docs.
 
     Two texts are linked when share[1] * |A & B| >= share[0] * |A | B| for their shingle sets. With 36 bands of 7
     rows a pair at 0.85 shares no bucket with a chance of 1e-6 (at 0.8: 2e-4); every other step is exact.
@@ -231,8 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "node", "least_id", F.coalesce("root", "node").alias("root")).join(tops, "root", "left").select(
         "node", "least_id", F.coalesce("top", "root").alias("top"))
     least = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
-    named = settle(named.join(least, "top").select("node", "component_id"), "named")
+    named = settle(named.join(least, "top").select("node", F.col("top").alias("component"), "component_id"), "named")
     return signed.join(named, "node", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "t1", "t2", "n_shingles", "component",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

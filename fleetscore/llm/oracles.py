@@ -10,7 +10,7 @@ WITH parts AS (
 ), lines AS (
     SELECT *, trim(part, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM parts
 ), candidates AS (
-    SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+    SELECT * FROM lines WHERE line <> ''
 ), shared AS (
     SELECT line, min((doc_id, pos)) AS home FROM candidates
     GROUP BY line HAVING count(DISTINCT coalesce('+' || source, '-')) >= 5
@@ -119,7 +119,8 @@ def _classes(n: int, last: str = "") -> str:
     """Near-duplicates by joining shingles; equal sets are one node, components by spreading the least node."""
     return rf"""
 WITH RECURSIVE words AS (
-    SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+    SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
     FROM (SELECT row_number() OVER () AS rowid, * FROM documents)
 ), sets AS (
     SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, least(len(w), 1)) + 1),

@@ -199,7 +199,7 @@ def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float) -> tup
 def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a text to a row per document (n-grams, log p of those settled here) and a row per document and other n-gram."""
     heads, bits, base = pickle.loads(shared.value)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         keys, counts = grams(batch.column("text"))
         row = np.repeat(np.arange(len(counts)), counts)
         unique, place = np.unique(keys, return_inverse=True)

@@ -257,7 +257,7 @@ def test_near_threshold_lines_are_counted_exactly(spark):
 def test_lines_without_blanks_are_shared_lines(spark):
     line = "\u7248\u6743\u6240\u6709\u4e0d\u5f97\u8f6c\u8f7d"
     docs = [(k, f"own {k} text here\n{line}\n\u7248\u6743\nx\u7248 y", "zh", f"s{k}", 0, "x") for k in range(8)]
-    got = {r.doc_id: r.text for r in line_spread.remove_shared_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    got = {r.doc_id: r.text for r in line_spread.remove_shared_lines(spark.createDataFrame(docs, DOCS), min_words=3).collect()}
     assert got[0] == docs[0][1]
     assert all(got[k] == f"own {k} text here\n\u7248\u6743" for k in range(1, 8))
 
@@ -330,10 +330,26 @@ def test_decontamination_corner_cases(spark, odd):
     docs = odd.unionByName(spark.createDataFrame([(50, "x ONE  two\nthree four five six", None, None, None, None)], DOCS))
     got = decontaminate.benchmark_hits(docs, items).collect()
     assert len(got) == docs.count()
-    assert [(r.doc_id, [h.item_id for h in r.hits]) for r in got if r.hits] == [(50, [None])]
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in got if r.hits} == {50: [None, 3], 7: [3], 8: [3]}
     assert all(not r.hits for r in decontaminate.benchmark_hits(docs, empty(items)).collect())
 
 
+def test_line_dedup_of_odd_tables(spark, odd):
+    """Short lines on many sites, repeated rows, very long texts, columns with the names of results."""
+    rows = [(k, f"Menu\nown line {k}\nGo on", "en", f"s{k}", 9, "x") for k in range(6)] + [(9, "Menu\n" + "y " * 200_000 + "\nGo on", "en", "s9", 1, "x")]
+    docs = odd.unionByName(spark.createDataFrame(rows + rows[:1], DOCS)).withColumns({"n_lines": F.lit(77), "emptied": F.lit("z")})
+    got = line_spread.remove_shared_lines(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    homes = [k for k in range(6) if by[k][-1].text.startswith("Menu")]
+    assert len(homes) == 1, "a shared line stays in its first place"
+    assert all(r.text == f"own line {k}" for k in range(6) if k not in homes for r in by[k] if r.source == f"s{k}")
+    assert by[9][-1].text == "y " * 200_000 and by[9][-1].n_removed == 2 and by[9][-1].n_lines == 3
+    assert {r.n_lines for r in got if r.text is None} == {0}
+
+
 def test_short_items_and_scripts_without_blanks(spark):
     rng = random.Random(8)
     han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))

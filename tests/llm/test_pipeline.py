@@ -45,6 +45,18 @@ def test_stages_take_odd_tables(spark):
             assert out.count() >= 0, name
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that several texts share, groups without any id, near copies under one id."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: words(k) + " more"
+    rows = [(5, words(1)), (5, words(2)), (9, near(1)), (3, words(2)), (None, words(3)), (None, near(3)), (7, words(4)), (7, near(4)),
+            (None, words(5)), (8, near(5)), (4, ""), (6, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()]
+    assert {(5, words(1)), (3, words(2)), (8, near(5)), (4, ""), (6, None)} <= set(got)
+    assert len(got) == 7 and sum(i is None for i, _ in got) == 1 and sum(i == 7 for i, _ in got) == 1
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_equals_sql(spark, name):
     difference, notes = compare(queries.queries()[name](spark, SF), connect(SF), oracles.oracle_sql()[name])
