@@ -30,13 +30,15 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows equal in doc_id and text are one document. A document without an id stays.
+    The one with the least doc_id stays, one without id only in a group that has none else; equal ids go by the text.
+    Rows equal in doc_id and text are one document. Empty texts are in no group.
     """
-    groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100), bands=51, rows=5)
-    gone = groups.where("not kept").select("doc_id").distinct()
+    gone = neardup.representatives(neardup.classes(docs, shingle=5, share=(80, 100), bands=51, rows=5))
+    name = F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")).alias("_d")
     t1, t2 = text_key(F.col("text"))
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_t1", t1).withColumn("_t2", t2)
-    return rest.dropDuplicates(["doc_id", "_t1", "_t2"]).select(*docs.columns)
+    rest = docs.withColumns({"_d": name, "_t1": t1, "_t2": t2})
+    rest = rest.join(gone.select(name, F.col("t1").alias("_t1"), F.col("t2").alias("_t2")), ["_d", "_t1", "_t2"], "left_anti")
+    return rest.dropDuplicates(["_d", "_t1", "_t2"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
