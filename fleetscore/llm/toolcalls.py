@@ -11,7 +11,9 @@ or `result`; `after` lists the call ids whose results a call uses.
   chain of calls has links; only calls take part. Calls in a cycle, or behind one, keep their place and get status
   `cyclic`. An `after` id that no call has is ignored.
 - Arguments are checked against the JSON schema of the call's name: type, required, properties, additionalProperties,
-  enum, minimum, maximum, minLength, maxLength, pattern-free strings, items. A name without a schema is a problem.
+  enum, minimum, maximum, minLength, maxLength, pattern-free strings, items. A name without a schema, a schema that can't be
+  read or applied, arguments that are no JSON or nested too deep for the parser: each is a problem of its row, and such arguments
+  stay text. Lone surrogates are written as escapes.
 - Every event gets its JSON: sorted keys, no blanks, unescaped Unicode, whole floats as integers.
 
 Null conversations, ids and turns are values like others (null comes first in order), but a null call id links
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,16 +51,33 @@ def canonical(value: object) -> str:
             return None if not math.isfinite(v) else int(v) if v.is_integer() and abs(v) < 1e21 else v
         return v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encodable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _encodable(text: str) -> str:
+    """Lone surrogates, which UTF-8 can't hold, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _fits(value: object, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind in TYPES:
+        return isinstance(value, TYPES[kind])
+    return value is None if kind == "null" else number and (kind == "number" or isinstance(value, int) or value.is_integer())
 
 
 def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     """What breaks the schema, in order of keys; an empty list if nothing does."""
-    kind = schema.get("type")
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    unknown = [k for k in kinds if k not in (*TYPES, "null", "number", "integer")]
+    if unknown:
+        return [f"{at}: unknown type {unknown[0]} in schema"]
+    if kinds and not any(_fits(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"null": value is None, "number": number, "integer": number and float(value).is_integer()}
-    if kind and not (isinstance(value, TYPES[kind]) if kind in TYPES else fits[kind]):
-        return [f"{at}: not {kind}"]
     out = [f"{at}: not one of enum"] if "enum" in schema and value not in schema["enum"] else []
     if number:
         out += [f"{at}: below minimum"] if value < schema.get("minimum", -math.inf) else []
@@ -79,12 +99,23 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def check_arguments(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
-    """The parsed arguments (their text if they aren't JSON) and their problems."""
+    """The parsed arguments (their text if they can't be parsed or written again) and their problems."""
     try:
         value = json.loads(arguments) if arguments is not None else None
+        canonical(value)
     except ValueError:
         return arguments, ["$: not JSON"]
-    return value, ["$: no schema"] if schema is None else problems(value, json.loads(schema))
+    except RecursionError:
+        return arguments, ["$: nested too deep"]
+    if schema is None:
+        return value, ["$: no schema"]
+    try:
+        found = problems(value, json.loads(schema))
+    except RecursionError:
+        return value, ["$: nested too deep"]
+    except (ValueError, TypeError, AttributeError):
+        return value, ["$: schema can't be applied"]
+    return value, [_encodable(p) for p in found]
 
 
 _SERIAL = T.StructType([T.StructField("json", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType()))])
@@ -165,8 +196,9 @@ def linked(events: DataFrame, schemas: DataFrame) -> DataFrame:
     every = tools.select(*columns).unionByName(messages.select(*columns))
     ranked = ordered_rank(every, ["conv_id"], [F.col("place").asc_nulls_first(), F.col("level"), *order, F.col("kind"), F.col("_row")], "position")
     ranked = same_keys(ranked.drop("after", "place", "level"), whole.select(*ROW, *TEXTS).dropDuplicates(ROW), ROW)
-    # The catalogue's size decides how it is joined; names are unique in it.
-    ranked = ranked.join(schemas.select(F.col("name").alias("_name"), "schema"), F.col("name") == F.col("_name"), "left")
+    # The catalogue's size decides how it is joined; of a name listed twice, the least schema counts.
+    once = schemas.groupBy(F.col("name").alias("_name")).agg(F.min("schema").alias("schema"))
+    ranked = ranked.join(once, F.col("name") == F.col("_name"), "left")
     out = ranked.withColumn("_s", _serialised(F.struct("kind", "role", "call_id", "name", "arguments", "content", "schema")))
     return out.select("conv_id", *ORDER, "kind", "call_id", "nth", "position", "status", F.col("_s.problems").alias("problems"), F.col("_s.json").alias("json"))
 

@@ -72,6 +72,26 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert got[5].json == '{"content":"hié\\"","role":"user"}'
 
 
+def test_bad_rows_are_problems_of_their_rows(spark):
+    arguments = {
+        "surrogate": '{"n":"\\ud800"}', "digits": '{"n":' + "7" * 400 + "}", "deep": "[" * 100_000 + "]" * 100_000, "null": '{"n":null}',
+        "unknown": '{"n":1}', "no json": '{"n":1}', "odd": '{"n":1}', "long": '{"n":"' + "x" * 300_000 + '"}', "twice": '{"n":1}'}
+    schemas = [
+        ("surrogate", '{"properties":{"n":{"type":"string"}}}'), ("digits", '{"properties":{"n":{"type":"integer","minimum":0}}}'), ("deep", "{}"),
+        ("null", '{"properties":{"n":{"type":["string","null"]}}}'), ("unknown", '{"properties":{"n":{"type":"date"}}}'), ("no json", "{"),
+        ("odd", '{"minimum":"x","properties":{"n":{"minimum":"x"}}}'), ("long", '{"properties":{"n":{"type":"string","maxLength":9}}}'),
+        ("twice", "{}"), ("twice", '{"type":"array"}')]
+    rows = [("a", k, 0, "call", "assistant", f"c{k}", name, text, None, []) for k, (name, text) in enumerate(arguments.items())] * 2
+    frame = spark.createDataFrame(rows, EVENT).withColumns({"nth": F.lit("x"), "position": F.lit("y"), "json": F.lit("z"), "schema": F.lit("w")})
+    got = toolcalls.linked(frame, spark.createDataFrame(schemas, "name string, schema string")).collect()
+    assert len(got) == len(rows)
+    found = {list(arguments)[r.turn]: r for r in got}
+    assert {k: list(r.problems) for k, r in found.items()} == {
+        "surrogate": [], "digits": [], "deep": ["$: nested too deep"], "null": [], "unknown": ["$.n: unknown type date in schema"],
+        "no json": ["$: schema can't be applied"], "odd": ["$: schema can't be applied"], "long": ["$.n: too long"], "twice": found["twice"].problems}
+    assert '"n":"\\ud800"' in found["surrogate"].json and "7" * 400 in found["digits"].json
+
+
 def test_call_order_is_topological(spark):
     rng = random.Random(5)
     n = 25
