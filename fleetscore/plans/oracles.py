@@ -533,7 +533,9 @@ _SQL: dict[str, str] = {
         parent_path, {_NOW} AS harvested_at FROM spaces WHERE v = 1""",
     "flatten_conversations": "SELECT * FROM cc",
     "epoch_ms_to_ts": "SELECT eval_run_id, created_timestamp, run_ts FROM runs",
-    "flatten_messages": f"SELECT {_MESSAGE_ROW} FROM pm",
+    "flatten_messages": f"""
+      SELECT {_MESSAGE_ROW}, error_type IS NOT NULL OR error_message IS NOT NULL AS has_error, feedback_rating IS NOT NULL AS has_feedback
+      FROM pm""",
     "message_core": _messages("user_id, user_question, status, created_ts, completed_ts, response_time_sec"),
     "first_query_attachment": _messages(
         "sql_generated, sql_title, sql_description, sql_attachment_id, sql_statement_id, sql_last_updated_ts"),

@@ -13,7 +13,7 @@ _MESSAGE = (
     "struct<message_id:string,id:string,user_id:string,content:string,status:string,created_timestamp:string,"
     "last_updated_timestamp:string,attachments:string,"
     "query_result:struct<statement_id:string,row_count:string,is_truncated:string>,"
-    "error:struct<type:string,error:string>,feedback:struct<rating:string>>"
+    "error:string,feedback:string>"
 )
 # A long conversation may be landed in pages; `offset` is then the number of messages before the page.
 CONVERSATION_PAYLOAD = (
@@ -74,7 +74,7 @@ BRONZE = {
                        "suggested_questions string, error_type string, error_message string, "
                        "feedback_rating string, attachment_count int, has_query_attachment boolean, "
                        "has_text_attachment boolean, has_suggested_questions boolean, message_position int, "
-                       "is_first_message boolean, raw_attachments_json string, harvested_at timestamp",
+                       "is_first_message boolean, raw_attachments_json string, harvested_at timestamp, has_error boolean, has_feedback boolean",
     "eval_runs": "space_id string, eval_run_id string, eval_run_status string, num_questions int, num_correct int, "
                  "num_needs_review int, num_done int, created_timestamp bigint, run_by_user string",
     "instructions": "space_id string, instruction_id string, instruction_type string, title string, content string, "

@@ -207,13 +207,28 @@ def suggestions_column() -> list[Column]:
     return [_filled_json(F.col("first_ask.suggested_questions.questions")).alias("suggested_questions")]
 
 
+def _variant(raw: str, field: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(raw), f"$.{field}", "string")
+
+
+def _present(raw: str) -> Column:
+    """Whether a message has an object that is not empty, whatever its fields; the raw text is that of the document."""
+    written = F.coalesce(F.to_json(F.try_parse_json(raw)), F.col(raw))
+    return F.coalesce(~written.isin("", "{}", "[]", "null", "false", "0"), F.lit(False))
+
+
 def error_feedback_columns() -> list[Column]:
     return [
-        F.col("m.error.type").alias("error_type"), F.col("m.error.error").alias("error_message"),
-        F.col("m.feedback.rating").alias("feedback_rating"),
+        _variant("m.error", "type").alias("error_type"), _variant("m.error", "error").alias("error_message"),
+        _variant("m.feedback", "rating").alias("feedback_rating"),
     ]
 
 
+def presence_columns() -> list[Column]:
+    """An error or feedback object counts by being there, also where it has none of the fields above."""
+    return [_present("m.error").alias("has_error"), _present("m.feedback").alias("has_feedback")]
+
+
 def attachment_columns() -> list[Column]:
     has = lambda first: F.col(first).isNotNull()
     return [
@@ -232,7 +247,7 @@ def position_columns() -> list[Column]:
 _GROUPS = [
     message_core, first_query_columns, statement_ids_column, query_parameters_column, query_result_columns,
     legacy_result_columns, first_text_columns, suggestions_column, error_feedback_columns, attachment_columns,
-    position_columns,
+    position_columns, presence_columns,
 ]
 
 
@@ -258,9 +273,13 @@ def conversation_rollup(messages: DataFrame) -> DataFrame:
     A page may be landed more than once, as a harvest looks back; of each message the newest version counts.
     """
     used = ["space_id", "conversation_id", "message_id", "status", "created_ts", "has_query_attachment", "error_type",
-            "error_message", "feedback_rating", "harvested_at"]
+            "error_message", "feedback_rating", "harvested_at", "has_error", "has_feedback"]
+    # Tables from before these two columns go by the fields.
+    messages = messages.withColumns({
+        c: F.lit(None).cast("boolean") for c in ("has_error", "has_feedback") if c not in messages.columns})
     messages = latest_per_key(messages.select(*used), ["space_id", "conversation_id", "message_id"])
-    failed = F.col("error_type").isNotNull() | F.col("error_message").isNotNull()
+    failed = F.coalesce("has_error", F.lit(False)) | F.col("error_type").isNotNull() | F.col("error_message").isNotNull()
+    rated = F.coalesce("has_feedback", F.lit(False)) | F.col("feedback_rating").isNotNull()
     return (
         messages.groupBy("space_id", "conversation_id")
         .agg(
@@ -271,7 +290,7 @@ def conversation_rollup(messages: DataFrame) -> DataFrame:
             F.max("created_ts").alias("last_message_ts"),
             F.bool_or("has_query_attachment").alias("has_sql_output"),
             F.bool_or(failed).alias("has_errors"),
-            F.bool_or(F.col("feedback_rating").isNotNull()).alias("has_feedback"),
+            F.bool_or(rated).alias("has_feedback"),
         )
         .withColumn(
             "conversation_duration_sec",

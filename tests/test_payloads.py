@@ -75,6 +75,20 @@ def test_pages_and_rollup(spark, rows):
     assert (got["silent"]["message_count"], got["silent"]["has_errors"], got["silent"]["first_message_ts"]) == (0, False, None)
 
 
+def test_objects_count_by_being_there(spark, rows):
+    """An error or feedback of fields nobody declared counts; an empty object, null or another type's nothing doesn't."""
+    odd = [{"error": {"code": 7}}, {"feedback": {"comment": "good"}}, {"error": {}, "feedback": None}, {"error": {"type": "T", "error": "E"}},
+           {"feedback": {"rating": "POSITIVE", "more": [1]}}, {"error": "boom"}, {}]
+    raw = land(spark, *[
+        {"space_id": "s", "conversation": {"id": str(k)}, "messages": [{"message_id": "m", "created_timestamp": 1, **x}]} for k, x in enumerate(odd)])
+    flat = payloads.flatten_messages(raw)
+    got = {r["conversation_id"]: r for r in rows(payloads.conversation_rollup(flat))}
+    assert [got[str(k)]["has_errors"] for k in range(7)] == [True, False, False, True, False, True, False]
+    assert [got[str(k)]["has_feedback"] for k in range(7)] == [False, True, False, False, True, False, False]
+    fields = {r["conversation_id"]: (r["error_type"], r["error_message"], r["feedback_rating"]) for r in rows(flat)}
+    assert fields["3"] == ("T", "E", None) and fields["4"] == (None, None, "POSITIVE") and fields["5"] == (None, None, None)
+
+
 def test_pages_landed_twice_count_once(spark, rows):
     t = 1_700_000_000_000
     now = page({"message_id": "1", "status": "COMPLETED", "created_timestamp": t}, {"message_id": "2", "status": "FAILED", "created_timestamp": t + 1})
