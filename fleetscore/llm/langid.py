@@ -2,15 +2,18 @@
 
 Text becomes lower-case letters with one blank for every run of anything else, after three blanks at the start;
 a 4-gram is packed into 64 bits. Spark counts the 4-grams of all training texts per language (each task counts
-its own first), and continuation counts of the lower orders follow from the distinct n-grams above them. An
-n-gram rarer than `rarest` of its language's total is left to the lower order, so a language keeps at most
-1 / rarest n-grams of each order whatever the corpus; that bounds what the driver gathers and broadcasts.
-Keys, log probabilities and back-off weights lie in sorted arrays. A text gets the language of the least
-cross-entropy per character. Limits are set by texts left out of the counts, one in LEFT_OUT of each language with
-at least ENOUGH texts (by the text's hash, so copies go together): what all but one in a hundred of them stay below,
-less an allowance for short texts. A text is accepted if it is nearer to that than to what random letters have under
-the model, drawn from the language's own common letters, so other scripts don't move the limit. A language with fewer
-texts has its cross-entropy in the counted texts instead.
+its own first), continuation counts of the lower orders follow from the distinct n-grams above them, and probabilities and
+back-off weights are joined up order by order, as tables sharded by (language, n-gram). Nothing is left out of them.
+
+To score texts, the n-grams and contexts that make up more than `rarest` of their language and order (at most 1 / rarest by
+definition) are broadcast as sorted hash arrays with a bitmap of fixed size for all others (see `perplexity`): a task backs off where an
+n-gram or context was never seen for sure, and what may be in the tables is counted per text and looked up by joins.
+
+A text gets the language of the least cross-entropy per character. Limits are set by texts left out of the counts, one in
+LEFT_OUT (by the text's hash, so copies go together): what all but one in a hundred of a language's left-out texts stay below,
+less an allowance for short texts, but not less than the language's own cross-entropy in what was counted; the latter alone
+where no text was left out. A text is accepted if it is nearer to that than to what random letters have under
+the model, drawn from the language's own common letters, so other scripts don't move the limit.
 
 Null or letterless text: language `und`, score 0, not accepted. No training text: every text is `und`.
 Ties go to the language that sorts first. Labels are compared as they are; null labels aren't learned.
@@ -26,12 +29,15 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetscore.llm.arrays import column_bytes, narrow, settle, slices
+from fleetscore.llm.perplexity import bitmap, resolve
+from fleetscore.llm.running import quantiles
 
 ORDER = 4
 UND = "und"
-LEFT_OUT, ENOUGH = 16, 64
+LEFT_OUT = 16
 _BLANK = 32
 
 
@@ -113,164 +119,197 @@ def _counted(training: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def _gathered(counts: DataFrame, k: int, rarest: float) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
-    """Per language, its kept (key, n, total of the context), and (n1, n2, sum)."""
-    context = F.shiftrightunsigned("key", 16).alias("context")
-    sums = {r.lang: (r.n1, r.n2, r.s) for r in counts.groupBy("lang").agg(
-        F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("s")).collect()}
-    totals = counts.groupBy("lang", context).agg(F.sum("n").alias("total"))
-    least = F.create_map(*[x for lang, v in sums.items() for x in (F.lit(lang), F.lit(rarest * v[2]))]) if sums else None
-    if least is None:
-        return {}, sums
-    kept = counts.where(F.col("n") > least[F.col("lang")]).withColumn("context", context).join(totals, ["lang", "context"])
-    table = kept.select("lang", "key", "n", "total").toArrow().sort_by([("lang", "ascending")])
-    langs = np.array(table.column("lang").to_pylist(), object)
-    key, n, total = (table.column(c).to_numpy() for c in ("key", "n", "total"))
+def _tables(counts: list[DataFrame], langs: list[str], base: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per order, grams (lang, key, n, p) and contexts (lang, key, gamma, total)."""
+    grams, contexts = [], []
+    for k, rows in enumerate(counts, 1):
+        seen = {r.lang: (r.n1, r.n2) for r in rows.groupBy("lang").agg(
+            F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+        steps = {lang: min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 and n2 else 0.5 for lang, (n1, n2) in seen.items()}
+        off = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])[F.col("lang")]
+        own = rows.withColumns({"off": off, "context": F.shiftrightunsigned("key", 16)})
+        held = settle(own.groupBy("lang", "context").agg(
+            F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("gamma")), f"lang-contexts{k}")
+        own = own.join(held, ["lang", "context"])
+        if grams:
+            suffix = F.col("key").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1))
+            lower = grams[-1].select("lang", F.col("key").alias("suffix"), F.col("p").alias("below"))
+            own = own.withColumn("suffix", suffix).join(lower, ["lang", "suffix"])
+        else:
+            own = own.withColumn("below", F.lit(base))
+        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("gamma") * F.col("below")
+        grams.append(settle(own.select("lang", "key", "n", p.alias("p")), f"lang-grams{k}"))
+        contexts.append(held.select("lang", F.col("context").alias("key"), "gamma", "total"))
+    return grams, contexts
+
+
+def _heads(table: DataFrame, value: str, weight: str, rarest: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language, sorted keys and log values of the rows with more than `rarest` of its weight."""
+    totals = table.groupBy("lang").agg(F.sum(weight).alias("_all"))
+    rows = table.join(totals, "lang").where(F.col(weight) > rarest * F.col("_all")).select("lang", "key", F.log(value).alias("log")).toArrow()
+    langs = np.array(rows.column("lang").to_pylist(), object)
+    keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
     out = {}
-    for lang in sums:
+    for lang in dict.fromkeys(langs.tolist()):
         own = langs == lang
-        order = np.argsort(key[own].view(np.uint64))
-        out[lang] = (key[own].view(np.uint64)[order], n[own][order].astype(float), total[own][order].astype(float))
-    return out, sums
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+        order = np.argsort(keys[own])
+        out[lang] = keys[own][order], logs[own][order]
+    return out
 
 
 class Model:
-    """Sorted arrays of one language: log probabilities of n-grams, and log back-off weights of contexts, by order."""
+    """One language: its broadcast arrays, its kinds in the bitmap, and what its limit is made of."""
 
-    def __init__(self, floor: float):
-        self.floor = floor  # log probability of a character before any order is asked
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, number: int, heads: dict, base: float):
+        self.kind, self.heads, self.base = 16 * number, heads, base
         self.own = self.spread = self.random = 0.0
 
-    def score(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probability of the last character of each key after those before it."""
-        if order == 0:
-            return np.full(len(keys), self.floor, np.float32)
-        wanted = keys & np.uint64((1 << (16 * order)) - 1)
-        grams, logs = self.grams[order - 1]
-        at, seen = _find(grams, wanted)
-        out = logs[at] if len(logs) else np.zeros(len(keys), np.float32)
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            contexts, weights = self.contexts[order - 1]
-            place, known = _find(contexts, wanted[rest] >> np.uint64(16))
-            back = np.where(known, weights[place], np.float32(0)) if len(weights) else np.zeros(len(rest), np.float32)
-            out[rest] = back + self.score(keys[rest], order - 1)
-        return out
-
-    def allowance(self, n: np.ndarray) -> np.ndarray:
-        """How much more a text of n characters may have by chance."""
-        return 3 * self.spread / np.sqrt(np.maximum(n, 1))
-
-    def limit(self, n: np.ndarray) -> np.ndarray:
-        """The largest cross-entropy of an accepted text of n characters."""
-        return self.own + 0.5 * max(self.random - self.own, 0.0) + self.allowance(n)
-
-
-def train(training: DataFrame, rarest: float = 2e-6) -> dict[str, Model]:
+
+class Models(dict):
+    """Models by language in order of their names, their common bitmap, and the sharded tables."""
+
+    def __init__(self, grams: list[DataFrame], contexts: list[DataFrame], bits: np.ndarray):
+        super().__init__()
+        self.grams, self.contexts, self.bits = grams, contexts, bits
+
+    def probabilities(self, wanted: DataFrame) -> DataFrame:
+        """(lang, key, p) for every distinct (lang, key), seen or not."""
+        base = next(iter(self.values())).base
+        out = wanted.select("lang", "key").distinct().withColumn("p", F.lit(None).cast("double")).withColumn("back", F.lit(1.0))
+        for k in range(ORDER, 0, -1):
+            own = F.col("key").bitwiseAND(F.lit((1 << (16 * k)) - 1 if k < ORDER else -1))
+            seen = self.grams[k - 1].select("lang", F.col("key").alias("_own"), F.col("p").alias("_p"))
+            weights = self.contexts[k - 1].select("lang", F.col("key").alias("_context"), F.col("gamma").alias("_g"))
+            out = out.withColumn("_own", own).join(seen, ["lang", "_own"], "left").withColumn(
+                "_context", F.shiftrightunsigned("_own", 16)).join(weights, ["lang", "_context"], "left").select(
+                "lang", "key", F.coalesce("p", F.col("back") * F.col("_p")).alias("p"),
+                (F.col("back") * F.coalesce("_g", F.lit(1.0))).alias("back"))
+        return out.select("lang", "key", F.coalesce("p", F.col("back") * base).alias("p"))
+
+
+def _by_language(models: Models, value) -> Column:
+    """A value per language, by the column lang."""
+    return F.create_map(*[x for lang, m in models.items() for x in (F.lit(lang), F.lit(float(value(m))))])[F.col("lang")]
+
+
+def train(training: DataFrame, rarest: float = 2e-6) -> Models:
     """Models by language from (text, lang) rows; null texts and null languages are left out."""
-    training = training.where("text is not null and lang is not null")
-    many = [r.lang for r in training.groupBy("lang").count().where(F.col("count") >= ENOUGH).collect()]
-    out = F.col("lang").isin(many) & (F.pmod(F.xxhash64("text"), F.lit(LEFT_OUT)) == 0)
-    counted = _counted(training.where(~out))
-    parts = [_gathered(c, k + 1, rarest) for k, c in enumerate(counted)]
-    alphabet = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts[0][0].values())]))
-    models = {}
-    for lang in sorted(parts[-1][1]):
-        model = models[lang] = Model(-float(np.log(len(alphabet) + 1)))
-        for k, (kept, sums) in enumerate(parts):
-            keys, n, total = kept[lang]
-            n1, n2, _ = sums[lang]
-            discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 and n2 else 0.5
-            share = np.maximum(n - discount, 0) / np.maximum(total, 1)
-            contexts, place = np.unique(keys >> np.uint64(16), return_inverse=True)
-            gamma = np.maximum(1 - np.bincount(place, share, len(contexts)), 1e-6)
-            lower = np.exp(model.score(keys, k).astype(float))
-            model.grams.append((keys, np.log(share + gamma[place] * lower).astype(np.float32)))
-            model.contexts.append((contexts, np.log(gamma).astype(np.float32)))
-        keys, n, _ = parts[-1][0][lang]
-        logs = model.grams[-1][1].astype(float)
-        if len(keys):
-            model.own = float(-(n * logs).sum() / n.sum())
-            model.spread = float(np.sqrt(max((n * logs**2).sum() / n.sum() - model.own**2, 0)))
-        rng = np.random.default_rng(0)
-        letters, often, _ = parts[0][0][lang]
-        rank = np.argsort(-often, kind="stable")
-        letters = letters[rank[: int(np.searchsorted(np.cumsum(often[rank]), 0.99 * often.sum())) + 1]]
-        noise = rng.choice(letters, (20_000, ORDER)) if len(letters) else np.zeros((0, ORDER), np.uint64)
-        packed = sum(noise[:, k] << np.uint64(16 * k) for k in range(ORDER)) if len(noise) else np.zeros(0, np.uint64)
-        model.random = float(-model.score(packed).mean()) if len(noise) else 0.0
-    if models and many:
-        excess = _own_entropy(training.sparkSession, models)(F.col("text"), F.col("lang"))
-        left = training.where(out).select("lang", excess.alias("own"))
-        for r in left.groupBy("lang").agg(F.percentile_approx("own", 0.99, F.lit(1000)).alias("own")).collect():
-            if r.lang in models and r.own is not None:
-                models[r.lang].own = float(r.own)
+    training = training.where("text is not null and lang is not null").select("text", "lang")
+    out = F.pmod(F.xxhash64("text"), F.lit(LEFT_OUT)) == 0
+    counts = [settle(c, "lang-counts") for c in _counted(training.where(~out))]
+    langs = sorted(r.lang for r in counts[-1].select("lang").distinct().collect())
+    if not langs:
+        return Models([], [], np.zeros(0, np.uint8))
+    base = 1 / (counts[0].select("key").distinct().count() + 1)  # a character that was never seen
+    grams, contexts = _tables(counts, langs, base)
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, 16 * k)])[F.col("lang")]
+    kinds = [x for k in range(1, ORDER + 1) for x in ((number + k, grams[k - 1]), (number + ORDER + k, contexts[k - 1]))]
+    models = Models(grams, contexts, bitmap(kinds))
+    heads = {(name, k): _heads(table[k - 1], *columns, rarest) for k in range(1, ORDER + 1)
+             for name, table, columns in (("grams", grams, ("p", "n")), ("contexts", contexts, ("gamma", "total")))}
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    for k, lang in enumerate(langs):
+        models[lang] = Model(k, {where: found.get(lang, none) for where, found in heads.items()}, base)
+    n, log = F.sum("n"), F.log("p")
+    for r in grams[-1].groupBy("lang").agg((F.sum(F.col("n") * log) / n).alias("m"), (F.sum(F.col("n") * log * log) / n).alias("s")).collect():
+        models[r.lang].own, models[r.lang].spread = -r.m, float(np.sqrt(max(r.s - r.m**2, 0)))
+    _set_random(training.sparkSession, models, counts[0])
+    left = training.where(out & F.col("lang").isin(langs))
+    excess = entropies(left, models).where("n > 0").select("lang", (
+        F.element_at("h", _by_language(models, lambda m: m.kind // 16 + 1).cast("int")) - 3 * _by_language(models, lambda m: m.spread) / F.sqrt("n")).alias("excess"))
+    for r in quantiles(excess, "lang", "excess", 0.99).collect():
+        models[r.lang].own = max(models[r.lang].own, r.excess)
     return models
 
 
-def _own_entropy(spark: SparkSession, models: dict[str, Model]):
-    """A function of text and language: cross-entropy under that language's model, less the allowance for its length."""
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((models, _letters())))
-
-    @F.arrow_udf("double")
-    def excess(pieces: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known, letters = pickle.loads(shared.value)
-        for texts, langs in pieces:
-            found = []
-            for part in slices([pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])], "text", 1 << 19):
-                keys, counts, has = _grams(part.column("text"), letters)
-                ends = np.cumsum(counts)
-                for lang, a, b, some in zip(part.column("lang").to_pylist(), ends - counts, ends, has):
-                    model = known.get(lang)
-                    found.append(float(-model.score(keys[a:b]).astype(np.float64).mean() - model.allowance(b - a)) if model and some else None)
-            yield pa.array(found, pa.float64())
-
-    return excess.asNondeterministic()
-
-
-def _decide(column: pa.Array, models: dict[str, Model], letters: np.ndarray) -> pa.Array:
-    keys, counts, has = _grams(column, letters)
-    some = np.flatnonzero((has > 0) & (counts > 0) & bool(models))
-    names = list(models)
-    lang, score = np.full(len(counts), UND, object), np.zeros(len(counts))
-    entropy, accepted = np.full(len(counts), np.nan), np.zeros(len(counts), bool)
-    if len(some):
+def _set_random(spark: SparkSession, models: Models, letters: DataFrame) -> None:
+    """The cross-entropy of letters drawn at random from those that make up 99 % of a language's."""
+    share = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("n"), "key")) - F.col("n")
+    common = letters.withColumn("_before", share).withColumn("_all", F.sum("n").over(Window.partitionBy("lang")))
+    held: dict[str, list[int]] = {}
+    for r in common.where("_before <= 0.99 * _all").select("lang", "key").orderBy("lang", "key").collect():  # characters, not texts
+        held.setdefault(r.lang, []).append(r.key)
+    rows, sums = [], {}
+    for lang, model in models.items():
+        noise = np.random.default_rng(0).choice(np.array(held[lang], np.uint64), (20_000, ORDER))
+        keys, n = np.unique(sum(noise[:, k] << np.uint64(16 * k) for k in range(ORDER)), return_counts=True)
+        log, settled = resolve(keys, model.heads, models.bits, model.base, model.kind)
+        sums[lang] = float((n * log)[settled].sum())
+        rows += [(lang, int(k), int(c)) for k, c in zip(keys[~settled].view(np.int64), n[~settled])]
+    if rows:
+        asked = spark.createDataFrame(rows, "lang string, key long, n long")
+        for r in asked.join(models.probabilities(asked), ["lang", "key"]).groupBy("lang").agg(F.sum(F.col("n") * F.log("p")).alias("s")).collect():
+            sums[r.lang] += r.s
+    for lang, model in models.items():
+        model.random = -sums[lang] / 20_000
+
+
+def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a text to a row per text (n, log p by language of what is settled here) and a row per text, language and other n-gram."""
+    models, bits, letters = pickle.loads(shared.value)
+    for batch in slices(batches, "text", 1 << 19):
+        keys, counts, has = _grams(batch.column("text"), letters)
+        counts = np.where(has > 0, counts, 0)  # texts without letters have no keys
+        row = np.repeat(np.arange(len(counts)), counts)
         unique, place = np.unique(keys, return_inverse=True)
-        starts = (np.cumsum(counts) - counts)[some]
-        n = counts[some]
-        # rows without letters have no keys, so the keys of `some` follow each other
-        h = np.stack([-np.add.reduceat(m.score(unique)[place].astype(np.float64), starts) / n for m in models.values()])
-        best = np.argmin(h, axis=0)
-        least = h[best, np.arange(len(some))]
-        lang[some] = np.array(names, object)[best]
-        score[some] = 1 / np.exp(-(h - least) * np.minimum(n, 40)).sum(axis=0)
-        entropy[some] = least
-        limits = np.stack([m.limit(n) for m in models.values()])
-        accepted[some] = least <= limits[best, np.arange(len(some))]
-    return pa.StructArray.from_arrays(
-        [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(accepted)],
-        ["lang_pred", "score", "cross_entropy", "accepted"])
-
-
-def identifier(spark: SparkSession, models: dict[str, Model]):
-    """A function of a text column: struct<lang_pred, score, cross_entropy, accepted>."""
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((models, _letters())))  # by value, as classes of this package are
-
-    @F.arrow_udf("struct<lang_pred:string, score:double, cross_entropy:double, accepted:boolean>")
-    def decide(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, letters = pickle.loads(shared.value)
-        for column in columns:
-            parts = [_decide(x.column("text"), known, letters) for x in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", 1 << 19)]
-            yield pa.concat_arrays(parts) if parts else _decide(column, known, letters)
-
-    return decide.asNondeterministic()
+        sums, rare = np.zeros((len(counts), len(models))), []
+        for i, (kind, heads, base) in enumerate(models):
+            log, settled = resolve(unique, heads, bits, base, kind)
+            sums[:, i] = np.bincount(row, log[place], len(counts))
+            rest = np.flatnonzero(~settled[place])
+            if len(rest):
+                pairs, n = np.unique(np.stack([row[rest], place[rest]], 1), axis=0, return_counts=True)
+                rare.append((pairs[:, 0], np.full(len(n), i), unique[pairs[:, 1]], n))
+        beside = [c for c in batch.schema.names if c not in ("text", "row")]
+        names = ["row", *beside, "n", "sums", "i", "key", "times"]
+        ends = np.arange(0, sums.size + 1, max(len(models), 1), dtype=np.int32)[: len(counts) + 1]
+        lists = pa.ListArray.from_arrays(ends, pa.array(sums.ravel())) if models else pa.array([[]] * len(counts), pa.list_(pa.float64()))
+        none = lambda kind, n=len(counts): pa.nulls(n, kind)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), *[batch.column(c) for c in beside], pa.array(counts, pa.int64()), lists, none(pa.int32()), none(pa.int64()), none(pa.int64())], names)
+        if rare:
+            at, i, key, n = (np.concatenate(x) for x in zip(*rare))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(at)), *[none(batch.column(c).type, len(at)) for c in beside], none(pa.int64(), len(at)),
+                 none(pa.list_(pa.float64()), len(at)), pa.array(i, pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names)
+
+
+def entropies(docs: DataFrame, models: Models) -> DataFrame:
+    """docs' columns but the text, n (characters; 0 without letters) and h: cross-entropy by language, in order of the names."""
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(
+        ([(m.kind, m.heads, m.base) for m in models.values()], models.bits, _letters())))
+    rows = docs.withColumns({"text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
+    beside = [c for c in rows.columns if c not in ("text", "row")]
+    kind = ", ".join(["row long", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in beside], "n long, sums array<double>, i int, key long, times long"])
+    scored = settle(rows.select("row", *beside, "text").mapInArrow(lambda batches: _scorer(shared, batches), kind), "lang-scores")
+    shared.unpersist()
+    whole = scored.where("key is null").select("row", *beside, "n", "sums")
+    if not models:
+        return whole.select(*beside, F.lit(0).cast("long").alias("n"), F.col("sums").alias("h"))
+    lang = F.element_at(F.array(*map(F.lit, models)), F.col("i") + 1)
+    rare = scored.where("key is not null").select("row", "i", lang.alias("lang"), "key", "times")
+    tail = rare.join(models.probabilities(rare), ["lang", "key"]).groupBy("row").pivot("i", list(range(len(models)))).agg(F.sum(F.col("times") * F.log("p")))
+    more = F.array(*[F.coalesce(F.col(str(k)), F.lit(0.0)) for k in range(len(models))])
+    both = whole.join(tail.select("row", more.alias("more")), "row", "left")
+    h = F.transform("sums", lambda s, k: -(s + F.coalesce(F.get("more", k), F.lit(0.0))) / F.when(F.col("n") > 0, F.col("n")))
+    return both.select(*beside, "n", h.alias("h"))
+
+
+def decisions(docs: DataFrame, models: Models) -> DataFrame:
+    """docs' columns but the text, and lang_pred, score, cross_entropy, accepted."""
+    found = entropies(docs, models)
+    beside = [c for c in found.columns if c not in ("n", "h")]
+    some = F.col("n") > 0
+    least = F.array_min("h")
+    at = F.array_position("h", least).cast("int")
+    names = F.array(*map(F.lit, models)) if models else F.array().cast("array<string>")
+    number = lambda value: F.element_at(F.array(*[F.lit(float(value(m))) for m in models.values()]), F.col("_at")) if models else F.lit(0.0)
+    found = found.withColumns({"_at": F.when(some, at), "_least": F.when(some, least)})
+    limit = number(lambda m: m.own + 0.5 * max(m.random - m.own, 0.0)) + 3 * number(lambda m: m.spread) / F.sqrt("n")
+    weight = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + F.exp(-(x - F.col("_least")) * F.least("n", F.lit(40))))
+    return found.select(
+        *beside, F.when(some, F.element_at(names, F.col("_at"))).otherwise(UND).alias("lang_pred"), F.when(some, 1 / weight).otherwise(0.0).alias("score"),
+        F.col("_least").alias("cross_entropy"), F.when(some, F.col("_least") <= limit).otherwise(False).alias("accepted"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -281,6 +320,4 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, accepted for every row; learns from rows not held out."""
     models = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    decide = identifier(docs.sparkSession, models)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), decide(F.col("text")).alias("d")).select(
-        "doc_id", "held_out", "d.lang_pred", "d.score", "d.cross_entropy", "d.accepted")
+    return decisions(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), models)

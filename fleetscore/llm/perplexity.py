@@ -22,7 +22,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.llm.arrays import column_bytes, mix, narrow, settle, slices, text_key
-from fleetscore.llm.running import running
+from fleetscore.llm.running import quantiles
 
 ORDER = 4
 BITS = 27  # a bitmap of 2 ** BITS bits tells which n-grams a model may have
@@ -139,23 +138,26 @@ def bits_of(keys: np.ndarray, kind: int) -> np.ndarray:
     return mix(keys ^ mix(np.full(1, kind + 1, np.uint64))) >> np.uint64(64 - BITS)
 
 
-def _pages(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        bits = np.unique(bits_of(batch.column("key").to_numpy().view(np.uint64), kind))
-        page = (bits // np.uint64(_PAGE)).astype(np.int64)
-        for p in np.unique(page):
-            mask = held.setdefault(int(p), np.zeros(_PAGE, bool))
-            mask[(bits[page == p] % np.uint64(_PAGE)).astype(np.int64)] = True
+        keys, kinds = batch.column("key").to_numpy().view(np.uint64), batch.column("kind").to_numpy()
+        for kind in np.unique(kinds):
+            bits = np.unique(bits_of(keys[kinds == kind], int(kind)))
+            page = (bits // np.uint64(_PAGE)).astype(np.int64)
+            for p in np.unique(page):
+                mask = held.setdefault(int(p), np.zeros(_PAGE, bool))
+                mask[(bits[page == p] % np.uint64(_PAGE)).astype(np.int64)] = True
     yield pa.RecordBatch.from_arrays([
         pa.array(list(held), pa.int64()), pa.array([np.packbits(m).tobytes() for m in held.values()], pa.binary())], ["page", "bits"])
 
 
-def bitmap(tables: list[tuple[int, DataFrame]]) -> np.ndarray:
+def bitmap(tables: list[tuple[int | Column, DataFrame]]) -> np.ndarray:
     """The bits of all (kind, keys); the driver gathers 2 ** BITS bits at most."""
     parts = None
     for kind, keys in tables:
-        part = keys.select("key").mapInArrow(partial(_pages, kind=kind), "page long, bits binary")
+        kind = kind if isinstance(kind, Column) else F.lit(kind)
+        part = keys.select("key", kind.cast("int").alias("kind")).mapInArrow(_pages, "page long, bits binary")
         parts = part if parts is None else parts.unionByName(part)
     out = np.zeros((1 << BITS) // 8, np.uint8)
     for r in parts.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
@@ -176,8 +178,11 @@ def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.n
     return known[at] == keys, values[at]
 
 
-def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """log p of the keys that broadcast tables and bitmap settle, and which those are."""
+def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """log p of the keys that broadcast tables and bitmap settle, and which those are.
+
+    Of a model, n-grams of order k are of kind `kind` + k in the bitmap, their contexts of kind `kind` + ORDER + k.
+    """
     out, settled = np.zeros(len(keys)), np.zeros(len(keys), bool)
     rest, back = np.arange(len(keys)), np.zeros(len(keys))
     for k in range(ORDER, 0, -1):
@@ -185,10 +190,10 @@ def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float) -> tup
         seen, log = _found(heads["grams", k], own)
         out[rest[seen]] = back[rest[seen]] + log[seen]
         settled[rest[seen]] = True
-        unseen = ~seen & ~maybe(bits, own, k)
+        unseen = ~seen & ~maybe(bits, own, kind + k)
         context = own >> np.uint64(16)
         known, weight = _found(heads["contexts", k], context)
-        on = unseen & (known | ~maybe(bits, context, ORDER + k))
+        on = unseen & (known | ~maybe(bits, context, kind + ORDER + k))
         back[rest[on]] += np.where(known[on], weight[on], 0.0)
         rest = rest[on]
     out[rest] = back[rest] + np.log(base)
@@ -279,14 +284,9 @@ def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFram
     own = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select(
         F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")).alias("_lang"), "perplexity")
 
-    def limits(rows: DataFrame) -> DataFrame:
-        """The least perplexity that `share` of a language's trusted documents don't exceed."""
-        counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
-        return running(rows, ["_lang"], [F.col("perplexity").asc()], "_at", {}, "trusted-order").join(counts, "_lang").where(
-            F.col("_at") == F.ceil(F.lit(share) * F.col("_n")) - 1).select("_lang", F.col("perplexity").alias("_limit"))
-
-    overall = limits(own.withColumn("_lang", F.lit("")))
-    overall = overall.select("_limit").first()
-    return scored.withColumn("_lang", F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))).join(limits(own), "_lang", "left").select(
-        "doc_id", "perplexity", F.coalesce("_limit", F.lit(overall[0] if overall else None).cast("double")).alias("threshold"),
+    overall = quantiles(own.withColumn("_lang", F.lit("")), "_lang", "perplexity", share)
+    overall = overall.first()
+    return scored.withColumn("_lang", F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))).join(
+        quantiles(own, "_lang", "perplexity", share).withColumnRenamed("perplexity", "_limit"), "_lang", "left").select(
+        "doc_id", "perplexity", F.coalesce("_limit", F.lit(overall.perplexity if overall else None).cast("double")).alias("threshold"),
     ).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))

@@ -36,3 +36,10 @@ def running(df: DataFrame, group: list[str], order: list[Column], place: str, su
         place: F.col("_before") + F.col("_place") - F.col("_first"),
         **{name: F.coalesce(f"_b_{name}", zero) + F.coalesce(f"_i_{name}", zero) for name in sums},
     }).select(*df.columns, place, *sums)
+
+
+def quantiles(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(group, value): the least value that `share` of the group's rows don't exceed, exactly, for groups of any size."""
+    counts = df.groupBy(group).agg(F.count("*").alias("_n"))
+    placed = running(df.select(group, value), [group], [F.col(value).asc()], "_at", {}, "quantiles")
+    return placed.join(counts, group).where(F.col("_at") == F.ceil(F.lit(share) * F.col("_n")) - 1).select(group, value)

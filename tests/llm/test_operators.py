@@ -137,14 +137,34 @@ def test_language_corner_cases(spark, odd):
 
 def test_language_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("abca bcab cabb", "x"), ("aab", "x")], "text string, lang string")
-    model = langid.train(texts, rarest=0)["x"]
+    models = langid.train(texts, rarest=0)
+    model = models["x"]
     letters = [32, *map(ord, "abc")]
     for context in ("  a", "abc", "zzz"):
         high = sum(ord(c) << 16 * (3 - k) for k, c in enumerate(context))
-        p = np.exp(model.score(np.array([high | c for c in letters], np.uint64)).astype(float)).sum()
+        log, settled = perplexity.resolve(np.array([high | c for c in letters], np.uint64), model.heads, models.bits, model.base, model.kind)
+        assert settled.all()
+        p = np.exp(log).sum()
         assert 0.5 < p <= 1.0001  # the rest belongs to characters that were never seen
 
 
+def test_joined_and_broadcast_ngrams_give_the_same_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    training = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
+    found = []
+    for rarest in (0, 1e-4, 1):
+        models = langid.train(training, rarest)
+        found.append((models, {r.doc_id: r for r in langid.decisions(docs.select("doc_id", "text"), models).collect()}))
+    for models, by in found[1:]:
+        for lang, m in models.items():
+            first = found[0][0][lang]
+            assert all(math.isclose(getattr(m, c), getattr(first, c), rel_tol=1e-9) for c in ("own", "spread", "random"))
+        for k, r in by.items():
+            one = found[0][1][k]
+            assert (r.lang_pred, r.accepted) == (one.lang_pred, one.accepted)
+            assert r.cross_entropy is None or math.isclose(r.cross_entropy, one.cross_entropy, rel_tol=1e-9)
+
+
 def test_letters_beyond_16_bits(spark):
     docs = spark.createDataFrame([(k, "\U00020020\U00020021 " * 9, "zh") for k in range(5)] + [
         (9, "plain words of letters", "en"), (10, "\U0001f600\U0001f601", "en"), (11, "\U00020020\U00020020", None)], "doc_id long, text string, lang string")
@@ -157,8 +177,7 @@ def test_random_letters_are_rejected(spark):
     models = langid.train(docs.select("text", "lang"))
     rng = random.Random(1)
     noise = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),) for _ in range(5)]
-    decide = langid.identifier(spark, models)
-    assert not any(r.d.accepted for r in spark.createDataFrame(noise, "text string").select(decide(F.col("text")).alias("d")).collect())
+    assert not any(r.accepted for r in langid.decisions(spark.createDataFrame(noise, "text string"), models).collect())
 
 
 def test_random_letters_are_rejected_beside_another_script(spark):
@@ -167,10 +186,9 @@ def test_random_letters_are_rejected_beside_another_script(spark):
     han = [("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300)), "zh") for _ in range(100)]
     models = langid.train(docs.select("text", "lang").unionByName(spark.createDataFrame(han, "text string, lang string")))
     noise = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)),) for _ in range(5)]
-    decide = langid.identifier(spark, models)
-    assert not any(r.d.accepted for r in spark.createDataFrame(noise, "text string").select(decide(F.col("text")).alias("d")).collect())
-    rows = docs.select(decide(F.col("text")).alias("d")).where("d.lang_pred <> 'und'").collect()
-    assert sum(r.d.accepted for r in rows) >= 0.99 * len(rows)
+    assert not any(r.accepted for r in langid.decisions(spark.createDataFrame(noise, "text string"), models).collect())
+    rows = langid.decisions(docs.select("text"), models).where("lang_pred <> 'und'").collect()
+    assert sum(r.accepted for r in rows) >= 0.99 * len(rows)
 
 
 # --- mixing
