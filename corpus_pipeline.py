@@ -18,8 +18,11 @@ from fleetscore.llm.arrays import settle, text_key
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models learn from the labelled documents that aren't held out."""
     models = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
-    decide = langid.identifier(spark, models)
-    return docs.withColumn("_language", decide(F.col("text"))).where("_language.accepted").select(*docs.columns)
+    t1, t2 = text_key(F.col("text"))
+    keyed = docs.withColumns({"_t1": t1, "_t2": t2})
+    # Few texts are rejected: they are the side that moves.
+    rejected = langid.decisions(keyed.select("_t1", "_t2", "text"), models).where("not accepted").select("_t1", "_t2").distinct()
+    return keyed.join(settle(rejected, "rejected"), ["_t1", "_t2"], "left_anti").select(*docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
