@@ -30,16 +30,6 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by key: joins on key read it without a shuffle."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, purpose)
-    name = path.rsplit("/", 1)[-1].replace("-", "_")
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def forget(df: DataFrame) -> None:
     """Remove a settled table that nothing reads any more."""
     spark = df.sparkSession

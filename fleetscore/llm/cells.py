@@ -77,12 +77,12 @@ def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.nda
         yield flush()
 
 
-def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame,
+def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame],
                 linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str) -> DataFrame:
     """Links (u, v) that join components of nodes under one key.
 
     members: distinct (key, node); roots: (node, root) of linked nodes, others are their own; sizes: (node, n);
-    sets: (node, shingles). Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
+    sets: (node, shingles), or a function that gives them for nodes (node). Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
     """
     held = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(
@@ -121,7 +121,11 @@ def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: Da
         side("a").join(side("b"), "key").where(f"a <= b and abs(a_band - b_band) <= 1 and not ({one_root})").select("a", "b").distinct(),
         f"{purpose}-pairs")
     inside = at.select("cell", "node", "root").distinct()
-    rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).join(inside, "cell").join(sets, "node")
+    rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).join(inside, "cell")
+    if callable(sets):
+        rows = settle(rows, f"{purpose}-rows")
+        sets = sets(rows.select("node").distinct())
+    rows = rows.join(sets, "node")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "node")
     kind = members.schema["node"].dataType.simpleString()
 

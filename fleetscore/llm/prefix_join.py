@@ -25,6 +25,7 @@ result. An empty table gives no rows. Other columns, whatever their names, are n
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscore.llm.arrays import bucketed, forget, mix, settle, slices, text_key, word_hasher
+from fleetscore.llm.arrays import forget, mix, settle, slices, text_key, word_hasher
 from fleetscore.llm.cells import as_set, cross_links
 from fleetscore.llm.neardup import _sets, components, overlaps
+from fleetscore.llm.perplexity import bitmap, maybe
 
 FREQUENT, HEAD = 8, 2
 ORDERS = (0xA5A5_5A5A_1234_5678, 0x0F1E_2D3C_4B5A_6978)  # seeds of the second and third order
@@ -77,34 +79,39 @@ def sign(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int]) -> I
 def set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = word_hasher()
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("touched"), _lists(_sets(batch, n, words))], ["node", "touched", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_sets(batch, n, words))], ["node", "shingles"])
 
 
-def heads(batches: Iterator[pa.RecordBatch], share: tuple[int, int], times: int | None) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) to (node, key): the first tokens by hash, `times` the prefix or all."""
-    for batch in batches:
-        nodes, keys = [], []
-        for node, row in zip(batch.column("node").to_pylist(), batch.column("shingles")):
-            s = as_set(row)
-            k = len(s) if times is None else min(len(s), times * prefix_length(len(s), share))
-            keys.append(s[np.argpartition(mix(s), k - 1)[:k]] if k < len(s) else s)
-            nodes.append(np.full(k, node, np.int64))
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, keys)]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in flat], ["node", "key"])
+def heads(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int], times: int | None) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, n, head): the size of the set, and its first tokens by hash, `times` the prefix or all."""
+    words = word_hasher()
+    for batch in slices(batches, "text"):
+        sets = _sets(batch, n, words)
+        keep = [len(s) if times is None else min(len(s), times * prefix_length(len(s), share)) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), _lists([s[np.argsort(mix(s))[:k]] for s, k in zip(sets, keep)])],
+            ["node", "n", "head"])
 
 
-def prefixes_anew(batches: Iterator[pa.RecordBatch], share: tuple[int, int], times: int | None) -> Iterator[pa.RecordBatch]:
-    """(node, shingles, demoted) to (node, first, whole): whole if no token that wasn't looked up can belong to the prefix."""
+def prefixes_anew(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(node, n, head, demoted) to (node, first, whole): whole if no token behind the head can belong to the prefix."""
     for batch in batches:
         out, whole = [], []
-        for row, last in zip(batch.column("shingles"), batch.column("demoted").to_pylist()):
+        for n, row, last in zip(batch.column("n").to_pylist(), batch.column("head"), batch.column("demoted").to_pylist()):
             s, known = as_set(row), {x["token"]: x["count"] for x in last}
-            k = prefix_length(len(s), share)
-            whole.append(times is None or times * k >= len(s) or times * k - len(known) >= k)
-            out.append(prefix(s, share, 0, known))
+            k = prefix_length(n, share)
+            late = np.array([known.get(x, 0) for x in s.view(np.int64).tolist()], np.int64)
+            whole.append(len(s) == n or int((late == 0).sum()) >= k)
+            out.append(s[np.argsort(late, kind="stable")[:k]])  # the head is in order of the hash
         yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(out), pa.array(whole, pa.bool_())], ["node", "first", "whole"])
 
 
+def _likely(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = pickle.loads(shared.value)
+    for batch in batches:
+        yield batch.filter(pa.array(maybe(bits, batch.column("key").to_numpy().view(np.uint64), 0)))
+
+
 def enough(both, a, b, share: tuple[int, int]):
     return share[1] * both >= share[0] * (a + b - both)
 
@@ -164,29 +171,40 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
         return entries.join(groups, "key")
 
+    places = settle(nodes.select("node", "at.d", "at.t1", "at.t2"), "join-places")
+    named_texts = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("d", "t1", "t2", "text")
+    hashed = F.xxhash64("d", "t1", "t2").alias("key")
+
+    def texts_of(which: DataFrame) -> DataFrame:
+        """(node, text) of some nodes; a bitmap of fixed size keeps most other texts out of the join."""
+        wanted = settle(places.join(which, "node", "left_semi"), "join-wanted")
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(bitmap([(0, wanted.select(hashed))])))
+        near = named_texts.withColumn("key", hashed).mapInArrow(partial(_likely, shared), "d string, t1 long, t2 long, text string, key long")
+        return near.drop("key").join(wanted, ["d", "t1", "t2"]).dropDuplicates(["d", "t1", "t2"]).select("node", "text")
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        return settle(texts_of(which).mapInArrow(partial(set_rows, n=shingle), "node long, shingles array<long>"), "join-sets")
+
     members = settle(shared(nodes), "join-members")
-    touched = members.groupBy("node").agg((F.max("size") >= FREQUENT).alias("touched"))
-    wanted = settle(touched.join(nodes, "node").select("node", "touched", "at.d", "at.t1", "at.t2"), "join-wanted")
-    one = texts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["d", "t1", "t2"])
-    one = one.select("d", "t1", "t2", "node", "touched", "text").dropDuplicates(["d", "t1", "t2"]).select("node", "touched", "text")
-    # Joined by node several times: shuffled once.
-    sets = bucketed(one.mapInArrow(partial(set_rows, n=shingle), "node long, touched boolean, shingles array<long>"), "node", "join-sets")
-    first = nodes.join(wanted.where("not touched"), "node", "left_semi").select("node", "first")
-    demoted = settle(members.where(F.col("size") >= FREQUENT).select(
+    often = F.col("size") >= FREQUENT
+    touched = settle(members.where(often).select("node").distinct(), "join-touched")
+    demoted = settle(members.where(often).select(
         "key", F.struct(F.col("key").alias("token"), F.col("size").alias("count")).alias("x")).distinct(), "join-demoted")
-
+    kept = settle(nodes.join(members.select("node").distinct(), "node", "left_semi").join(touched, "node", "left_anti").select("node", "first"), "join-kept")
     forget(members)
 
     def anew(which: DataFrame, times: int | None) -> DataFrame:
-        tokens = which.mapInArrow(partial(heads, share=share, times=times), "node long, key long")
-        known = tokens.join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
-        return settle(sets.where("touched").join(known, "node").mapInArrow(
-            partial(prefixes_anew, share=share, times=times), "node long, first array<long>, whole boolean"), "join-prefixes")
-
-    ours = sets.where("touched").select("node", "shingles")
-    head = anew(ours, HEAD)
-    rest = anew(ours.join(head.where("not whole").select("node"), "node", "left_semi"), None)
-    first = first.unionByName(head.where("whole").select("node", "first")).unionByName(rest.select("node", "first"))
+        first = settle(texts_of(which).mapInArrow(
+            partial(heads, n=shingle, share=share, times=times), "node long, n long, head array<long>"), "join-heads")
+        known = first.select("node", F.explode("head").alias("key")).join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
+        out = settle(first.join(known, "node").mapInArrow(
+            partial(prefixes_anew, share=share), "node long, first array<long>, whole boolean"), "join-prefixes")
+        forget(first)
+        return out
+
+    head = anew(touched, HEAD)
+    rest = anew(head.where("not whole").select("node"), None)
+    first = kept.unionByName(head.where("whole").select("node", "first")).unionByName(rest.select("node", "first"))
     members = settle(shared(first), "join-members")
 
     # Sets of too different sizes can't be linked.
@@ -197,12 +215,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = stars.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("width"))
     stars = stars.join(width, "hub").select("hub", F.pmod(F.xxhash64("node"), "width").alias("chunk"), "node")
     centres = stars.select("hub", "chunk").distinct().withColumn("node", F.col("hub"))
+    stars = settle(stars.withColumn("place", F.lit(1)).unionByName(centres.withColumn("place", F.lit(0))), "join-stars")
     dealt = (
-        stars.withColumn("place", F.lit(1)).unionByName(centres.withColumn("place", F.lit(0))).join(sets, "node")
+        stars.join(sets_of(stars.select("node").distinct()), "node")
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-stars")
     roots = settle(components(star_links, "join-components"), "join-roots")
-    more = cross_links(members.select("key", "node"), roots, size, sets.select("node", "shingles"), partial(linked, share=share), share, "join")
+    more = cross_links(members.select("key", "node"), roots, size, sets_of, partial(linked, share=share), share, "join")
 
     over = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(
         roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left").select(
