@@ -5,9 +5,9 @@ a 4-gram is packed into 64 bits. Spark counts the 4-grams of all training texts
 its own first), continuation counts of the lower orders follow from the distinct n-grams above them, and probabilities and
 back-off weights are joined up order by order, as tables sharded by (language, n-gram). Nothing is left out of them.
 
-To score texts, the n-grams and contexts that make up more than `rarest` of their language and order (at most 1 / rarest by
-definition) are broadcast as sorted hash arrays with a bitmap of fixed size for all others (see `perplexity`): a task backs off where an
-n-gram or context was never seen for sure, and what may be in the tables is counted per text and looked up by joins.
+To score texts, the HEAD most frequent n-grams and contexts of each language and order are
+broadcast as sorted hash arrays, with a bitmap of fixed size for all others (see `perplexity`): a task backs off where an
+n-gram or context was never seen for sure, and what may be in the tables but isn't broadcast is counted per text and looked up by joins.
 
 A text gets the language of the least cross-entropy per character. Limits are set by texts left out of the counts, one in
 LEFT_OUT (by the text's hash, so copies go together): what all but one in a hundred of a language's left-out texts stay below,
@@ -38,6 +38,7 @@ from fleetscore.llm.running import quantiles
 ORDER = 4
 UND = "und"
 LEFT_OUT = 16
+HEAD = 100_000
 _BLANK = 32
 
 
@@ -143,10 +144,10 @@ def _tables(counts: list[DataFrame], langs: list[str], base: float) -> tuple[lis
     return grams, contexts
 
 
-def _heads(table: DataFrame, value: str, weight: str, rarest: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language, sorted keys and log values of the rows with more than `rarest` of its weight."""
-    totals = table.groupBy("lang").agg(F.sum(weight).alias("_all"))
-    rows = table.join(totals, "lang").where(F.col(weight) > rarest * F.col("_all")).select("lang", "key", F.log(value).alias("log")).toArrow()
+def _heads(table: DataFrame, value: str, weight: str, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language, sorted keys and log values of the `most` rows of the greatest weight."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(weight), "key"))
+    rows = table.withColumn("_place", place).where(F.col("_place") <= most).select("lang", "key", F.log(value).alias("log")).toArrow()
     langs = np.array(rows.column("lang").to_pylist(), object)
     keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
     out = {}
@@ -192,7 +193,7 @@ def _by_language(models: Models, value) -> Column:
     return F.create_map(*[x for lang, m in models.items() for x in (F.lit(lang), F.lit(float(value(m))))])[F.col("lang")]
 
 
-def train(training: DataFrame, rarest: float = 2e-6) -> Models:
+def train(training: DataFrame, head: int = HEAD) -> Models:
     """Models by language from (text, lang) rows; null texts and null languages are left out."""
     training = training.where("text is not null and lang is not null").select("text", "lang")
     out = F.pmod(F.xxhash64("text"), F.lit(LEFT_OUT)) == 0
@@ -205,7 +206,7 @@ def train(training: DataFrame, rarest: float = 2e-6) -> Models:
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, 16 * k)])[F.col("lang")]
     kinds = [x for k in range(1, ORDER + 1) for x in ((number + k, grams[k - 1]), (number + ORDER + k, contexts[k - 1]))]
     models = Models(grams, contexts, bitmap(kinds))
-    heads = {(name, k): _heads(table[k - 1], *columns, rarest) for k in range(1, ORDER + 1)
+    heads = {(name, k): _heads(table[k - 1], *columns, head) for k in range(1, ORDER + 1)
              for name, table, columns in (("grams", grams, ("p", "n")), ("contexts", contexts, ("gamma", "total")))}
     none = np.zeros(0, np.uint64), np.zeros(0)
     for k, lang in enumerate(langs):
