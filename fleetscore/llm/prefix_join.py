@@ -206,6 +206,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = anew(head.where("not whole").select("node"), None)
     first = kept.unionByName(head.where("whole").select("node", "first")).unionByName(rest.select("node", "first"))
     members = settle(shared(first), "join-members")
+    for used in (kept, head, rest):
+        forget(used)
 
     # Sets of too different sizes can't be linked.
     size = settle(nodes.select("node", "n"), "join-sizes")
@@ -216,10 +218,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(width, "hub").select("hub", F.pmod(F.xxhash64("node"), "width").alias("chunk"), "node")
     centres = stars.select("hub", "chunk").distinct().withColumn("node", F.col("hub"))
     stars = settle(stars.withColumn("place", F.lit(1)).unionByName(centres.withColumn("place", F.lit(0))), "join-stars")
+    sets = sets_of(stars.select("node").distinct())
     dealt = (
-        stars.join(sets_of(stars.select("node").distinct()), "node")
+        stars.join(sets, "node")
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
-    star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-stars")
+    star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-links")
+    forget(sets)
     roots = settle(components(star_links, "join-components"), "join-roots")
     more = cross_links(members.select("key", "node"), roots, size, sets_of, partial(linked, share=share), share, "join")
 
