@@ -58,6 +58,16 @@ def narrow(points: np.ndarray) -> np.ndarray:
     return np.where(points > 0xFFFF, np.uint64(0xD800) + points % np.uint64(8447), points)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place of each key in them; hashed first, so only the distinct ones are sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    unique = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(unique)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return unique[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_BASE, inverse))

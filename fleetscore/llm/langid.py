@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetscore.llm.arrays import column_bytes, narrow, settle, slices
+from fleetscore.llm.arrays import column_bytes, distinct, narrow, settle, slices
 from fleetscore.llm.perplexity import bitmap, resolve
 from fleetscore.llm.running import quantiles
 
@@ -56,9 +56,10 @@ def _grams(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data, offsets = column_bytes(column)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    codes = letters[np.minimum(points, 0xFFFF)]
-    codes[points > 0xFFFF] = _BLANK
-    for c in np.unique(points[points > 0xFFFF]):
+    high = points > 0xFFFF
+    codes = letters[np.where(high, 0xFFFF, points) if high.any() else points]
+    codes[high] = _BLANK
+    for c in np.unique(points[high]):
         if chr(c).isalpha():
             codes[points == c] = narrow(np.array([ord(chr(c).lower()[0])]))[0]
     letter = codes != _BLANK
@@ -71,9 +72,10 @@ def _grams(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarra
     line = np.full(len(kept) + (ORDER - 1) * len(counts), _BLANK, np.uint64)
     at = np.arange(len(kept)) + (ORDER - 1) * (row + 1)
     line[at] = codes[kept]
-    keys = line[at].copy()
+    packed = line.copy()
     for k in range(1, ORDER):
-        keys |= line[at - k] << np.uint64(16 * k)
+        packed[k:] |= line[:-k] << np.uint64(16 * k)
+    keys = packed[at]
     has = np.bincount(row[letter[kept]], minlength=len(counts)) if len(kept) else np.zeros(len(counts), np.int64)
     return keys, counts, has
 
@@ -96,11 +98,10 @@ def _counter(letters: np.ndarray, most: int = 1 << 20):
             keys, counts, _ = _grams(batch.column("text"), letters)
             langs = batch.column("lang").to_pylist()
             for lang in dict.fromkeys(langs):
-                own = np.sort(keys[np.repeat(np.array([x == lang for x in langs]), counts)])
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+                own, place = distinct(keys[np.repeat(np.array([x == lang for x in langs]), counts)])
                 if len(own):
-                    n = np.diff(np.concatenate([first, [len(own)]]))
-                    held[lang] = _add(held.get(lang, (own[:0], n[:0])), own[first], n)
+                    n = np.bincount(place)
+                    held[lang] = _add(held.get(lang, (own[:0], n[:0])), own, n)
                     if len(held[lang][0]) > most:
                         yield rows(lang)
         for lang in list(held):
@@ -251,16 +252,19 @@ def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in slices(batches, "text", 1 << 19):
         keys, counts, has = _grams(batch.column("text"), letters)
         counts = np.where(has > 0, counts, 0)  # texts without letters have no keys
-        row = np.repeat(np.arange(len(counts)), counts)
-        unique, place = np.unique(keys, return_inverse=True)
+        unique, place = distinct(keys)
+        some = np.flatnonzero(counts)
+        first = np.cumsum(counts)[some] - counts[some]
         sums, rare = np.zeros((len(counts), len(models))), []
         for i, (kind, heads, base) in enumerate(models):
             log, settled = resolve(unique, heads, bits, base, kind)
-            sums[:, i] = np.bincount(row, log[place], len(counts))
-            rest = np.flatnonzero(~settled[place])
-            if len(rest):
-                pairs, n = np.unique(np.stack([row[rest], place[rest]], 1), axis=0, return_counts=True)
-                rare.append((pairs[:, 0], np.full(len(n), i), unique[pairs[:, 1]], n))
+            if len(some):
+                sums[some, i] = np.add.reduceat(log[place], first)
+            if not settled.all():
+                rest = np.flatnonzero(~settled[place])
+                row = some[np.searchsorted(first, rest, "right") - 1]
+                pairs, n = np.unique(row * len(unique) + place[rest], return_counts=True)
+                rare.append((pairs // len(unique), np.full(len(n), i), unique[pairs % len(unique)], n))
         beside = [c for c in batch.schema.names if c not in ("text", "row")]
         names = ["row", *beside, "n", "sums", "i", "key", "times"]
         ends = np.arange(0, sums.size + 1, max(len(models), 1), dtype=np.int32)[: len(counts) + 1]
