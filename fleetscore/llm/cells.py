@@ -46,7 +46,12 @@ def spanning(nodes: list, roots: list, ok: np.ndarray) -> list[tuple]:
     return links
 
 
-def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.ndarray]], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        yield batch, [as_set(row) for row in batch.column("shingles")]
+
+
+def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.ndarray]], np.ndarray], read: Callable = stored_sets) -> Iterator[pa.RecordBatch]:
     """Rows in order of (a, b), a pair of cells: links that join components within the pair. `linked` has sets in, all their links out."""
     at, held, kind = None, [], None
 
@@ -63,26 +68,26 @@ def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.nda
                 links = spanning(nodes, roots, ok)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], ["u", "v"])
 
-    for batch in batches:
+    for batch, sets in read(batches):
         kind = batch.schema.field("node").type
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "b"))))
-        rest = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "cell")), batch.column("shingles"))
+        rest = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "cell")), sets)
         for key, (node, root, cell, row) in zip(keys, rest):
             if key != at:
                 if held:
                     yield flush()
                 at, held = key, []
-            held.append((node, root, cell, as_set(row)))
+            held.append((node, root, cell, row))
     if held:
         yield flush()
 
 
 def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame],
-                linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str) -> DataFrame:
+                linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str, read: Callable = stored_sets) -> DataFrame:
     """Links (u, v) that join components of nodes under one key.
 
     members: distinct (key, node); roots: (node, root) of linked nodes, others are their own; sizes: (node, n);
-    sets: (node, shingles), or a function that gives them for nodes (node). Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
+    sets: (node, shingles), or a function that adds to rows with a node what `read` makes sets of. Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
     """
     held = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(
@@ -123,13 +128,13 @@ def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: Da
     inside = at.select("cell", "node", "root").distinct()
     rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).join(inside, "cell")
     if callable(sets):
-        rows = settle(rows, f"{purpose}-rows")
-        sets = sets(rows.select("node").distinct())
-    rows = rows.join(sets, "node")
+        rows = sets(settle(rows, f"{purpose}-rows"))
+    else:
+        rows = rows.join(sets, "node")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "node")
     kind = members.schema["node"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from check_cells(batches, linked)
+        yield from check_cells(batches, linked, read)
 
     return settle(rows.mapInArrow(check, f"u {kind}, v {kind}"), f"{purpose}-links")

@@ -76,10 +76,10 @@ def sign(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int]) -> I
         ], ["doc_id", "t1", "t2", "n_shingles", "print", "first"])
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def sets_of_texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     words = word_hasher()
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_sets(batch, n, words))], ["node", "shingles"])
+        yield batch, _sets(batch, n, words)
 
 
 def heads(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int], times: int | None) -> Iterator[pa.RecordBatch]:
@@ -116,13 +116,12 @@ def enough(both, a, b, share: tuple[int, int]):
     return share[1] * both >= share[0] * (a + b - both)
 
 
-def check_stars(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def check_stars(batches: Iterator[pa.RecordBatch], n: int, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (hub, chunk) with the hub itself first: the members that are linked with it."""
     at, hub, heads = None, None, []
-    for batch in batches:
+    for batch, sets in sets_of_texts(batches, n):
         left, right = [], []
-        for h, c, node, row in zip(*(batch.column(x).to_pylist() for x in ("hub", "chunk", "node")), batch.column("shingles")):
-            s = as_set(row)
+        for h, c, node, s in zip(*(batch.column(x).to_pylist() for x in ("hub", "chunk", "node")), sets):
             own = [np.sort(prefix(s, share, seed)) for seed in ORDERS]
             if (h, c) != at:
                 at, hub, heads = (h, c), s, own
@@ -164,6 +163,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     signed = settle(raw.drop("first", "t1", "t2"), "join-rows")
     forget(raw)
+    named_nodes = settle(nodes.select("print", "node", "least_id", "n"), "join-named-nodes")
 
     def shared(first: DataFrame) -> DataFrame:
         """(key, node, size, hub) for tokens in the prefixes of several nodes."""
@@ -176,14 +176,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = F.xxhash64("d", "t1", "t2").alias("key")
 
     def texts_of(which: DataFrame) -> DataFrame:
-        """(node, text) of some nodes; a bitmap of fixed size keeps most other texts out of the join."""
+        """(d, t1, t2, text, node) of some nodes; a bitmap of fixed size keeps most other texts out of the join."""
         wanted = settle(places.join(which, "node", "left_semi"), "join-wanted")
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(bitmap([(0, wanted.select(hashed))])))
         near = named_texts.withColumn("key", hashed).mapInArrow(partial(_likely, shared), "d string, t1 long, t2 long, text string, key long")
-        return near.drop("key").join(wanted, ["d", "t1", "t2"]).dropDuplicates(["d", "t1", "t2"]).select("node", "text")
+        return near.drop("key").join(wanted, ["d", "t1", "t2"]).dropDuplicates(["d", "t1", "t2"])
 
-    def sets_of(which: DataFrame) -> DataFrame:
-        return settle(texts_of(which).mapInArrow(partial(set_rows, n=shingle), "node long, shingles array<long>"), "join-sets")
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """rows with the texts of their nodes: texts move rather than sets, which are larger and can't be compressed."""
+        found = texts_of(rows.select("node").distinct()).drop("node")
+        return rows.join(places, "node").join(found, ["d", "t1", "t2"]).select(*rows.columns, "text")
 
     members = settle(shared(nodes), "join-members")
     often = F.col("size") >= FREQUENT
@@ -192,9 +194,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "key", F.struct(F.col("key").alias("token"), F.col("size").alias("count")).alias("x")).distinct(), "join-demoted")
     kept = settle(nodes.join(members.select("node").distinct(), "node", "left_semi").join(touched, "node", "left_anti").select("node", "first"), "join-kept")
     forget(members)
+    forget(nodes)
 
     def anew(which: DataFrame, times: int | None) -> DataFrame:
-        first = settle(texts_of(which).mapInArrow(
+        first = settle(texts_of(which).select("node", "text").mapInArrow(
             partial(heads, n=shingle, share=share, times=times), "node long, n long, head array<long>"), "join-heads")
         known = first.select("node", F.explode("head").alias("key")).join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
         out = settle(first.join(known, "node").mapInArrow(
@@ -210,7 +213,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         forget(used)
 
     # Sets of too different sizes can't be linked.
-    size = settle(nodes.select("node", "n"), "join-sizes")
+    size = settle(named_nodes.select("node", "n"), "join-sizes")
     stars = members.where("node != hub").select("hub", "node").distinct().join(size, "node").join(
         size.withColumnsRenamed({"node": "hub", "n": "n_hub"}), "hub").where(
         share[1] * F.least("n", "n_hub") >= share[0] * F.greatest("n", "n_hub")).select("hub", "node")
@@ -218,20 +221,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(width, "hub").select("hub", F.pmod(F.xxhash64("node"), "width").alias("chunk"), "node")
     centres = stars.select("hub", "chunk").distinct().withColumn("node", F.col("hub"))
     stars = settle(stars.withColumn("place", F.lit(1)).unionByName(centres.withColumn("place", F.lit(0))), "join-stars")
-    sets = sets_of(stars.select("node").distinct())
-    dealt = (
-        stars.join(sets, "node")
-        .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node"))
-    star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u long, v long"), "join-links")
-    forget(sets)
+    dealt = with_texts(stars).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "node")
+    star_links = settle(dealt.mapInArrow(partial(check_stars, n=shingle, share=share), "u long, v long"), "join-links")
     roots = settle(components(star_links, "join-components"), "join-roots")
-    more = cross_links(members.select("key", "node"), roots, size, sets_of, partial(linked, share=share), share, "join")
+    more = cross_links(members.select("key", "node"), roots, size, with_texts, partial(linked, share=share), share, "join",
+                       partial(sets_of_texts, n=shingle))
 
     over = more.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(
         roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left").select(
         F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
     tops = components(over, "join-components").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = nodes.select("print", "node", "least_id").join(roots, "node", "left").select(
+    named = named_nodes.select("print", "node", "least_id").join(roots, "node", "left").select(
         "print", "least_id", F.coalesce("root", "node").alias("root")).join(tops, "root", "left").select(
         "print", "least_id", F.coalesce("top", "root").alias("top"))
     least = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
