@@ -274,3 +274,19 @@ def test_one_title_and_one_question_without_bound(spark, make):
     about = [p for p in parts if p.benchmark_questions and {"i7", "i8"} <= {i.instruction_id for i in p.instructions}]
     assert about or _met(parts, [("i7", "i8")]) == 1
     assert any(p.benchmark_questions and "i7" in {i.instruction_id for i in p.instructions} for p in parts)
+
+
+def test_names_of_a_part_are_read_without_its_texts(spark, make):
+    cards = scorecard(spark, {"space_id": "a", "title": "A"}, {"space_id": "none", "title": "N"})
+    ins = make("instructions", *[{"space_id": "a", "instruction_id": None if k == 5 else f"i{k:02d}", "content": f"term{k % 7}"} for k in range(30)])
+    curated = make("curated_questions", {"space_id": "a", "curated_question_id": "q", "question_type": "BENCHMARK"})
+    results = make("eval_results", *[{"space_id": "a", "result_id": f"r{k}", "benchmark_question_id": "q"} for k in range(3)])
+    bundle = evidence.evidence_bundle(cards, ins, curated, results, part_items=8)
+    named = bundle.select("space_id", "part", "instruction_ids", "question_ids", "result_ids")
+    assert "content" not in named._jdf.queryExecution().executedPlan().toString()
+    parts = bundle.collect()
+    assert len(parts) > 5
+    for p in parts:
+        assert p.instruction_ids == [i.instruction_id for i in p.instructions]
+        assert p.question_ids == [q.benchmark_question_id for q in p.benchmark_questions]
+        assert sorted(p.result_ids) == sorted(r.result_id for r in p.benchmark_results)
