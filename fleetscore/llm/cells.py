@@ -82,28 +82,35 @@ def check_cells(batches: Iterator[pa.RecordBatch], linked: Callable[[list[np.nda
         yield flush()
 
 
+def mixed(members: DataFrame, roots: DataFrame, smallest: int = 3) -> DataFrame:
+    """(key, node, root, size, least) for the keys of `smallest` or more nodes that lie in several components; of keys with the same nodes, one."""
+    held = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = held.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("least"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where(f"a != b and size >= {smallest}")
+    once = several.groupBy("size", "a", "b", "who").agg(F.min(F.struct("key", "least")).alias("x")).select("size", "x.*")
+    return held.join(once, "key")
+
+
 def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame],
-                linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str, read: Callable = stored_sets) -> DataFrame:
+                linked: Callable[[list[np.ndarray]], np.ndarray], share: tuple[int, int], purpose: str, read: Callable = stored_sets,
+                smallest: int = 3, most: int = CELL) -> DataFrame:
     """Links (u, v) that join components of nodes under one key.
 
     members: distinct (key, node); roots: (node, root) of linked nodes, others are their own; sizes: (node, n);
     sets: (node, shingles), or a function that adds to rows with a node what `read` makes sets of. Linked sets are of a similarity of share[0] / share[1] at least, so their sizes are too.
+    smallest: keys of fewer nodes are settled already, those of two by the star of their least node. most: nodes of a cell, about.
     """
-    held = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("least"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a != b and size > 2")
-    once = mixed.groupBy("size", "a", "b", "who").agg(F.min(F.struct("key", "least")).alias("x")).select("size", "x.*")
-    held = settle(held.join(once, "key"), f"{purpose}-held")
+    held = settle(mixed(members, roots, smallest), f"{purpose}-held")
 
     wide = math.log(share[1] / share[0]) * (1 + 1e-9) or 1e-9
     family = held.groupBy("node").agg(F.min("least").alias("family"), F.min("root").alias("root")).join(sizes, "node")
     family = settle(family.select(
         "node", "family", "root", "n", F.floor(F.log("n") / wide).alias("band")), f"{purpose}-families")
-    many = family.groupBy("family", "root").agg(F.count("*").alias("c")).where(F.col("c") >= CELL).select(
+    many = family.groupBy("family", "root").agg(F.count("*").alias("c")).where(F.col("c") >= most).select(
         "family", "root", F.col("root").alias("pure"))
     parted = family.join(many, ["family", "root"], "left").withColumn("part", F.xxhash64("pure"))
-    width = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("width")
+    width = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("width")
     widths = parted.groupBy("family", "part", "band").agg(width)
     place = parted.join(widths, ["family", "part", "band"]).select(
         "node", "n", "band", F.xxhash64("family", "part", "band", F.pmod(F.xxhash64("node"), "width")).alias("cell"))
@@ -111,7 +118,7 @@ def cross_links(members: DataFrame, roots: DataFrame, sizes: DataFrame, sets: Da
 
     # Keys of many families: cells of their own.
     spread = placed.groupBy("key").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("m"), width)
-    spread = spread.select("key", "width", (F.col("cells") > 8 + 4 * F.ceil(F.col("m") / CELL)).alias("alone"))
+    spread = spread.select("key", "width", (F.col("cells") > 8 + 4 * F.ceil(F.col("m") / most)).alias("alone"))
     own = F.xxhash64("key", "band", F.pmod(F.xxhash64("node"), "width"), F.lit(1))
     at = settle(placed.join(spread, "key").select(
         "key", "node", "root", "band", F.when(F.col("alone"), own).otherwise(F.col("cell")).alias("cell")), f"{purpose}-cells")

@@ -6,9 +6,10 @@
 2. Equal sets become one node, so groups of copies are counted, never paired.
 3. Nodes that share a bucket of a band are linked to the bucket's least node only (a star), and these
    candidate edges are verified on full sets. Large stars are dealt out over chunks of members.
-4. A bucket that still holds several components may hide a link between two members that aren't its hub. These are
-   verified cell by cell (see `cells`): what meets in several buckets is verified once, one component isn't held
-   against itself, and no rows of pairs are made.
+4. A bucket that still holds several components may hide a link between two members that aren't its hub. Of the members
+   of such buckets, linked ones share a shingle among the rarest of their sets (a prefix under the order of counts), so only
+   these groups are verified, cell by cell (see `cells`): unlinked near copies of one text share hardly any, one
+   component isn't held against itself, and no rows of pairs are made.
 5. Components of the links by star contraction; every row gets the smallest doc_id of its component.
 
 Rows that are equal in text are one node whatever their ids. No words or no text: the empty set, linked with
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.llm.arrays import column_bytes, mix, settle, shingles, slices, text_key, word_hasher
-from fleetscore.llm.cells import as_set, cross_links
+from fleetscore.llm.cells import CELL, as_set, cross_links, mixed
 
 BINS = 256
 CHUNK = 256  # members of a star that are verified together
+BLOCK = CELL  # nodes of a cell, about
 
 
 def sequences(steps: int = 64) -> np.ndarray:
@@ -159,6 +161,19 @@ def linked(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
     return _enough(overlaps(sets), size[:, None], size[None, :], share)
 
 
+def rare_shingles(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(key, node): the shingles of each set that come first in order of their counts in all of `sets`, and that several sets have.
+
+    Sets that are linked share one: a set of n needs ceil(share * n) in common, and all but that many less one are taken.
+    """
+    each = sets.select("node", F.explode("shingles").alias("key"))
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("c")), "key")
+    first = F.sort_array(F.collect_list(F.struct("c", F.xxhash64("key").alias("h"), "key")))
+    length = F.expr(f"cast(size(x) - ({share[0]}L * size(x) + {share[1] - 1}) div {share[1]} + 1 as int)")
+    ordered = counted.groupBy("node").agg(first.alias("x"))
+    return ordered.select("node", F.explode(F.slice("x", F.lit(1), length)).alias("x")).where("x.c > 1").select("x.key", "node")
+
+
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) for every node of links (u, v): root is the least node of its connected component.
 
@@ -234,7 +249,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     star_links = settle(dealt.mapInArrow(partial(check_stars, share=share), "u binary, v binary"), "star-links")
 
     roots = settle(components(star_links), "roots")
-    more_links = cross_links(members.select("key", "node"), roots, nodes.select("node", "n"), sets, partial(linked, share=share), share, "bands")
+    apart = settle(mixed(members.select("key", "node"), roots).select("node").distinct(), "bands-apart")
+    rare = settle(rare_shingles(sets.join(apart, "node", "left_semi"), share), "bands-rare")
+    more_links = cross_links(rare, roots, nodes.select("node", "n"), sets, partial(linked, share=share), share, "bands", smallest=2, most=BLOCK)
 
     # A component of star links is one node from here on.
     over = more_links.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(
