@@ -4,9 +4,9 @@ The model counts character 4-grams (case, digits and marks count as they are, wh
 into 64 bits. Each task counts its own first; the sums, the continuation counts of the lower orders, the three
 discounts of each order and the contexts' totals are grouped and joined as tables sharded by n-gram.
 
-A text's perplexity needs the probabilities of its n-grams. The n-grams and contexts that make up more than `rarest` of
-their order, at most 1 / rarest by definition, are broadcast, and so is a bitmap of fixed size with a bit for each n-gram
-and context of the model. A task finds what is in the broadcast tables, and backs off where the bitmap says for sure that an
+A text's perplexity needs the probabilities of its n-grams. The 1 / rarest most frequent n-grams and contexts of
+each order, less those as frequent as the first one left out, are broadcast, and so is a bitmap of fixed size with a bit for
+each n-gram and context of the model. A task finds what is in the broadcast tables, and backs off where the bitmap says for sure that an
 n-gram or context was never seen. What may be in the model but isn't broadcast is looked up by joins: such n-grams are counted
 per document, their distinct keys joined with the sharded tables order by order, backing off where an order lacks one, and the
 sums joined to the documents. Nothing is pruned: every n-gram gets its full interpolated probability.
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,7 +202,7 @@ def resolve(keys: np.ndarray, heads: dict, bits: np.ndarray, base: float, kind:
 
 def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a text to a row per document (n-grams, log p of those settled here) and a row per document and other n-gram."""
-    heads, bits, base = pickle.loads(shared.value)
+    heads, bits, base = shared.value
     for batch in slices(batches, "text", 1 << 19):
         keys, counts = grams(batch.column("text"))
         row = np.repeat(np.arange(len(counts)), counts)
@@ -222,9 +221,11 @@ def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _head(table: DataFrame, value: str, weight: str, rarest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and log values of the rows with more than `rarest` of all weight."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    rows = table.where(F.col(weight) > rarest * total).select("key", F.log(value).alias("log")).toArrow()
+    """Sorted keys and log values of the 1 / rarest rows of the greatest weight at most; rows of one weight go together."""
+    sizes = table.groupBy(weight).agg(F.count("*").alias("rows")).toPandas().sort_values(weight, ascending=False)
+    kept = sizes[weight][sizes["rows"].cumsum() <= (1 / rarest if rarest else np.inf)]
+    least = int(kept.iloc[-1]) if len(kept) else 2**63 - 1
+    rows = table.where(F.col(weight) >= least).select("key", F.log(value).alias("log")).toArrow()
     keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
     order = np.argsort(keys)
     return keys[order], logs[order]
@@ -238,7 +239,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, rarest: float = 2e-6) -> D
         heads["grams", k] = _head(model.grams[k - 1], "p", "n", rarest)
         heads["contexts", k] = _head(model.contexts[k - 1], "gamma", "total", rarest)
         kinds += [(k, model.grams[k - 1]), (ORDER + k, model.contexts[k - 1])]
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((heads, bitmap(kinds), model.base)))
+    shared = docs.sparkSession.sparkContext.broadcast((heads, bitmap(kinds), model.base))
     t1, t2 = text_key(F.coalesce("text", F.lit("")))
     rows = docs.withColumns({"t1": t1, "t2": t2, "text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
     beside = [c for c in rows.columns if c not in ("text", "row")]

@@ -483,6 +483,14 @@ def test_nearest_codes_are_exact(spark):
     assert topk.nearest(empty(df), empty(df)).count() == 0
 
 
+def test_frequent_ngrams_are_broadcast_up_to_a_number(spark):
+    """However large a model is, as many of its n-grams are broadcast; rows of one weight go together."""
+    table = spark.range(1, 101).select(F.col("id").alias("key"), F.floor((F.col("id") + 1) / 2).alias("n"), F.lit(0.5).alias("p"))
+    keys = lambda rarest: perplexity._head(table, "p", "n", rarest)[0].tolist()
+    assert keys(1 / 40) == list(range(61, 101)) and keys(1 / 41) == keys(1 / 40)
+    assert keys(1e-6) == keys(0) == list(range(1, 101)) and keys(1) == []
+
+
 # --- near-duplicates
 
 def test_near_duplicates_are_those_of_all_pairs(spark, prose):
@@ -516,6 +524,25 @@ def test_links_that_no_hub_sees(spark, prose, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(brute.near_duplicates(rows))
 
 
+def test_unlinked_near_copies_are_not_held_against_each_other(spark, prose, monkeypatch):
+    """A family that shares buckets, but whose sets differ too much: no group of candidates grows with it."""
+    words = prose(150).split()
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        changed = list(words)
+        for j in rng.sample(range(150), 9):
+            changed[j] = f"w{k}x{j}"
+        rows.append((k, " ".join(changed)))
+    rows += [(100 + k, f"{rows[k][1]} end") for k in range(0, 60, 7)]
+    seen = []
+    whole = neardup.cross_links
+    monkeypatch.setattr(neardup, "cross_links", lambda members, *a, **b: seen.append(members) or whole(members, *a, **b))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(brute.near_duplicates(rows))
+    assert max((r["count"] for r in seen[0].groupBy("key").count().collect()), default=0) <= 6
+
+
 def test_densified_bins_agree_for_equal_sets():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, (20, neardup.BINS)).astype(np.uint64)
