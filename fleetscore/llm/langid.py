@@ -21,12 +21,10 @@ Ties go to the language that sorts first. Labels are compared as they are; null
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,11 +147,12 @@ def _heads(table: DataFrame, value: str, weight: str, most: int) -> dict[str, tu
     """Per language, sorted keys and log values of the `most` rows of the greatest weight."""
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(weight), "key"))
     rows = table.withColumn("_place", place).where(F.col("_place") <= most).select("lang", "key", F.log(value).alias("log")).toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), object)
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    langs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
     out = {}
-    for lang in dict.fromkeys(langs.tolist()):
-        own = langs == lang
+    for code, lang in enumerate(langs):
+        own = codes == code
         order = np.argsort(keys[own])
         out[lang] = keys[own][order], logs[own][order]
     return out
@@ -248,7 +247,7 @@ def _set_random(spark: SparkSession, models: Models, letters: DataFrame) -> None
 
 def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a text to a row per text (n, log p by language of what is settled here) and a row per text, language and other n-gram."""
-    models, bits, letters = pickle.loads(shared.value)
+    models, bits, letters = shared.value
     for batch in slices(batches, "text", 1 << 19):
         keys, counts, has = _grams(batch.column("text"), letters)
         counts = np.where(has > 0, counts, 0)  # texts without letters have no keys
@@ -281,8 +280,7 @@ def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def entropies(docs: DataFrame, models: Models) -> DataFrame:
     """docs' columns but the text, n (characters; 0 without letters) and h: cross-entropy by language, in order of the names."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(
-        ([(m.kind, m.heads, m.base) for m in models.values()], models.bits, _letters())))
+    shared = docs.sparkSession.sparkContext.broadcast(([(m.kind, m.heads, m.base) for m in models.values()], models.bits, _letters()))
     rows = docs.withColumns({"text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
     beside = [c for c in rows.columns if c not in ("text", "row")]
     kind = ", ".join(["row long", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in beside], "n long, sums array<double>, i int, key long, times long"])

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -491,6 +492,15 @@ def test_frequent_ngrams_are_broadcast_up_to_a_number(spark):
     assert keys(1e-6) == keys(0) == list(range(1, 101)) and keys(1) == []
 
 
+def test_broadcast_tables_are_not_held_as_bytes_too(spark, prose, monkeypatch):
+    """Workers and driver hold the arrays of a model, not a pickled copy beside them."""
+    sent, whole = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or whole(self, value))
+    docs = spark.createDataFrame([(k, prose(20), "en") for k in range(12)], "doc_id long, text string, lang string")
+    assert langid.identify(docs).count() == 12
+    assert sent and not any(isinstance(value, bytes) for value in sent)
+
+
 # --- near-duplicates
 
 def test_near_duplicates_are_those_of_all_pairs(spark, prose):
