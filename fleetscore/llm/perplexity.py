@@ -19,10 +19,9 @@ Without trusted text no document has a perplexity. Rows equal in doc_id and text
 
 from __future__ import annotations
 
-import pickle
+import zlib
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -151,16 +150,37 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array(list(held), pa.int64()), pa.array([np.packbits(m).tobytes() for m in held.values()], pa.binary())], ["page", "bits"])
 
 
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zlib.compress(b.as_buffer(), 1) for b in batch.column("bits")]
+        yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(packed, pa.binary())], ["page", "bits"])
+
+
+class Packed:
+    """A bitmap that is pickled compressed: a broadcast of it takes the driver what its set bits need, and workers get the array."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(self.bits, 1),)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
+
+
 def bitmap(tables: list[tuple[int | Column, DataFrame]]) -> np.ndarray:
-    """The bits of all (kind, keys); the driver gathers 2 ** BITS bits at most."""
+    """The bits of all (kind, keys); the driver gathers 2 ** BITS bits at most, compressed and in four parts."""
     parts = None
     for kind, keys in tables:
         kind = kind if isinstance(kind, Column) else F.lit(kind)
         part = keys.select("key", kind.cast("int").alias("kind")).mapInArrow(_pages, "page long, bits binary")
         parts = part if parts is None else parts.unionByName(part)
     out = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in parts.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
-        out[r.page * _PAGE // 8: (r.page + 1) * _PAGE // 8] = np.frombuffer(r.bits, np.uint8)[: _PAGE // 8]
+    pages = parts.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).mapInArrow(_shrunk, "page long, bits binary")
+    for r in pages.repartition(4).toLocalIterator():
+        out[r.page * _PAGE // 8: (r.page + 1) * _PAGE // 8] = _unpacked(r.bits)[: _PAGE // 8]
     return out
 
 
@@ -239,14 +259,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, rarest: float = 2e-6) -> D
         heads["grams", k] = _head(model.grams[k - 1], "p", "n", rarest)
         heads["contexts", k] = _head(model.contexts[k - 1], "gamma", "total", rarest)
         kinds += [(k, model.grams[k - 1]), (ORDER + k, model.contexts[k - 1])]
-    shared = docs.sparkSession.sparkContext.broadcast((heads, bitmap(kinds), model.base))
+    shared = docs.sparkSession.sparkContext.broadcast((heads, Packed(bitmap(kinds)), model.base))
     t1, t2 = text_key(F.coalesce("text", F.lit("")))
     rows = docs.withColumns({"t1": t1, "t2": t2, "text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
     beside = [c for c in rows.columns if c not in ("text", "row")]
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in beside)
     scored = settle(rows.select("row", *beside, "text").mapInArrow(
         lambda batches: _scorer(shared, batches), f"row long, {kind}, key long, n long, logs double"), "scored")
-    shared.unpersist()
+    shared.destroy()
     whole = scored.where("logs is not null").drop("key")
     rare = scored.where("logs is null").select("row", "key", "n")
     tail = rare.join(model.probabilities(rare), "key").groupBy("row").agg(F.sum(F.col("n") * F.log("p")).alias("_tail"))
@@ -261,26 +281,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         F.max("quality").alias("q"), F.max("toxic").alias("t")).where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("doc_id")
 
 
-def _members(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    bits = pickle.loads(shared.value)
+def _members(batches: Iterator[pa.RecordBatch], bitmaps: list, last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows whose key is in all bitmaps, or in all but the last of them."""
     for batch in batches:
-        yield batch.filter(pa.array(maybe(bits, batch.column("key").to_numpy().view(np.uint64), 0)))
+        keys = batch.column("key").to_numpy().view(np.uint64)
+        held = [maybe(shared.value, keys, kind) for kind, shared in enumerate(bitmaps)]
+        yield batch.filter(pa.array(np.logical_and.reduce([*held[:-1], held[-1] == last])))
 
 
 def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """Texts of the documents whose id is in good; a bitmap of fixed size keeps most others out of the join."""
+    """Texts of the documents whose id is in good, one row per document; the ids are compared, few texts move.
+
+    One bitmap of fixed size has all ids of good, a second one the other ids that the first lets through. What is in the first
+    alone is trusted for sure; what is in both, a small share, is joined.
+    """
+    context = docs.sparkSession.sparkContext
     key = F.xxhash64("doc_id").alias("key")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(bitmap([(0, good.select(key))])))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    near = docs.where("doc_id is not null and text is not null").select("doc_id", "text", key).mapInArrow(
-        lambda batches: _members(batches, shared), f"doc_id {kind}, text string, key long")
-    return near.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", key, "text")
+    first = context.broadcast(Packed(bitmap([(0, good.select(key))])))
+    let_in = own.select("doc_id", "key").mapInArrow(lambda batches: _members(batches, [first]), f"doc_id {kind}, key long")
+    both = [first, context.broadcast(Packed(bitmap([(1, let_in.join(good, "doc_id", "left_anti").select("key"))])))]
+    sure, likely = (own.mapInArrow(lambda batches, last=last: _members(batches, both, last), f"doc_id {kind}, key long, text string")
+                    for last in (False, True))
+    return sure.unionByName(likely.join(good, "doc_id", "left_semi")).select("doc_id", "text")
 
 
 def quality(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFrame:
     """doc_id, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
     good = settle(trusted_ids(labels), "trusted")
-    trusted = settle(trusted_texts(docs, good).select("text"), "trusted-texts")
+    trusted = trusted_texts(docs, good).select("text")
     scored = settle(perplexities(docs.select("doc_id", "lang", "text"), trusted).select("doc_id", "lang", "perplexity"), "scores")
     own = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select(
         F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")).alias("_lang"), "perplexity")

@@ -9,8 +9,10 @@ import random
 import sys
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
@@ -501,6 +503,23 @@ def test_broadcast_tables_are_not_held_as_bytes_too(spark, prose, monkeypatch):
     assert sent and not any(isinstance(value, bytes) for value in sent)
 
 
+def test_trusted_texts_are_exact_and_hardly_move(spark):
+    """Only what both bitmaps have is joined: ids that share a bit with trusted ones, and trusted ones that share one with these."""
+    docs = spark.createDataFrame(
+        [(k % 4000, f"text {k}") for k in range(5000)] + [(None, "none"), (3, None), (-7, "below")], "doc_id long, text string")
+    good = spark.createDataFrame([(k,) for k in range(0, 4000, 3)] + [(-7,), (9999,)], "doc_id long")
+    want = sorted([(k % 4000, f"text {k}") for k in range(5000) if k % 4000 % 3 == 0] + [(-7, "below")])
+    found = perplexity.trusted_texts(docs, good)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")
+    every, none = (SimpleNamespace(value=np.full((1 << perplexity.BITS) // 8, x, np.uint8)) for x in (255, 0))
+    batch = pa.RecordBatch.from_pydict({"key": np.arange(9)})
+    rows = lambda *a: sum(b.num_rows for b in perplexity._members([batch], *a))
+    assert [rows([every]), rows([none])] == [9, 0]
+    assert [rows([every, x], last) for x in (every, none) for last in (True, False)] == [9, 0, 0, 9] and rows([none, every]) == 0
+
+
 # --- near-duplicates
 
 def test_near_duplicates_are_those_of_all_pairs(spark, prose):
