@@ -25,7 +25,6 @@ result. An empty table gives no rows. Other columns, whatever their names, are n
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from fleetscore.llm.arrays import forget, mix, settle, slices, text_key, word_hasher
 from fleetscore.llm.cells import as_set, cross_links
 from fleetscore.llm.neardup import _sets, components, overlaps
-from fleetscore.llm.perplexity import bitmap, maybe
+from fleetscore.llm.perplexity import Packed, bitmap, maybe
 
 FREQUENT, HEAD = 8, 2
 ORDERS = (0xA5A5_5A5A_1234_5678, 0x0F1E_2D3C_4B5A_6978)  # seeds of the second and third order
@@ -107,9 +106,14 @@ def prefixes_anew(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) ->
 
 
 def _likely(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = pickle.loads(shared.value)
     for batch in batches:
-        yield batch.filter(pa.array(maybe(bits, batch.column("key").to_numpy().view(np.uint64), 0)))
+        yield batch.filter(pa.array(maybe(shared.value, batch.column("key").to_numpy().view(np.uint64), 0)))
+
+
+def late_tokens(heads: DataFrame, demoted: DataFrame, likely) -> DataFrame:
+    """(node, demoted): the tokens of each head that are in the table of demoted ones; a bitmap of fixed size, broadcast, keeps most others from moving."""
+    asked = heads.select("node", F.explode("head").alias("key")).mapInArrow(partial(_likely, likely), "node long, key long")
+    return asked.join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
 
 
 def enough(both, a, b, share: tuple[int, int]):
@@ -178,7 +182,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def texts_of(which: DataFrame) -> DataFrame:
         """(d, t1, t2, text, node) of some nodes; a bitmap of fixed size keeps most other texts out of the join."""
         wanted = settle(places.join(which, "node", "left_semi"), "join-wanted")
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(bitmap([(0, wanted.select(hashed))])))
+        shared = docs.sparkSession.sparkContext.broadcast(Packed(bitmap([(0, wanted.select(hashed))])))
         near = named_texts.withColumn("key", hashed).mapInArrow(partial(_likely, shared), "d string, t1 long, t2 long, text string, key long")
         return near.drop("key").join(wanted, ["d", "t1", "t2"]).dropDuplicates(["d", "t1", "t2"])
 
@@ -196,11 +200,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(members)
     forget(nodes)
 
+    likely = docs.sparkSession.sparkContext.broadcast(Packed(bitmap([(0, demoted.select("key"))])))
+
     def anew(which: DataFrame, times: int | None) -> DataFrame:
         first = settle(texts_of(which).select("node", "text").mapInArrow(
             partial(heads, n=shingle, share=share, times=times), "node long, n long, head array<long>"), "join-heads")
-        known = first.select("node", F.explode("head").alias("key")).join(demoted, "key").groupBy("node").agg(F.collect_list("x").alias("demoted"))
-        out = settle(first.join(known, "node").mapInArrow(
+        out = settle(first.join(late_tokens(first, demoted, likely), "node").mapInArrow(
             partial(prefixes_anew, share=share), "node long, first array<long>, whole boolean"), "join-prefixes")
         forget(first)
         return out
@@ -208,6 +213,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     head = anew(touched, HEAD)
     rest = anew(head.where("not whole").select("node"), None)
     first = kept.unionByName(head.where("whole").select("node", "first")).unionByName(rest.select("node", "first"))
+    likely.destroy()
     members = settle(shared(first), "join-members")
     for used in (kept, head, rest):
         forget(used)

@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from fleetscore.llm import cells, neardup, prefix_join  # noqa: E402
+from fleetscore.llm.perplexity import Packed, bitmap  # noqa: E402
 
 DOCS = "doc_id long, text string, key string, node string"
 
@@ -91,3 +92,14 @@ def test_cells_join_components_of_one_key(spark):
         finally:
             cells.CELL = before
         assert {(r.u, r.v) for r in links} >= {(k, k + 1) for k in range(1, n - 1)}
+
+
+def test_only_likely_demoted_tokens_move(spark):
+    """Tokens that no set has demoted drop out by a bitmap before the join."""
+    heads = spark.createDataFrame([(1, [5, 6, 7]), (2, [8, 9]), (3, [6])], "node long, head array<long>")
+    demoted = spark.createDataFrame([(6, (6, 9)), (9, (9, 12))], "key long, x struct<token:long, count:long>")
+    likely = spark.sparkContext.broadcast(Packed(bitmap([(0, demoted.select("key"))])))
+    found = prefix_join.late_tokens(heads, demoted, likely)
+    assert sorted((r.node, [tuple(x) for x in r.demoted]) for r in found.collect()) == [(1, [(6, 9)]), (2, [(9, 12)]), (3, [(6, 9)])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
