@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetscore.llm.arrays import column_bytes, distinct, narrow, settle, slices
-from fleetscore.llm.perplexity import bitmap, resolve
+from fleetscore.llm.perplexity import Packed, bitmap, resolve
 from fleetscore.llm.running import quantiles
 
 ORDER = 4
@@ -172,6 +172,20 @@ class Models(dict):
     def __init__(self, grams: list[DataFrame], contexts: list[DataFrame], bits: np.ndarray):
         super().__init__()
         self.grams, self.contexts, self.bits = grams, contexts, bits
+        self._shared = None
+
+    def shared(self, spark: SparkSession):
+        """What tasks need of the models, broadcast once for all uses until `release`."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(
+                ([(m.kind, m.heads, m.base) for m in self.values()], Packed(self.bits), _letters()))
+        return self._shared
+
+    def release(self) -> None:
+        """Take the broadcast from the executors and the driver; a later use makes it anew."""
+        if self._shared is not None:
+            self._shared.destroy()
+            self._shared = None
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
         """(lang, key, p) for every distinct (lang, key), seen or not."""
@@ -280,12 +294,11 @@ def _scorer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def entropies(docs: DataFrame, models: Models) -> DataFrame:
     """docs' columns but the text, n (characters; 0 without letters) and h: cross-entropy by language, in order of the names."""
-    shared = docs.sparkSession.sparkContext.broadcast(([(m.kind, m.heads, m.base) for m in models.values()], models.bits, _letters()))
+    shared = models.shared(docs.sparkSession)
     rows = docs.withColumns({"text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
     beside = [c for c in rows.columns if c not in ("text", "row")]
     kind = ", ".join(["row long", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in beside], "n long, sums array<double>, i int, key long, times long"])
     scored = settle(rows.select("row", *beside, "text").mapInArrow(lambda batches: _scorer(shared, batches), kind), "lang-scores")
-    shared.unpersist()
     whole = scored.where("key is null").select("row", *beside, "n", "sums")
     if not models:
         return whole.select(*beside, F.lit(0).cast("long").alias("n"), F.col("sums").alias("h"))
@@ -301,6 +314,7 @@ def entropies(docs: DataFrame, models: Models) -> DataFrame:
 def decisions(docs: DataFrame, models: Models) -> DataFrame:
     """docs' columns but the text, and lang_pred, score, cross_entropy, accepted."""
     found = entropies(docs, models)
+    models.release()
     beside = [c for c in found.columns if c not in ("n", "h")]
     some = F.col("n") > 0
     least = F.array_min("h")

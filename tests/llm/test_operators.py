@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import pickle
 import random
 import sys
 from collections import Counter
@@ -503,6 +504,17 @@ def test_broadcast_tables_are_not_held_as_bytes_too(spark, prose, monkeypatch):
     assert sent and not any(isinstance(value, bytes) for value in sent)
 
 
+def test_a_model_is_broadcast_once_and_compressed(spark, prose, monkeypatch):
+    """The driver keeps one copy for calibration and decisions, of about the size of what is set in the bitmap."""
+    sent, whole = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or whole(self, value))
+    docs = spark.createDataFrame([(k, prose(20), "en") for k in range(40)], "doc_id long, text string, lang string")
+    models = langid.train(docs.select("text", "lang"))
+    once = sorted(map(tuple, langid.decisions(docs, models).collect()))
+    assert len(sent) == 1 and sent[0] < (1 << perplexity.BITS) // 8 // 4
+    assert sorted(map(tuple, langid.decisions(docs, models).collect())) == once and len(sent) == 2
+
+
 def test_trusted_texts_are_exact_and_hardly_move(spark):
     """Only what both bitmaps have is joined: ids that share a bit with trusted ones, and trusted ones that share one with these."""
     docs = spark.createDataFrame(
