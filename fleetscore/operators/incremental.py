@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscore.functions.columns import instant_of
@@ -55,6 +55,11 @@ def incremental_filter(df: DataFrame, cutoff: DataFrame) -> DataFrame:
 
     The cutoff is a scalar subquery, so it is also used to skip row groups of the scan.
     """
+    return df.where(updated_since(cutoff))
+
+
+def updated_since(cutoff: DataFrame) -> Column:
+    """The condition of `incremental_filter`; never null."""
     since = F.coalesce(cutoff.select("cutoff_ts").scalar(), F.lit("0001-01-01").cast("timestamp"))
     updated = F.col("last_updated_ts")
-    return df.where(updated.isNull() | (updated >= since))
+    return updated.isNull() | (updated >= since)

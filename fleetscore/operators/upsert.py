@@ -31,10 +31,14 @@ def latest_per_key(
 
     `incomplete_keys` counts the rows that lack a part of the key.
     """
+    return newest_rows(source, keys, newest_first(source, keys, order_by), null_is_key)
+
+
+def newest_first(source: DataFrame, keys: list[str], order_by: str | None, *then: Column) -> list[Column]:
+    """The order of the rows of a key: newest first, among equals by `then`, and at last by the hash of their values."""
     rest = [c for c in source.columns if c not in keys and c != order_by]
     newest = [F.col(order_by).desc_nulls_last()] if order_by else []
-    order = [*newest, F.xxhash64(*rest).desc() if rest else F.lit(0).asc()]
-    return newest_rows(source, keys, order, null_is_key)
+    return [*newest, *then, F.xxhash64(*rest).desc() if rest else F.lit(0).asc()]
 
 
 def incomplete_keys(source: DataFrame, keys: list[str]) -> DataFrame:

@@ -335,3 +335,37 @@ def test_daily_run(spark, tmp_path):
 
     for name in ("space_scorecard", "space_improvements", "fleet_rollup", "benchmark_run_trend", "feedback_flags"):
         assert quality.key_violations(gold[name], PRIMARY_KEYS[name]).count() == 0, name
+
+
+def _page(conversation, updated, offset, *message_ids, status="COMPLETED"):
+    messages = [{"message_id": m, "status": status, "created_timestamp": 1704067200000} for m in message_ids]
+    return (json.dumps({"space_id": "s", "conversation": {"conversation_id": conversation, "last_updated_timestamp": updated},
+                        "offset": offset, "messages": messages}),)
+
+
+def test_messages_on_changed_first_pages_need_no_lookup(spark, rows, tmp_path, monkeypatch):
+    """Rows of pages that show a changed conversation themselves go straight to the merge."""
+    def refuse(*_):
+        raise AssertionError("messages were joined with the conversations of their own pages")
+
+    monkeypatch.setattr(landing, "same_keys", refuse)
+    raw = spark.createDataFrame([_page("a", None, 0, "1", "2"), _page("a", None, 0, "2"), _page("b", None, 0)], "payload string")
+    days = landing.land_conversations(spark, raw, str(tmp_path), "2024-01-05")
+    assert len(days["message_details"]) == 1
+    assert [r["message_id"] for r in rows(bronze.read_merged(spark, f"{tmp_path}/message_details"), "message_id")] == ["1", "2"]
+    found = rows(bronze.read_merged(spark, f"{tmp_path}/conversations"), "conversation_id", "message_count")
+    assert [(r["conversation_id"], r["message_count"]) for r in found] == [("a", 2), ("b", 0)]
+
+
+def test_messages_on_later_pages_go_with_their_conversation(spark, rows, tmp_path):
+    day = lambda n: 1704067200000 + n * 86400000
+    first = spark.createDataFrame([_page("a", day(0), 0, "1")], "payload string")
+    landing.land_conversations(spark, first, str(tmp_path), "2024-01-05")
+    again = spark.createDataFrame([
+        _page("a", day(1), 0, "1", status="FAILED"), _page("a", day(1), 1, "9"),  # not changed since the harvest
+        _page("b", day(6), 0, "3"), _page("b", None, 1, "4"), _page("c", None, 1, "5"), _page("b", day(6), 0, "3"), ("{",)], "payload string")
+    landing.land_conversations(spark, again, str(tmp_path), "2024-01-07")
+    found = rows(bronze.read_merged(spark, f"{tmp_path}/message_details"), "conversation_id", "message_id", "status")
+    assert [tuple(r.values()) for r in found] == [("a", "1", "COMPLETED"), ("b", "3", "COMPLETED"), ("b", "4", "COMPLETED")]
+    found = rows(bronze.read_merged(spark, f"{tmp_path}/conversations"), "conversation_id", "message_count")
+    assert [tuple(r.values()) for r in found] == [("a", 1), ("b", 2)]
