@@ -21,7 +21,9 @@ Ties go to the language that sorts first. Labels are compared as they are; null
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,21 +112,23 @@ def _counter(letters: np.ndarray, most: int = 1 << 20):
 
 def _counted(training: DataFrame) -> list[DataFrame]:
     """Counts (lang, key, n) of the orders 1 to ORDER; below the highest, n is the number of distinct predecessors."""
-    top = settle(training.mapInArrow(_counter(_letters()), "lang string, key long, n long")
-                 .groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
-    out = [top]
+    out = [settle(training.mapInArrow(_counter(_letters()), "lang string, key long, n long")
+                  .groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-counts")]
     for k in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (16 * k)) - 1)
-        out.append(out[-1].groupBy("lang", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n")))
+        lower = out[-1].groupBy("lang", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n"))
+        out.append(settle(lower, "lang-counts"))
     return out[::-1]
 
 
 def _tables(counts: list[DataFrame], langs: list[str], base: float) -> tuple[list[DataFrame], list[DataFrame]]:
     """Per order, grams (lang, key, n, p) and contexts (lang, key, gamma, total)."""
     grams, contexts = [], []
+    few = [rows.where("n <= 2").select(F.lit(k).alias("k"), "lang", "n") for k, rows in enumerate(counts, 1)]
+    found = {(r.k, r.lang): (r.n1, r.n2) for r in reduce(DataFrame.unionByName, few).groupBy("k", "lang").agg(
+        F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
     for k, rows in enumerate(counts, 1):
-        seen = {r.lang: (r.n1, r.n2) for r in rows.groupBy("lang").agg(
-            F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+        seen = {lang: found.get((k, lang), (0, 0)) for lang in langs}
         steps = {lang: min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 and n2 else 0.5 for lang, (n1, n2) in seen.items()}
         off = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])[F.col("lang")]
         own = rows.withColumns({"off": off, "context": F.shiftrightunsigned("key", 16)})
@@ -143,18 +147,31 @@ def _tables(counts: list[DataFrame], langs: list[str], base: float) -> tuple[lis
     return grams, contexts
 
 
-def _heads(table: DataFrame, value: str, weight: str, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language, sorted keys and log values of the `most` rows of the greatest weight."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(weight), "key"))
-    rows = table.withColumn("_place", place).where(F.col("_place") <= most).select("lang", "key", F.log(value).alias("log")).toArrow()
-    coded = rows.column("lang").combine_chunks().dictionary_encode()
-    langs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    keys, logs = rows.column("key").to_numpy().view(np.uint64), rows.column("log").to_numpy()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each kind in a batch as two byte arrays, keys and log values; compressed, so the driver's JVM holds little."""
+    for batch in batches:
+        kinds, keys, logs = (batch.column(c).to_numpy() for c in ("kind", "key", "log"))
+        some = np.unique(kinds)
+        packed = [pa.array([zlib.compress(x[kinds == k].tobytes(), 1) for k in some], pa.binary()) for x in (keys, logs)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *packed], ["kind", "keys", "logs"])
+
+
+def _heads(tables: list[tuple[Column, DataFrame, str, str]], most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per kind, sorted keys and log values of the `most` rows of the greatest weight, from (kinds, table, value, weight).
+
+    One query for all tables; what was found comes to the driver compressed and in four parts.
+    """
+    rows = [t.select(kind.alias("kind"), "key", F.log(value).alias("log"), F.col(weight).alias("weight")) for kind, t, value, weight in tables]
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("weight"), "key"))
+    best = reduce(DataFrame.unionByName, rows).withColumn("_place", place).where(F.col("_place") <= most)
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in best.select("kind", "key", "log").mapInArrow(_packed, "kind int, keys binary, logs binary").repartition(4).toLocalIterator():
+        parts.setdefault(r.kind, []).append((np.frombuffer(zlib.decompress(r.keys), np.uint64), np.frombuffer(zlib.decompress(r.logs))))
     out = {}
-    for code, lang in enumerate(langs):
-        own = codes == code
-        order = np.argsort(keys[own])
-        out[lang] = keys[own][order], logs[own][order]
+    for kind, some in parts.items():
+        keys, logs = (np.concatenate(x) for x in zip(*some))
+        order = np.argsort(keys)
+        out[kind] = keys[order], logs[order]
     return out
 
 
@@ -211,7 +228,7 @@ def train(training: DataFrame, head: int = HEAD) -> Models:
     """Models by language from (text, lang) rows; null texts and null languages are left out."""
     training = training.where("text is not null and lang is not null").select("text", "lang")
     out = F.pmod(F.xxhash64("text"), F.lit(LEFT_OUT)) == 0
-    counts = [settle(c, "lang-counts") for c in _counted(training.where(~out))]
+    counts = _counted(training.where(~out))
     langs = sorted(r.lang for r in counts[-1].select("lang").distinct().collect())
     if not langs:
         return Models([], [], np.zeros(0, np.uint8))
@@ -220,11 +237,12 @@ def train(training: DataFrame, head: int = HEAD) -> Models:
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, 16 * k)])[F.col("lang")]
     kinds = [x for k in range(1, ORDER + 1) for x in ((number + k, grams[k - 1]), (number + ORDER + k, contexts[k - 1]))]
     models = Models(grams, contexts, bitmap(kinds))
-    heads = {(name, k): _heads(table[k - 1], *columns, head) for k in range(1, ORDER + 1)
-             for name, table, columns in (("grams", grams, ("p", "n")), ("contexts", contexts, ("gamma", "total")))}
+    values = {"grams": ("p", "n"), "contexts": ("gamma", "total")}
+    places = [("grams" if i % 2 == 0 else "contexts", i // 2 + 1) for i in range(len(kinds))]
+    heads = _heads([(kind.cast("int"), table, *values[name]) for (kind, table), (name, _) in zip(kinds, places)], head)
     none = np.zeros(0, np.uint64), np.zeros(0)
     for k, lang in enumerate(langs):
-        models[lang] = Model(k, {where: found.get(lang, none) for where, found in heads.items()}, base)
+        models[lang] = Model(k, {(name, n): heads.get(16 * k + n + ORDER * (name == "contexts"), none) for name, n in places}, base)
     n, log = F.sum("n"), F.log("p")
     for r in grams[-1].groupBy("lang").agg((F.sum(F.col("n") * log) / n).alias("m"), (F.sum(F.col("n") * log * log) / n).alias("s")).collect():
         models[r.lang].own, models[r.lang].spread = -r.m, float(np.sqrt(max(r.s - r.m**2, 0)))

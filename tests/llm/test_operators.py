@@ -152,6 +152,20 @@ def test_language_model_is_a_distribution(spark):
         assert 0.5 < p <= 1.0001  # the rest belongs to characters that were never seen
 
 
+def test_frequent_ngrams_come_to_the_driver_compressed(spark, monkeypatch):
+    """In one query for all tables; no table of them is gathered as it is."""
+    def refuse(_):
+        raise AssertionError("a table was gathered as it is")
+
+    texts = spark.createDataFrame([("abca bcab cabb", "x"), ("aab", "x"), ("dda", "y")], "text string, lang string")
+    monkeypatch.setattr(type(texts), "toArrow", refuse)
+    models = langid.train(texts, 3)
+    for model in models.values():
+        assert sorted(model.heads) == [(name, k) for name in ("contexts", "grams") for k in range(1, 5)]
+        for keys, logs in model.heads.values():
+            assert 0 < len(keys) == len(logs) <= 3 and (np.diff(keys) > 0).all() and (logs <= 0).all()
+
+
 def test_joined_and_broadcast_ngrams_give_the_same_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     training = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
