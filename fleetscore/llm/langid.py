@@ -268,9 +268,11 @@ def _set_random(spark: SparkSession, models: Models, letters: DataFrame) -> None
         keys, n = np.unique(sum(noise[:, k] << np.uint64(16 * k) for k in range(ORDER)), return_counts=True)
         log, settled = resolve(keys, model.heads, models.bits, model.base, model.kind)
         sums[lang] = float((n * log)[settled].sum())
-        rows += [(lang, int(k), int(c)) for k, c in zip(keys[~settled].view(np.int64), n[~settled])]
-    if rows:
-        asked = spark.createDataFrame(rows, "lang string, key long, n long")
+        rest = [pa.array([lang] * int((~settled).sum()), pa.string()), pa.array(keys[~settled].view(np.int64)), pa.array(n[~settled])]
+        rows.append(pa.Table.from_arrays(rest, ["lang", "key", "n"]))
+    unsettled = pa.concat_tables(rows)
+    if len(unsettled):
+        asked = spark.createDataFrame(unsettled)  # from Arrow: Python rows would need a second set of Python workers on each executor
         for r in asked.join(models.probabilities(asked), ["lang", "key"]).groupBy("lang").agg(F.sum(F.col("n") * F.log("p")).alias("s")).collect():
             sums[r.lang] += r.s
     for lang, model in models.items():

@@ -136,24 +136,44 @@ def bits_of(keys: np.ndarray, kind: int) -> np.ndarray:
     return mix(keys ^ mix(np.full(1, kind + 1, np.uint64))) >> np.uint64(64 - BITS)
 
 
+def _places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    keys, kinds = batch.column("key").to_numpy().view(np.uint64), batch.column("kind").to_numpy()
+    for kind in np.unique(kinds):
+        yield bits_of(keys[kinds == kind], int(kind)).astype(np.int64)
+
+
+def _set_bits(bits: np.ndarray, at: np.ndarray) -> None:
+    """Set the bits at some places; of the eight of a byte the highest is the first."""
+    np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """Each page that keys of a task set bits of: places of the bits, two bytes each, or the page itself where that is less."""
+    out, touched = np.zeros((1 << BITS) // 8, np.uint8), np.zeros((1 << BITS) // _PAGE, bool)
     for batch in batches:
-        keys, kinds = batch.column("key").to_numpy().view(np.uint64), batch.column("kind").to_numpy()
-        for kind in np.unique(kinds):
-            bits = np.unique(bits_of(keys[kinds == kind], int(kind)))
-            page = (bits // np.uint64(_PAGE)).astype(np.int64)
-            for p in np.unique(page):
-                mask = held.setdefault(int(p), np.zeros(_PAGE, bool))
-                mask[(bits[page == p] % np.uint64(_PAGE)).astype(np.int64)] = True
-    yield pa.RecordBatch.from_arrays([
-        pa.array(list(held), pa.int64()), pa.array([np.packbits(m).tobytes() for m in held.values()], pa.binary())], ["page", "bits"])
-
-
-def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at in _places(batch):
+            _set_bits(out, at)
+            touched[at // _PAGE] = True
+    pages, out = np.flatnonzero(touched), out.reshape(-1, _PAGE // 8)
+    for start in range(0, len(pages), 256):
+        some = pages[start: start + 256]
+        places = [np.flatnonzero(np.unpackbits(out[p])).astype(np.uint16) for p in some]
+        least = [(at if at.nbytes < _PAGE // 8 else out[p]).tobytes() for p, at in zip(some, places)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(least, pa.binary())], ["page", "bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What tasks have of each page to one row a page, compressed."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        packed = [zlib.compress(b.as_buffer(), 1) for b in batch.column("bits")]
-        yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(packed, pa.binary())], ["page", "bits"])
+        for page, bits in zip(batch.column("page").to_pylist(), batch.column("bits")):
+            own, data = held.setdefault(page, np.zeros(_PAGE // 8, np.uint8)), bits.as_buffer()
+            if data.size < _PAGE // 8:
+                _set_bits(own, np.frombuffer(data, np.uint16).astype(np.int64))
+            else:
+                own |= np.frombuffer(data, np.uint8)
+    packed = [zlib.compress(bits, 1) for bits in held.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["page", "bits"])
 
 
 class Packed:
@@ -178,9 +198,9 @@ def bitmap(tables: list[tuple[int | Column, DataFrame]]) -> np.ndarray:
         part = keys.select("key", kind.cast("int").alias("kind")).mapInArrow(_pages, "page long, bits binary")
         parts = part if parts is None else parts.unionByName(part)
     out = np.zeros((1 << BITS) // 8, np.uint8)
-    pages = parts.groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits")).mapInArrow(_shrunk, "page long, bits binary")
+    pages = parts.repartition("page").mapInArrow(_united, "page long, bits binary")
     for r in pages.repartition(4).toLocalIterator():
-        out[r.page * _PAGE // 8: (r.page + 1) * _PAGE // 8] = _unpacked(r.bits)[: _PAGE // 8]
+        out[r.page * _PAGE // 8: (r.page + 1) * _PAGE // 8] = _unpacked(r.bits)
     return out
 
 

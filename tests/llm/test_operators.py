@@ -529,6 +529,33 @@ def test_a_model_is_broadcast_once_and_compressed(spark, prose, monkeypatch):
     assert sorted(map(tuple, langid.decisions(docs, models).collect())) == once and len(sent) == 2
 
 
+def test_bitmaps_are_exact_and_few_keys_are_few_bytes(spark):
+    """Pages with few bits move as places; pages of many bits, and pages that several tasks share, are whole."""
+    batch = lambda keys, kind: pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "kind": np.full(len(keys), kind, np.int32)})
+    few = [r for b in perplexity._pages([batch(np.arange(900, dtype=np.uint64), 5)]) for r in b.to_pylist()]
+    assert sum(len(r["bits"]) for r in few) <= 2 * 900
+    # Of the keys tried, some 4,900 share one page: more than it has as places.
+    tried = np.arange(20_000_000, dtype=np.uint64)
+    tried = np.concatenate([tried[perplexity.bits_of(tried, 2) // np.uint64(perplexity._PAGE) == 7], tried[:500]])
+    assert max(len(r["bits"]) for b in perplexity._pages([batch(tried, 2)]) for r in b.to_pylist()) == perplexity._PAGE // 8
+    both = [(2, tried), (3, np.arange(2**64 - 3000, 2**64 - 1, dtype=np.uint64))]
+    tables = [(k, spark.createDataFrame(pa.table({"key": keys.view(np.int64)})).repartition(3)) for k, keys in both]
+    want = np.zeros(1 << perplexity.BITS, bool)
+    for k, keys in both:
+        want[perplexity.bits_of(keys, k)] = True
+    assert (perplexity.bitmap(tables) == np.packbits(want)).all()
+    assert not perplexity.bitmap([(1, empty(tables[0][1]))]).any()
+
+
+def test_models_use_one_set_of_python_workers(spark, prose, monkeypatch):
+    """n-grams that are looked up go to Spark as Arrow data: rows of Python would start workers that nothing else uses."""
+    sent, whole = [], SparkContext.parallelize
+    docs = spark.createDataFrame([(prose(20), "en") for _ in range(40)], "text string, lang string")
+    usual = langid.train(docs)["en"].random
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, *a: sent.append(a) or whole(self, *a))
+    assert langid.train(docs, head=5)["en"].random == pytest.approx(usual) and not sent
+
+
 def test_trusted_texts_are_exact_and_hardly_move(spark):
     """Only what both bitmaps have is joined: ids that share a bit with trusted ones, and trusted ones that share one with these."""
     docs = spark.createDataFrame(
