@@ -19,7 +19,7 @@ from fleetscore.operators import partials
 from fleetscore.operators.incremental import incremental_cutoff, scope, updated_since
 from fleetscore.operators.ranking import same_keys
 from fleetscore.plans.daily import run_daily
-from fleetscore.session import with_known_size
+from fleetscore.session import stored_meanwhile
 from fleetscore.sources import ledger, payloads, versions
 from fleetscore.sources.bronze import merge_partitions, publish_partitions, read_merged
 
@@ -49,22 +49,23 @@ def land_conversations(
     """Conversations in scope that changed since the last harvest, with all their landed messages; returns the days touched.
 
     Conversations that were never updated are always taken. An empty landing changes nothing.
-    Documents are parsed once and stored as rows; a message whose own page shows a changed conversation is taken as it stands, so
+    Documents are parsed once and stored as rows until both tables are merged; a message whose own page shows a changed conversation is taken as it stands, so
     only messages on other pages are looked up.
     """
     stored = read_merged(spark, f"{base}/conversations", _schema(spark, "conversations"))
     changed = F.col("_first") & updated_since(incremental_cutoff(stored, overlap=overlap))
     pages = scope(payloads.flatten_pages(raw, harvested_at), ids).withColumn("_changed", changed)
-    pages = with_known_size(pages, "pages")
-    fresh = payloads.conversations_of(pages.where("_changed"))
-    messages = payloads.messages_of(pages.where("_changed"))
-    others = payloads.messages_of(pages.where("not _changed"))
-    if not others.isEmpty():
-        messages = messages.unionByName(same_keys(others, fresh.select(*_KEYS).distinct(), _KEYS, "left_semi"))
-    messages = _dated(messages)
-    days = {"message_details": merge_partitions(messages, f"{base}/message_details", schemas.PRIMARY_KEYS["message_details"], stored=True)}
-    whole = payloads.with_empty_conversations(fresh, payloads.conversation_rollup(messages), harvested_at)
-    days["conversations"] = merge_partitions(_dated(whole), f"{base}/conversations", _KEYS)
+    days = {}
+    with stored_meanwhile(pages, "pages") as pages:
+        fresh = payloads.conversations_of(pages.where("_changed"))
+        messages = payloads.messages_of(pages.where("_changed"))
+        others = payloads.messages_of(pages.where("not _changed"))
+        if not others.isEmpty():
+            messages = messages.unionByName(same_keys(others, fresh.select(*_KEYS).distinct(), _KEYS, "left_semi"))
+        messages = _dated(messages)
+        days["message_details"] = merge_partitions(messages, f"{base}/message_details", schemas.PRIMARY_KEYS["message_details"], stored=True)
+        whole = payloads.with_empty_conversations(fresh, payloads.conversation_rollup(messages), harvested_at)
+        days["conversations"] = merge_partitions(_dated(whole), f"{base}/conversations", _KEYS)
     return days
 
 

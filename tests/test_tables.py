@@ -5,8 +5,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from fleetscore import session
 from fleetscore.operators import quality, strict, upsert
-from fleetscore.plans import daily, landing
+from fleetscore.plans import daily, landing, registered
 from fleetscore.sources import bronze, ledger, stand_in, versions
 from fleetscore.streaming import streams
 
@@ -369,3 +370,55 @@ def test_messages_on_later_pages_go_with_their_conversation(spark, rows, tmp_pat
     assert [tuple(r.values()) for r in found] == [("a", "1", "COMPLETED"), ("b", "3", "COMPLETED"), ("b", "4", "COMPLETED")]
     found = rows(bronze.read_merged(spark, f"{tmp_path}/conversations"), "conversation_id", "message_count")
     assert [tuple(r.values()) for r in found] == [("a", 1), ("b", 2)]
+
+
+def test_merge_in_slices_gives_the_same_rows(spark, make, rows, tmp_path):
+    """Slices go by the hash of a key, so repeats, stored rows, rows on another day and rows without id meet as in one pass."""
+    m = _message
+    landings = (
+        [m(str(i), i % 3 + 1, "A", 1) for i in range(12)] + [m(None, 1, "A", 1), m("0", 1, "B", 2), m("1", 3, "moved", 2)],
+        [m(str(i), i % 3 + 1, "late", 0) for i in range(6)] + [m(str(i), i % 3 + 1, "new", 3) for i in range(4, 20)] + [m(None, 1, "C", 1)])
+    got = []
+    for n, slice_rows in enumerate((1_000, 3)):
+        for landed in landings:
+            bronze.merge_partitions(_dated(make, *landed), f"{tmp_path}/{n}", streams.MESSAGE_KEYS, slice_rows=slice_rows)
+        got.append(rows(bronze.read_merged(spark, f"{tmp_path}/{n}"), "message_id", "status", "created_date"))
+        assert len(versions.listed(spark, f"{tmp_path}/{n}/log")) == 2, "a merge is one commit"
+    assert got[0] == got[1] and len(got[0]) == 22
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffles(spark, make, tmp_path):
+    before = _shuffle_files(spark)
+    stored = session.with_known_size(spark.range(100).repartition(3).groupBy("id").count(), "counted")
+    assert stored.count() == 100
+    versions.write_days(_dated(make, *[_message(str(i), 1, "A", 1) for i in range(9)]).repartition(3, "message_id"), str(tmp_path), "created_date")
+    left = {name.rsplit("_", 2)[0] for name in _shuffle_files(spark) - before if name.endswith(".data")}
+    assert len(left) <= 1, "that of the count"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_landing_removes_the_rows_it_has_parsed(spark, tmp_path):
+    raw = spark.createDataFrame([_page("a", None, 0, "1", "2")], "payload string")
+    scratch = lambda: {n for n in versions.listed(spark, session.ensure_checkpoint_dir(spark)) if n.startswith("pages-")}
+    before = scratch()
+    landing.land_conversations(spark, raw, str(tmp_path), "2024-01-05")
+    assert scratch() == before
+
+
+def test_landed_documents_are_compressed_in_bounded_files(spark, rows, tmp_path, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(registered, "scratch_path", lambda _, purpose: asked.setdefault(f"{purpose}-{len(asked)}", f"{tmp_path}/{purpose}-{len(asked)}"))
+    events = spark.range(45_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id % 2) AS ts", "id % 50 AS user_id", "'view' AS event_type",
+        "60.0D AS value", """'{"k": 1}' AS props""")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = registered._landed_bronze(registered.Fleet(spark, str(tmp_path)))
+    assert got.count() == 45_000 and rows(got.groupBy("status", "harvested_at").count(), "status", "count") == [{"status": "COMPLETED", "count": 45_000}]
+    late, first = (path for name, path in asked.items() if name.startswith("landed"))
+    kept = [n for n in versions.listed(spark, late) if n.startswith("part-")]
+    assert len(kept) >= 3 and all(n.endswith(".gz") for n in kept) and not versions.listed(spark, first)
