@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -290,3 +291,52 @@ def test_names_of_a_part_are_read_without_its_texts(spark, make):
         assert p.instruction_ids == [i.instruction_id for i in p.instructions]
         assert p.question_ids == [q.benchmark_question_id for q in p.benchmark_questions]
         assert sorted(p.result_ids) == sorted(r.result_id for r in p.benchmark_results)
+
+
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_items_move_once_not_to_each_part_of_their_terms(spark, make, monkeypatch):
+    """60 terms bring ten of 40 long instructions together each, so a part's texts are many times those of all items."""
+    monkeypatch.setattr(evidence, "TASK_PARTS", 7)
+    noise = random.Random(3)
+    users = [noise.sample(range(40), 10) for _ in range(60)]
+    words = {k: " ".join(f"shared{t}" for t in range(60) if k in users[t]) for k in range(40)}
+    cards = scorecard(spark, {"space_id": "s", "title": "S"}, {"space_id": "bare", "title": "B"})
+    ins = make("instructions", *[
+        {"space_id": "s", "instruction_id": f"i{k}", "title": f"t{k}", "content": f'"{words[k]}" {noise.randbytes(10_000).hex()}'} for k in range(40)])
+    curated, results = make("curated_questions"), make("eval_results")
+    before = _shuffled(spark)
+    got = evidence.bundle_json(evidence.evidence_bundle(cards, ins, curated, results, part_items=10)).collect()
+    moved = sum(size for name, size in _shuffled(spark).items() if name not in before)
+    texts = {json.dumps(i): i for r in got for i in json.loads(r.json)["instructions"]}
+    copies = sum(len(json.loads(r.json)["instructions"]) for r in got)
+    assert len(texts) == 40 and copies > 300 and {r.space_id for r in got} == {"s", "bare"}
+    assert moved < 40 * 20_000 * 4, "about what the items have, moved to their uid and to their shelf"
+
+
+def test_parts_made_from_shelves_hold_what_the_structs_hold(spark, make, rows, monkeypatch):
+    cards = scorecard(spark, *[{"space_id": s, "title": s} for s in ("a", "b", "bare")])
+    ins = make("instructions", *[
+        {"space_id": s, "instruction_id": f"i{k % 11}" if k else None, "title": None if k % 5 == 0 else f"T{k % 4}", "content": f'x{k % 7} "y{k % 3}"\né'}
+        for s in ("a", "b") for k in range(25)], {"space_id": None, "instruction_id": "lost"}, {"space_id": "gone", "instruction_id": "g"})
+    curated = make("curated_questions", *[
+        {"space_id": "a", "curated_question_id": f"q{k}", "question_type": "BENCHMARK", "question_text": f"x{k} z"} for k in range(6)])
+    results = make("eval_results", *[
+        {"space_id": "a", "result_id": f"r{20 - k}", "benchmark_question_id": f"q{k % 6}", "question": None, "actual_response": "s"} for k in range(13)])
+    seen = []
+    for task_parts, sizes in ((48, {}), (2, {"shelf_parts": 3}), (1, {"shelf_chars": 40})):
+        monkeypatch.setattr(evidence, "TASK_PARTS", task_parts)
+        bundle = evidence.evidence_bundle(cards, ins, curated, results, part_items=5, **sizes)
+        plain = bundle.drop(*[names[2] for names in evidence.LISTED])
+        assert rows(evidence.bundle_json(bundle)) == rows(evidence.bundle_json(plain))
+        seen.append(rows(plain))
+        for r in seen[-1]:
+            assert r["instruction_ids"] == [i.instruction_id for i in r["instructions"]] and r["instructions"] == sorted(
+                r["instructions"], key=lambda i: [(v is not None, v or "") for v in i])
+            assert r["result_ids"] == sorted(x.result_id for x in r["benchmark_results"])
+    assert seen[0] == seen[1] == seen[2] and len({(r["space_id"], r["part"]) for r in seen[0]}) == len(seen[0]) > 15
+    assert sum(r["space_id"] == "bare" and r["n_parts"] == 1 for r in seen[0]) == 1
